@@ -129,8 +129,8 @@ def outliers(df: DataFrame, options: Options = Options(),
     return result
 
 
-def _rounded(value: float | None) -> float | None:
-    return None if value is None else round(value, 4)
+def _rounded(value: float | None, digits: int = 4) -> float | None:
+    return None if value is None else round(value, digits)
 
 
 def outlier_table(df: DataFrame, found: dict[str, ColumnOutliers]) -> DataFrame:
@@ -143,9 +143,10 @@ def outlier_table(df: DataFrame, found: dict[str, ColumnOutliers]) -> DataFrame:
     )
 
 
-def stats_table(df: DataFrame, stats: dict[str, NumericStats]) -> DataFrame:
+def stats_table(df: DataFrame, stats: dict[str, NumericStats], digits: int = 4) -> DataFrame:
+    """One row per numeric column; numbers rounded."""
     return df.sparkSession.createDataFrame(
-        [(s.column, s.n, *[_rounded(v) for v in (s.minimum, s.maximum, s.mean, s.std, s.q1, s.median, s.q3)])
+        [(s.column, s.n, *[_rounded(v, digits) for v in (s.minimum, s.maximum, s.mean, s.std, s.q1, s.median, s.q3)])
          for s in stats.values()],
         "column string, n_values long, min_value double, max_value double, mean_value double, std_value double, "
         "q1 double, median double, q3 double",

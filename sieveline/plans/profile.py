@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from sieveline.errors import ValidationError
 from sieveline.functions import fixed
-from sieveline.functions.columns import NUMERIC_KINDS, count_if, is_missing, kinds
+from sieveline.functions.columns import NUMERIC_KINDS, count_if, first_rows, is_missing, kinds
 from sieveline.operators import cardinality, categories, duplicates, missing, outliers, suspicious, types
 from sieveline.operators.aggregate import aggregate_row
 from sieveline.options import Options
@@ -91,7 +91,7 @@ class Profile:
         if row_id is not None and row_id not in df.columns:
             raise ValidationError(f"no column {row_id!r} to identify rows by")
         limit = options.dataset.max_rows_for_analysis
-        self.table = df if limit is None else df.limit(limit)
+        self.table = df if limit is None else first_rows(df, limit)
         self.df = self.table.drop(row_id) if row_id else self.table
         self.options, self.row_id = options, row_id
         self.kinds = kinds(self.df)
