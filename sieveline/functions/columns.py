@@ -99,9 +99,11 @@ def missing_cells(column_kinds: dict[str, str]) -> str:
     return "(" + " + ".join(f"CAST({is_missing(n, k)} AS INT)" for n, k in column_kinds.items()) + ")"
 
 
-def count_if(condition: str) -> str:
-    """Number of rows for which the condition holds, 0 on an empty table."""
-    return f"count(CASE WHEN {condition} THEN 1 END)"
+def count_if(condition: str, weight: str | None = None) -> str:
+    """Number (or total weight) of the rows for which the condition holds, 0 on an empty table."""
+    if weight is None:
+        return f"count(CASE WHEN {condition} THEN 1 END)"
+    return f"coalesce(sum(CASE WHEN {condition} THEN {weight} END), 0)"
 
 
 def slot_name(names: list[str]) -> str:

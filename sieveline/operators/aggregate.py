@@ -1,10 +1,13 @@
-"""One-scan aggregation of many expressions, and small driver-side tables."""
+"""One-scan aggregation of many expressions, and independent jobs side by side."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 EXPRESSIONS_PER_PASS = 90
 
@@ -34,3 +37,13 @@ def rows_from_aggregate(df: DataFrame, entries: list[dict[str, str]]) -> DataFra
     structs = ", ".join(
         "struct(" + ", ".join(f"e{i}_{j} AS {name}" for j, name in enumerate(names)) + ")" for i in range(len(entries)))
     return wide.selectExpr(f"inline(array({structs}))")
+
+
+def side_by_side(spark: SparkSession, *tasks: Callable[[], Any]) -> list[Any]:
+    """Results of independent tasks, each of which submits its own Spark jobs from its own thread.
+
+    The jobs of one task fill the executors that the tail of another leaves idle.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, len(tasks))) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [task.result() for task in running]

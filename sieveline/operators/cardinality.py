@@ -39,17 +39,22 @@ def _families(df: DataFrame, columns: list[str] | None) -> list[list[str]]:
     return list(groups.values())
 
 
-def _family_counts(df: DataFrame, names: list[str], short: bool) -> DataFrame:
-    """slot, value, n of the present values of same-typed columns."""
+def _family_counts(df: DataFrame, names: list[str], short: bool, weight: str | None = None) -> DataFrame:
+    """slot, value, n of the present values of same-typed columns; rows may carry a weight."""
     column_kinds = kinds(df)
     cells = []
     for i, name in enumerate(names):
         cell = present(name, column_kinds[name])
         cells.append(f"{short_key(cell) if short and column_kinds[name] == STRING else cell} AS v{i}")
     labels = [f"v{i}" for i in range(len(names))]
+    if weight is None:
+        return (
+            df.selectExpr(*cells).unpivot([], labels, "slot", "value").where("value IS NOT NULL")
+            .groupBy("slot", "value").agg(F.count("*").alias("n"))
+        )
     return (
-        df.selectExpr(*cells).unpivot([], labels, "slot", "value").where("value IS NOT NULL")
-        .groupBy("slot", "value").count().withColumnRenamed("count", "n")
+        df.selectExpr(*cells, f"{weight} AS w").unpivot(["w"], labels, "slot", "value").where("value IS NOT NULL")
+        .groupBy("slot", "value").agg(F.sum("w").alias("n")).where("n > 0")
     )
 
 
@@ -90,13 +95,13 @@ def distinct_counts(df: DataFrame, options: Options = Options(), columns: list[s
     }
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES, weight: str | None = None) -> DataFrame:
     """The k most frequent values per column: column, nth, value (as text), n. Ties go to the smaller value.
 
     The ranking limit is applied per task before the shuffle to one group per column.
     """
     parts = [
-        _family_counts(df, names, short=False)
+        _family_counts(df, names, short=False, weight=weight)
         .selectExpr("*", "row_number() OVER (PARTITION BY slot ORDER BY n DESC, value) AS nth").where(f"nth <= {k}")
         .selectExpr(f"{slot_name(names)} AS column", "nth", "CAST(value AS STRING) AS value", "n")
         for names in _families(df, columns)

@@ -1,4 +1,4 @@
-"""Exact duplicate rows: counts and samples.
+"""Exact duplicate rows: counts, samples, and the copies themselves.
 
 A table is shuffled on whole rows only where it must be. Every row is first reduced to one
 64-bit hash; hashes seen more than once are the suspects. With no suspects there are no
@@ -21,67 +21,90 @@ from sieveline.functions.columns import has_map, ref
 from sieveline.functions.fixed import SAMPLE_ROWS
 from sieveline.options import Options
 
-HASH = "__row_hash"
+HASH, COPIES, FIRST_ID, LAST_ID = "__row_hash", "__copies", "__first_id", "__last_id"
 
 
-def row_hash(df: DataFrame, content: list[str] | None = None) -> Column:
+def row_hash(df: DataFrame, content: list[str]) -> Column:
     """64-bit hash of the row; NULL, NaN and signed zero hash like they compare."""
-    columns = [ref(f.name) for f in df.schema.fields
-               if not has_map(f.dataType) and (content is None or f.name in content)]
+    columns = [ref(f.name) for f in df.schema.fields if f.name in content and not has_map(f.dataType)]
     return F.expr(f"xxhash64({', '.join(columns)})" if columns else "0L")
 
 
 @dataclass
-class SuspectRows:
-    """Hashes that occur more than once. ``hashes`` is cached; call ``release`` when done."""
+class Copies:
+    """Rows of one table that may have copies.
 
-    hashes: DataFrame
+    ``hashes`` are the suspect hashes. ``groups`` holds every distinct suspect row once, with its
+    number of copies and, if rows have ids, the smallest and largest id. Both are cached while
+    they are small; ``release`` frees them.
+    """
+
+    content: list[str]
+    row_id: str | None
     n_hashes: int
-    broadcast_rows: int
+    few: bool
+    hashes: DataFrame
+    groups: DataFrame
 
-    @property
-    def few(self) -> bool:
-        return self.n_hashes <= self.broadcast_rows
+    def count(self, keep: str = "first") -> int:
+        """Rows beyond the kept one (first, last), or all rows of repeated groups (none)."""
+        if self.n_hashes == 0:
+            return 0
+        extra = COPIES if keep == "none" else f"{COPIES} - 1"
+        return self.groups.where(f"{COPIES} > 1").selectExpr(f"coalesce(sum({extra}), 0)").first()[0]
+
+    def outside(self, df: DataFrame) -> DataFrame:
+        """Rows of the table that cannot have a copy: found by a broadcast join, without a shuffle."""
+        return df.withColumn(HASH, row_hash(df, self.content)).join(F.broadcast(self.hashes), HASH, "left_anti").drop(HASH)
 
-    def matching(self, df: DataFrame, how: str, content: list[str] | None = None) -> DataFrame:
-        """Rows whose hash is (left_semi) or is not (left_anti) a suspect. Adds the hash column."""
-        return df.withColumn(HASH, row_hash(df, content)).join(F.broadcast(self.hashes), HASH, how)
+    def kept(self, keep: str) -> DataFrame:
+        """The suspect rows that stay."""
+        rows = self.groups.where(f"{COPIES} = 1") if keep == "none" else self.groups
+        chosen = LAST_ID if keep == "last" else FIRST_ID
+        ids = [f"{chosen} AS {ref(self.row_id)}"] if self.row_id else []
+        return rows.selectExpr(*[ref(n) for n in self.content], *ids)
+
+    def surplus(self, keep: str) -> DataFrame:
+        """Every repeated row once, with the number of copies to take away as ``__surplus``."""
+        extra = COPIES if keep == "none" else f"{COPIES} - 1"
+        return self.groups.where(f"{COPIES} > 1").selectExpr(*[ref(n) for n in self.content], f"{extra} AS __surplus")
 
     def release(self) -> None:
         self.hashes.unpersist()
+        self.groups.unpersist()
 
 
-def suspect_rows(df: DataFrame, options: Options = Options()) -> SuspectRows:
-    hashes = (
-        df.select(row_hash(df).alias(HASH)).groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1).select(HASH)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    return SuspectRows(hashes, hashes.count(), options.scale.broadcast_rows)
+def grouped_rows(df: DataFrame, content: list[str], row_id: str | None = None) -> DataFrame:
+    """Every distinct row with its number of copies and the range of its ids."""
+    wanted = [F.count(F.lit(1)).alias(COPIES)]
+    if row_id:
+        wanted += [F.expr(f"min({ref(row_id)}) AS {FIRST_ID}"), F.expr(f"max({ref(row_id)}) AS {LAST_ID}")]
+    return df.groupBy(*[ref(n) for n in content]).agg(*wanted)
 
 
-def row_groups(df: DataFrame, suspects: SuspectRows) -> DataFrame:
-    """Rows that occur more than once, each once, with their number of copies in ``__copies``."""
-    rows = suspects.matching(df, "left_semi").drop(HASH) if suspects.few else df
-    return (
-        rows.groupBy(*[ref(name) for name in df.columns])
-        .agg(F.count(F.lit(1)).alias("__copies")).where(F.col("__copies") > 1)
+def find_copies(df: DataFrame, options: Options = Options(), row_id: str | None = None) -> Copies:
+    """Look for rows with copies; a row id column is not compared."""
+    content = [n for n in df.columns if n != row_id]
+    hashes = (
+        df.select(row_hash(df, content).alias(HASH)).groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select(HASH).persist(StorageLevel.MEMORY_AND_DISK)
     )
+    n_hashes = hashes.count()
+    few = n_hashes <= options.scale.broadcast_rows
+    if few:
+        suspects = df.withColumn(HASH, row_hash(df, content)).join(F.broadcast(hashes), HASH, "left_semi")
+        groups = grouped_rows(suspects, content, row_id).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        groups = grouped_rows(df, content, row_id)
+    return Copies(content, row_id, n_hashes, few, hashes, groups)
 
 
-def count_duplicates(df: DataFrame, keep: str = "first", options: Options = Options(),
-                     suspects: SuspectRows | None = None) -> int:
-    """Rows beyond the kept one (first, last), or all rows of repeated groups (none)."""
-    own = suspects is None
-    suspects = suspects or suspect_rows(df, options)
+def count_duplicates(df: DataFrame, keep: str = "first", options: Options = Options()) -> int:
+    copies = find_copies(df, options)
     try:
-        if suspects.n_hashes == 0:
-            return 0
-        extra = F.col("__copies") if keep == "none" else F.col("__copies") - 1
-        return row_groups(df, suspects).agg(F.coalesce(F.sum(extra), F.lit(0))).first()[0]
+        return copies.count(keep)
     finally:
-        if own:
-            suspects.release()
+        copies.release()
 
 
 def duplicate_summary(df: DataFrame, keep: str = "first", options: Options = Options()) -> DataFrame:
@@ -93,7 +116,8 @@ def duplicate_summary(df: DataFrame, keep: str = "first", options: Options = Opt
     )
 
 
-def duplicate_samples(df: DataFrame, row_id: str, keep: str = "first", options: Options = Options()) -> DataFrame:
+def duplicate_samples(df: DataFrame, row_id: str, keep: str = "first", options: Options = Options(),
+                      copies: Copies | None = None) -> DataFrame:
     """The ten smallest row ids among the duplicates; the id column is not part of the comparison.
 
     At most eleven rows per group survive the first ranking, which Spark applies before the
@@ -102,25 +126,21 @@ def duplicate_samples(df: DataFrame, row_id: str, keep: str = "first", options:
     """
     if row_id not in df.columns:
         raise ValidationError(f"no column {row_id!r} to identify rows by")
-    content = [name for name in df.columns if name != row_id]
-    suspects = suspect_rows(df.select(*[ref(n) for n in content]), options)
-    if suspects.few:
-        hashed = suspects.matching(df, "left_semi", content)
-    else:
-        hashed = df.withColumn(HASH, row_hash(df, content))
-    same_row = Window.partitionBy(HASH, *[ref(n) for n in content])
+    copies = copies or find_copies(df, options, row_id)
+    hashed = df.withColumn(HASH, row_hash(df, copies.content))
+    if copies.few:
+        hashed = hashed.join(F.broadcast(copies.hashes), HASH, "left_semi")
+    same_row = Window.partitionBy(HASH, *[ref(n) for n in copies.content])
     by_id = same_row.orderBy(ref(row_id))
-    first_rows = (
-        hashed.withColumn("__nth", F.row_number().over(by_id)).where(F.col("__nth") <= SAMPLE_ROWS + 1)
-    )
+    first_rows = hashed.withColumn("__nth", F.row_number().over(by_id)).where(F.col("__nth") <= SAMPLE_ROWS + 1)
     flagged = {
         "first": F.col("__nth") > 1,
-        "last": F.col("__last").isNotNull() & (F.col("__nth") <= SAMPLE_ROWS),
+        "last": F.col("__next").isNotNull() & (F.col("__nth") <= SAMPLE_ROWS),
         "none": F.col("__size") > 1,
     }[keep]
     return (
         first_rows
-        .withColumn("__last", F.lead(F.lit(1)).over(by_id))
+        .withColumn("__next", F.lead(F.lit(1)).over(by_id))
         .withColumn("__size", F.count(F.lit(1)).over(same_row))
         .where(flagged).select(F.col(ref(row_id)).alias("row_id")).orderBy("row_id").limit(SAMPLE_ROWS)
     )

@@ -10,14 +10,13 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sieveline.errors import PlanError
 from sieveline.functions.columns import (
     BOOLEAN, FLOATING, NUMERIC_KINDS, double, kinds, missing_cells, number, present, ref, text,
 )
 from sieveline.functions.scalars import normalize, parse_number, parse_timestamp
-from sieveline.operators.duplicates import HASH, SuspectRows
+from sieveline.operators.duplicates import Copies, grouped_rows
 from sieveline.operators.types import BOOLEAN_AS_INTEGER, DATE_STRING, MIXED_NUMERIC_STRING, NUMERIC_STRING
 
 
@@ -29,32 +28,24 @@ def _project(df: DataFrame, changed: dict[str, str], added: dict[str, str] | Non
                          *[f"{expression} AS {ref(n)}" for n, expression in (added or {}).items()])
 
 
-def drop_duplicates(df: DataFrame, keep: str = "first", suspects: SuspectRows | None = None,
-                    row_id: str | None = None) -> DataFrame:
+def drop_duplicates(df: DataFrame, keep: str = "first", copies: Copies | None = None, row_id: str | None = None) -> DataFrame:
     """One copy of every row (first, last), or only rows without a copy (none).
 
     A ``row_id`` column is not compared: first keeps the copy with the smallest id, last the one
     with the largest. Without it the copies are equal and it does not matter which one stays.
-    With a small set of suspect hashes found on this same table, only suspect rows are shuffled;
-    all others pass straight through.
+    With a small set of suspects found on this same table, rows pass straight through, and the
+    suspects join them as already grouped.
     """
     if keep not in ("first", "last", "none"):
         raise PlanError(f"keep must be first, last or none; got {keep!r}")
     content = [n for n in df.columns if n != row_id]
-
-    def deduplicated(rows: DataFrame) -> DataFrame:
-        wanted = [F.count("*").alias("__copies")]
-        if row_id:
-            wanted.append(F.expr(f"{'max' if keep == 'last' else 'min'}({ref(row_id)}) AS {ref(row_id)}"))
-        grouped = rows.groupBy(*[ref(n) for n in content]).agg(*wanted)
-        return (grouped.where("__copies = 1") if keep == "none" else grouped).select(*[ref(n) for n in df.columns])
-
-    if suspects is None or not suspects.few:
-        return deduplicated(df)
-    if suspects.n_hashes == 0:
+    if copies is None or not copies.few:
+        groups = grouped_rows(df, content, row_id)
+        kept = Copies(content, row_id, -1, False, groups, groups).kept(keep)
+        return kept.select(*[ref(n) for n in df.columns])
+    if copies.n_hashes == 0:
         return df
-    untouched = suspects.matching(df, "left_anti", content).drop(HASH)
-    return untouched.unionByName(deduplicated(suspects.matching(df, "left_semi", content).drop(HASH)))
+    return copies.outside(df).unionByName(copies.kept(keep))
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -86,14 +77,14 @@ def min_present(n_columns: int, threshold: float) -> int:
     return min(math.floor(n_columns * (1.0 - threshold)) + 1, n_columns)
 
 
-def dense_row(df: DataFrame, needed: int, row_id: str | None = None) -> str:
-    """Condition: the row has at least ``needed`` present cells, not counting the row id."""
-    column_kinds = {n: k for n, k in kinds(df).items() if n != row_id}
+def dense_row(column_kinds: dict[str, str], needed: int) -> str:
+    """Condition: the row has at least ``needed`` present cells among the given columns."""
     return f"{len(column_kinds)} - {missing_cells(column_kinds)} >= {needed}"
 
 
 def drop_sparse_rows(df: DataFrame, needed: int, row_id: str | None = None) -> DataFrame:
-    return df.where(dense_row(df, needed, row_id))
+    """Rows with enough present cells, not counting the row id."""
+    return df.where(dense_row({n: k for n, k in kinds(df).items() if n != row_id}, needed))
 
 
 @dataclass(frozen=True)

@@ -74,30 +74,37 @@ class ColumnOutliers:
         return self.n_outliers / self.stats.n
 
 
-def moments(df: DataFrame, columns: list[str] | None = None) -> dict[str, NumericStats]:
-    """Count, min, max, mean and standard deviations of numeric columns in one scan."""
-    chosen = {n: k for n, k in kinds(df).items() if k in NUMERIC_KINDS and (columns is None or n in columns)}
-    seen = aggregate_row(df, {
-        (name, part): f"{function}({number(name, kind)})" for name, kind in chosen.items()
-        for part, function in (("n", "count"), ("min", "min"), ("max", "max"), ("mean", "avg"),
-                               ("std", "stddev_samp"), ("pop", "stddev_pop"))
-    })
+def moment_expressions(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], str]:
+    """Aggregates behind ``moments``, to share a scan with others."""
     return {
-        name: NumericStats(name, *[seen[name, part] for part in ("n", "min", "max", "mean", "std", "pop")])
-        for name in chosen
+        (name, part): f"{function}({number(name, kind)})" for name, kind in kinds(df).items()
+        if kind in NUMERIC_KINDS and (columns is None or name in columns)
+        for part, function in (("count", "count"), ("min", "min"), ("max", "max"), ("mean", "avg"),
+                               ("std", "stddev_samp"), ("pop", "stddev_pop"))
     }
 
 
+def moments_from(seen: dict[tuple[str, str], float]) -> dict[str, NumericStats]:
+    names = [name for name, part in seen if part == "mean"]
+    return {n: NumericStats(n, *[seen[n, part] for part in ("count", "min", "max", "mean", "std", "pop")]) for n in names}
+
+
+def moments(df: DataFrame, columns: list[str] | None = None) -> dict[str, NumericStats]:
+    """Count, min, max, mean and standard deviations of numeric columns in one scan."""
+    return moments_from(aggregate_row(df, moment_expressions(df, columns)))
+
+
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: tuple[float, ...],
-                     options: Options = Options()) -> dict[str, Quantiles]:
+                     options: Options = Options(), weight: str | None = None) -> dict[str, Quantiles]:
     column_kinds = kinds(df)
     return quantiles(df, {name: number(name, column_kinds[name]) for name in columns}, probabilities,
-                     options.scale.exact_quantiles)
+                     options.scale.exact_quantiles, weight=weight)
 
 
-def numeric_stats(df: DataFrame, options: Options = Options(), columns: list[str] | None = None) -> dict[str, NumericStats]:
+def numeric_stats(df: DataFrame, options: Options = Options(), columns: list[str] | None = None,
+                  by_column: dict[str, NumericStats] | None = None) -> dict[str, NumericStats]:
     """Moments and quartiles of numeric columns."""
-    by_column = moments(df, columns)
+    by_column = moments(df, columns) if by_column is None else by_column
     found = column_quantiles(df, list(by_column), QUARTILES, options)
     return {
         name: NumericStats(**{**stats.__dict__, **dict(zip(("q1", "median", "q3"), found[name].values.values()))})

@@ -49,7 +49,7 @@ class Quantiles:
     values: dict[float, float | None]
 
 
-def _sketch(df: DataFrame, requests: list[tuple[str, list[float]]]) -> list[tuple[int, list[float]]]:
+def _sketch(df: DataFrame, requests: list[tuple[str, list[float]]], weight: str) -> list[tuple[int, list[float]]]:
     """Number of values and approximate quantiles per request (expression, fractions).
 
     Sketches are merged in two steps, so that the last task merges a fixed number of them and
@@ -61,12 +61,13 @@ def _sketch(df: DataFrame, requests: list[tuple[str, list[float]]]) -> list[tupl
         slots = range(len(batch))
         partial = (
             df.selectExpr(f"spark_partition_id() % {SKETCH_GROUPS} AS g",
-                          *[f"{value} AS v{i}" for i, (value, _) in enumerate(batch)])
-            .groupBy("g").agg(*[F.expr(f"kll_sketch_agg_double(v{i}, {SKETCH_SIZE}) AS s{i}") for i in slots])
+                          *[f"{value} AS v{i}" for i, (value, _) in enumerate(batch)], f"{weight} AS w")
+            .groupBy("g").agg(*[F.expr(f"kll_sketch_agg_double(CASE WHEN w > 0 THEN v{i} END, {SKETCH_SIZE}) AS s{i}") for i in slots],
+                              *[F.expr(f"sum(CASE WHEN v{i} IS NOT NULL THEN w END) AS n{i}") for i in slots])
         )
-        merged = partial.selectExpr(*[f"kll_merge_agg_double(s{i}) AS s{i}" for i in slots])
+        merged = partial.selectExpr(*[f"kll_merge_agg_double(s{i}) AS s{i}" for i in slots], *[f"sum(n{i}) AS n{i}" for i in slots])
         row = merged.selectExpr(
-            *[f"kll_sketch_get_n_double(s{i}) AS n{i}" for i in slots],
+            *[f"n{i}" for i in slots],
             *[f"CASE WHEN kll_sketch_get_n_double(s{i}) > 0 THEN "
               f"kll_sketch_get_quantile_double(s{i}, array({', '.join(map(double, fractions))})) END AS q{i}"
               for i, (_, fractions) in enumerate(batch)],
@@ -82,15 +83,15 @@ def _around(fraction: float) -> list[float]:
 class _Search:
     """Narrowing state: wanted ranks per column, the interval proven to hold each, and results."""
 
-    def __init__(self, df: DataFrame, columns: dict[str, str], small: int):
-        self.df, self.columns, self.small = df, columns, small
+    def __init__(self, df: DataFrame, columns: dict[str, str], weight: str, small: int):
+        self.df, self.columns, self.weight, self.small = df, columns, weight, small
         self.open: dict[tuple[str, int], Interval] = {}
         self.found: dict[tuple[str, int], float] = {}
 
     def narrow(self, pivots: dict[tuple[str, int], tuple[float, float]]) -> None:
         """Count around the proposed values and move every rank to the part that holds it."""
         seen = aggregate_row(self.df, {
-            (name, sign, bound): count_if(f"{self.columns[name]} {sign} {double(bound)}")
+            (name, sign, bound): count_if(f"{self.columns[name]} {sign} {double(bound)}", self.weight)
             for (name, rank), proposed in pivots.items() for bound in proposed for sign in "<="
         })
         for (name, rank), (low, high) in pivots.items():
@@ -120,10 +121,11 @@ class _Search:
         labels = [f"s{i}" for i in range(len(slots))]
         ranked = (
             self.df
-            .selectExpr(*[f"{interval.cut(self.columns[name])} AS s{i}" for i, (name, interval) in enumerate(slots)])
+            .selectExpr(*[f"{interval.cut(self.columns[name])} AS s{i}" for i, (name, interval) in enumerate(slots)],
+                        f"{self.weight} AS w")
             .where(" OR ".join(f"{label} IS NOT NULL" for label in labels))
-            .unpivot([], labels, "slot", "value").where("value IS NOT NULL")
-            .groupBy("slot", "value").agg(F.expr("count(1) AS n"))
+            .unpivot(["w"], labels, "slot", "value").where("value IS NOT NULL")
+            .groupBy("slot", "value").agg(F.expr("sum(w) AS n")).where("n > 0")
             .selectExpr("slot", "value", "n", "sum(n) OVER (PARTITION BY slot ORDER BY value) AS upto")
         )
         rows = ranked.where(" OR ".join(
@@ -146,20 +148,24 @@ def _between(low: float, high: float, share: float) -> float:
 
 
 def quantiles(df: DataFrame, columns: dict[str, str], probabilities: tuple[float, ...],
-              exact: bool = True, small: int = SMALL_INTERVAL) -> dict[str, Quantiles]:
-    """Quantiles with linear interpolation between neighbours. Columns are double; NULL is skipped."""
+              exact: bool = True, small: int = SMALL_INTERVAL, weight: str | None = None) -> dict[str, Quantiles]:
+    """Quantiles with linear interpolation between neighbours. Columns are double; NULL is skipped.
+
+    With a ``weight`` every row counts that many times; negative weights take away rows that
+    other rows have put in.
+    """
     if not columns:
         return {}
     names = list(columns)
-    cells = df.selectExpr(*[f"{columns[name]} AS v{i}" for i, name in enumerate(names)])
+    cells = df.selectExpr(*[f"{columns[name]} AS v{i}" for i, name in enumerate(names)], f"{weight or '1L'} AS weight")
     values = {name: f"v{i}" for i, name in enumerate(names)}
     fractions = [f for p in probabilities for f in (_around(p) if exact else [p])]
-    answers = dict(zip(names, _sketch(cells, [(values[name], fractions) for name in names])))
+    answers = dict(zip(names, _sketch(cells, [(values[name], fractions) for name in names], "weight")))
     if not exact:
         return {name: Quantiles(n, dict(zip(probabilities, found or [None] * len(probabilities))))
                 for name, (n, found) in answers.items()}
 
-    search = _Search(cells, values, small)
+    search = _Search(cells, values, "weight", small)
     pivots = {}
     for name, (n, found) in answers.items():
         for i, p in enumerate(probabilities if n else ()):
@@ -175,7 +181,7 @@ def quantiles(df: DataFrame, columns: dict[str, str], probabilities: tuple[float
              _around((rank - search.open[name, rank].below + 0.5) / search.open[name, rank].size))
             for name, rank in large
         ]
-        proposed = _sketch(cells, requests) if requests else []
+        proposed = _sketch(cells, requests, "weight") if requests else []
         pivots = {key: (found[0], found[-1]) for key, (_, found) in zip(large, proposed)}
     search.fetch()
 

@@ -43,17 +43,12 @@ def suggests(name: str, hints: tuple[str, ...]) -> bool:
     return any(hint in name.lower() for hint in hints)
 
 
-def type_issues(df: DataFrame, options: Options = Options(), columns: list[str] | None = None) -> list[TypeIssue]:
-    """Every mistyped column, from one scan of the string and integer columns.
-
-    A text column is numeric when enough of its values parse as numbers, else a date when its
-    name suggests one and enough values parse as dates. An integer column without missing cells
-    that holds only 0 and 1 is a flag when its name says so or it has more than fifty rows.
-    """
-    rules, schema = options.type_inference, dict(df.dtypes)
-    chosen = {n: k for n, k in kinds(df).items() if columns is None or n in columns}
-    wanted: dict[tuple[str, str], str] = {("", "rows"): "count(1)"}
-    for name, kind in chosen.items():
+def type_expressions(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], str]:
+    """Aggregates behind ``type_issues``, to share a scan with others."""
+    wanted = {("", "rows"): "count(1)"}
+    for name, kind in kinds(df).items():
+        if columns is not None and name not in columns:
+            continue
         if kind == STRING:
             wanted[name, "n"] = f"count({ref(name)})"
             wanted[name, "numbers"] = f"count({parse_number(ref(name))})"
@@ -63,9 +58,13 @@ def type_issues(df: DataFrame, options: Options = Options(), columns: list[str]
             wanted[name, "n"] = f"count({ref(name)})"
             wanted[name, "zeros"] = count_if(f"{ref(name)} = 0")
             wanted[name, "ones"] = count_if(f"{ref(name)} = 1")
-    seen = aggregate_row(df, wanted)
+    return wanted
+
+
+def type_issues_from(df: DataFrame, seen: dict[tuple[str, str], int], options: Options = Options()) -> list[TypeIssue]:
+    rules, schema = options.type_inference, dict(df.dtypes)
     issues = []
-    for name, kind in chosen.items():
+    for name, kind in kinds(df).items():
         n = seen.get((name, "n"), 0)
         if n == 0:
             continue
@@ -83,6 +82,16 @@ def type_issues(df: DataFrame, options: Options = Options(), columns: list[str]
     return issues
 
 
+def type_issues(df: DataFrame, options: Options = Options(), columns: list[str] | None = None) -> list[TypeIssue]:
+    """Every mistyped column, from one scan of the string and integer columns.
+
+    A text column is numeric when enough of its values parse as numbers, else a date when its
+    name suggests one and enough values parse as dates. An integer column without missing cells
+    that holds only 0 and 1 is a flag when its name says so or it has more than fifty rows.
+    """
+    return type_issues_from(df, aggregate_row(df, type_expressions(df, columns)), options)
+
+
 def type_issue_table(df: DataFrame, issues: list[TypeIssue]) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [(i.column, i.current_type, i.suggested_type, i.issue, i.convertible_pct,

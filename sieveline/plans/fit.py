@@ -7,20 +7,20 @@ step, with at most a few scans of the columns concerned and no intermediate tabl
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sieveline.errors import PlanError
 from sieveline.functions.columns import (
     BOOLEAN, DATETIME, NUMERIC_KINDS, OTHER, STRING, count_if, is_missing, kinds, number, ref, text,
 )
-from sieveline.functions.scalars import normalize
 from sieveline.operators import cardinality, fixes, outliers
-from sieveline.operators.aggregate import aggregate_row
-from sieveline.operators.types import SUGGESTED_TYPE
+from sieveline.operators.aggregate import aggregate_row, side_by_side
+from sieveline.operators.types import TypeIssue
 from sieveline.options import Options
 from sieveline.plans.plan import CleaningPlan
 from sieveline.plans.profile import Profile
@@ -74,23 +74,6 @@ class Fitted:
     cleaned: DataFrame
 
 
-class _Working:
-    """The table on its way through the steps, and its known number of rows."""
-
-    def __init__(self, df: DataFrame, n_rows: int, row_id: str | None):
-        self.df, self.n_rows, self.row_id = df, n_rows, row_id
-
-    @property
-    def columns(self) -> list[str]:
-        return [n for n in self.df.columns if n != self.row_id]
-
-    def step(self, name: str, after: "_Working", operations: list[Operation]) -> Step:
-        return Step(name, self.n_rows, after.n_rows, len(self.columns), len(after.columns), tuple(operations))
-
-    def to(self, df: DataFrame, n_rows: int | None = None) -> "_Working":
-        return _Working(df, self.n_rows if n_rows is None else n_rows, self.row_id)
-
-
 def reliable(df: DataFrame) -> DataFrame:
     """The table written once to the checkpoint folder, if the cluster names one; else unchanged."""
     spark = df.sparkSession
@@ -102,129 +85,177 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-class Fitting:
-    """Fits the six steps. Each takes the table it would see and returns the table after it."""
-
-    def __init__(self, profile: Profile):
-        self.profile, self.options = profile, profile.options
-        self.plan = CleaningPlan(
-            columns=dict(profile.table.dtypes), row_id=profile.row_id,
-            normalize_case=self.options.categories.normalize_case,
-            strip_whitespace=self.options.categories.strip_whitespace,
-            action=self.options.outliers.action, options=self.options.to_dict(),
-        )
-
-    def found(self, check: str) -> bool:
-        return self.profile.results[check].issues_found
-
-    def drop_duplicates(self, at: _Working) -> tuple[_Working, list[Operation]]:
-        if not self.found("duplicates"):
-            return at, []
-        self.plan.keep = keep = self.options.duplicates.keep
-        suspects = self.profile.suspects
-        cleaned = fixes.drop_duplicates(at.df, keep, suspects, at.row_id)
-        if not suspects.few:
-            # Every later pass would group whole rows again.
-            cleaned = reliable(cleaned)
-        n = self.profile.n_duplicates
-        return at.to(cleaned, at.n_rows - n), [Operation("drop_rows", strategy=keep, n_cells=n)]
-
-    def constant_columns(self, at: _Working) -> tuple[_Working, list[Operation]]:
-        names = list(self.profile.cardinality.constant) if self.found("cardinality") else []
-        if not names:
-            return at, []
-        self.plan.constant_columns = names
-        values = cardinality.constant_columns(at.df, names)
-        return at.to(fixes.drop_columns(at.df, names)), [
-            Operation("drop_column", n, details={"constant_value": values.get(n)}) for n in names]
-
-    def type_caster(self, at: _Working) -> tuple[_Working, list[Operation]]:
-        issues = [i for i in self.profile.type_issues if i.column in at.columns]
-        if not issues:
-            return at, []
-        cleaned, operations, working = at.df, [], {}
-        for issue in issues:
-            try:
-                cleaned = fixes.cast_columns(cleaned, {issue.column: issue.issue})
-                cleaned.schema
-                working[issue.column] = issue
-            except PySparkException as error:
-                cleaned = fixes.cast_columns(at.df, {n: i.issue for n, i in working.items()})
-                operations.append(Operation("cast_column_failed", issue.column, details={"error": str(error)[:500]}))
-        converted = aggregate_row(cleaned, {n: f"count({ref(n)})" for n in working})
-        self.plan.casts = {n: i.issue for n, i in working.items()}
-        operations += [
-            Operation("cast_column", n, strategy=i.issue, n_cells=converted[n],
-                      details={"from_type": i.current_type, "to_type": SUGGESTED_TYPE[i.issue]})
-            for n, i in working.items()]
-        return at.to(cleaned), operations
-
-    def category_normalizer(self, at: _Working) -> tuple[_Working, list[Operation]]:
-        rules, column_kinds = self.options.categories, kinds(at.df)
-        counts = [c for c in self.profile.categories if c.column in at.columns and column_kinds[c.column] == STRING]
-        if not counts:
-            return at, []
-        names = [c.column for c in counts]
-        changed = aggregate_row(at.df, {
-            n: count_if(f"{ref(n)} <> {normalize(ref(n), rules.normalize_case, rules.strip_whitespace)}") for n in names})
-        self.plan.categories = names
-        cleaned = fixes.normalize_categories(at.df, names, rules.normalize_case, rules.strip_whitespace)
-        return at.to(cleaned), [
-            Operation("normalize_category", c.column, n_cells=changed[c.column],
-                      details={"raw_unique_count": c.raw, "normalized_unique_count": c.normalized}) for c in counts]
-
-    def missing_values(self, at: _Working) -> tuple[_Working, list[Operation]]:
-        if not self.found("missing_values"):
-            return at, []
-        facts, rules = self.profile.missing, self.options.missing_values
-        dropped = [n for n in facts.drop if n in at.columns]
-        working = at.to(fixes.drop_columns(at.df, dropped))
-        operations = [Operation("drop_column", n, strategy="above_drop_threshold") for n in dropped]
-        needed = fixes.min_present(len(working.columns), rules.drop_row_threshold)
-        dense, column_kinds = fixes.dense_row(working.df, needed, at.row_id), kinds(working.df)
-        impute = {n: s for n, s in facts.impute.items() if n in working.columns}
-        seen = aggregate_row(working.df, {
-            ("", "rows"): count_if(dense),
-            **{(n, "missing"): count_if(f"{dense} AND {is_missing(n, column_kinds[n])}") for n in impute},
-        })
-        working = working.to(fixes.drop_sparse_rows(working.df, needed, at.row_id), seen["", "rows"])
-        sparse = at.n_rows - working.n_rows
-        if sparse:
-            operations.append(Operation("drop_rows", n_cells=sparse, details={
-                "threshold": rules.drop_row_threshold, "min_present": needed}))
-        gaps = {n: s for n, s in impute.items() if 0 < seen[n, "missing"] < working.n_rows}
-        fills = fit_fills(working.df, gaps, self.options)
-        operations += [Operation("impute_column", f.column, f.strategy, f.value, seen[f.column, "missing"]) for f in fills]
-        self.plan.sparse_columns, self.plan.min_present, self.plan.fills = dropped, needed, fills
-        return working.to(fixes.fill_missing(working.df, fills)), operations
-
-    def outlier_handler(self, at: _Working) -> tuple[_Working, list[Operation]]:
-        rules, found = self.options.outliers, self.profile.outliers
-        known = [fixes.Fence(n, round(o.lower_fence, 4), round(o.upper_fence, 4))
-                 for n, o in found.items() if o.lower_fence is not None]
-        known = fixes.usable_fences(at.df, [f for f in known if f.column in at.columns])
-        recompute = [n for n, o in found.items() if o.lower_fence is None and n in at.columns]
-        if recompute:
-            quartiles = outliers.column_quantiles(at.df, recompute, (0.25, 0.75), self.options)
-            for n in recompute:
-                q1, q3 = quartiles[n].values[0.25], quartiles[n].values[0.75]
-                if q1 is not None:
-                    spread = rules.iqr_multiplier * (q3 - q1)
-                    known.append(fixes.Fence(n, q1 - spread, q3 + spread))
-        if not known:
-            return at, []
-        self.plan.fences = known
-        cleaned, operations, rows = handle(at.df, known, rules.action, at.n_rows)
-        return at.to(cleaned, rows), operations
-
-
-def handle(df: DataFrame, fences: list[fixes.Fence], action: str, n_rows: int) -> tuple[DataFrame, list[Operation], int]:
-    """Apply the outlier action and count what it touches."""
+WEIGHT, RAW = "__weight", "__raw_"
+
+
+def _without_copies(profile: Profile) -> tuple[DataFrame, str | None]:
+    """A table that aggregates like the one without duplicates, and the weight column to aggregate by.
+
+    Few copies are taken away by weight: the raw table counts 1 per row, and each repeated row
+    follows once with the negative number of its surplus copies. Aggregates then read only their
+    own columns of the raw table, with no join and no shuffle of rows. Plentiful copies are
+    removed for real, once, in a table written to the checkpoint folder.
+    """
+    keep = profile.options.duplicates.keep
+    if not profile.copies.few:
+        return reliable(fixes.drop_duplicates(profile.df, keep)), None
+    rows = profile.df.selectExpr("*", f"1L AS {WEIGHT}")
+    return rows.unionByName(profile.copies.surplus(keep).withColumnRenamed("__surplus", WEIGHT)
+                            .withColumn(WEIGHT, -F.col(WEIGHT))), WEIGHT
+
+
+def _castable(df: DataFrame, issues: list[TypeIssue]) -> tuple[dict[str, str], list[Operation]]:
+    """Casts that Spark accepts for their column; the others become failed operations."""
+    casts, failed = {}, []
+    for issue in issues:
+        try:
+            fixes.cast_columns(df, {issue.column: issue.issue}).schema
+            casts[issue.column] = issue.issue
+        except (PySparkException, PlanError) as error:
+            failed.append(Operation("cast_column_failed", issue.column, details={"error": str(error)[:500]}))
+    return casts, failed
+
+
+def fit(profile: Profile, dry_run: bool = False) -> Fitted:
+    """Learn the constants of the six steps and count what each does.
+
+    In a dry run every step sees the raw table. Otherwise each sees what the ones before leave.
+    """
+    options, found = profile.options, lambda check: profile.results[check].issues_found
+    rules = options.missing_values
+    plan = CleaningPlan(
+        columns=dict(profile.table.dtypes), row_id=profile.row_id, normalize_case=options.categories.normalize_case,
+        strip_whitespace=options.categories.strip_whitespace, action=options.outliers.action, options=options.to_dict(),
+    )
+    n_rows, raw_columns = profile.n_rows, list(profile.kinds)
+    sizes: list[tuple[int, int, int, int]] = []
+    operations: list[list[Operation]] = [[] for _ in STEPS]
+
+    # 1. duplicates
+    table, weight = profile.df, None
+    rows, columns = n_rows, list(raw_columns)
+    if found("duplicates"):
+        plan.keep = options.duplicates.keep
+        operations[0].append(Operation("drop_rows", strategy=plan.keep, n_cells=profile.n_duplicates))
+        sizes.append((n_rows, n_rows - profile.n_duplicates, len(columns), len(columns)))
+        if not dry_run:
+            rows -= profile.n_duplicates
+            table, weight = _without_copies(profile)
+    else:
+        sizes.append((rows, rows, len(columns), len(columns)))
+
+    # 2. constant columns
+    if found("cardinality"):
+        plan.constant_columns = list(profile.cardinality.constant)
+        values = profile.results["cardinality"].details["constant_values"]
+        operations[1] += [Operation("drop_column", n, details={"constant_value": values[n]}) for n in plan.constant_columns]
+    left = [n for n in columns if n not in plan.constant_columns]
+    sizes.append((rows, rows, len(columns), len(left)))
+    columns = columns if dry_run else left
+
+    # 3. types and 4. categories: pure projections, counted together with step 5
+    plan.casts, failed = _castable(table, [i for i in profile.type_issues if i.column in columns])
+    text_columns = [c for c in profile.categories if c.column in columns and (dry_run or c.column not in plan.casts)]
+    plan.categories = [c.column for c in text_columns]
+    sizes += [(rows, rows, len(columns), len(columns))] * 2
+    hidden = [f"{ref(n)} AS {RAW}{i}" for i, n in enumerate(plan.categories)]
+    with_raw = table.selectExpr(*[ref(n) for n in columns], *([weight] if weight else []), *hidden)
+    shaped = fixes.normalize_categories(
+        fixes.cast_columns(with_raw, {n: issue for n, issue in plan.casts.items() if n not in plan.categories}),
+        plan.categories, plan.normalize_case, plan.strip_whitespace)
+    changes = {
+        **{(n, "cast"): count_if(f"{fixes.cast_expression(n, issue)} IS NOT NULL" if n in plan.categories
+                                 else f"{ref(n)} IS NOT NULL", weight) for n, issue in plan.casts.items()},
+        **{(n, "changed"): count_if(f"{RAW}{i} <> {ref(n)}", weight) for i, n in enumerate(plan.categories)},
+    }
+
+    # 5. missing values
+    working = with_raw if dry_run else shaped
+    impute: dict[str, str] = {}
+    gaps: dict[tuple[str, str], str] = {}
+    dense = "true"
+    if found("missing_values"):
+        plan.sparse_columns = [n for n in profile.missing.drop if n in columns]
+        left = [n for n in columns if n not in plan.sparse_columns]
+        plan.min_present = fixes.min_present(len(left), rules.drop_row_threshold)
+        working = working.select(*[ref(n) for n in left], *([weight] if weight else []))
+        present_kinds = {n: k for n, k in kinds(working).items() if n != weight}
+        dense = fixes.dense_row(present_kinds, plan.min_present)
+        impute = {n: s for n, s in profile.missing.impute.items() if n in left}
+        gaps = {("", "rows"): count_if(dense, weight),
+                **{(n, "missing"): count_if(f"{dense} AND {is_missing(n, present_kinds[n])}", weight) for n in impute}}
+    else:
+        left = columns
+        working = working.select(*[ref(n) for n in left], *([weight] if weight else []))
+    if dry_run:
+        seen = {**(aggregate_row(shaped, changes) if changes else {}), **(aggregate_row(working, gaps) if gaps else {})}
+    else:
+        seen = aggregate_row(shaped, {**changes, **gaps}) if changes or gaps else {}
+    operations[2] = failed + [
+        Operation("cast_column", i.column, strategy=i.issue, n_cells=seen[i.column, "cast"],
+                  details={"from_type": i.current_type, "to_type": i.suggested_type})
+        for i in profile.type_issues if i.column in plan.casts]
+    operations[3] = [
+        Operation("normalize_category", c.column, n_cells=seen[c.column, "changed"],
+                  details={"raw_unique_count": c.raw, "normalized_unique_count": c.normalized}) for c in text_columns]
+    rows_kept = seen.get(("", "rows"), rows)
+    if found("missing_values"):
+        operations[4] += [Operation("drop_column", n, strategy="above_drop_threshold") for n in plan.sparse_columns]
+        if rows_kept < rows:
+            operations[4].append(Operation("drop_rows", n_cells=rows - rows_kept, details={
+                "threshold": rules.drop_row_threshold, "min_present": plan.min_present}))
+        working = working.where(dense)
+        fillable = {n: s for n, s in impute.items() if 0 < seen[n, "missing"] < rows_kept}
+        plan.fills = fit_fills(working, fillable, options, weight)
+        operations[4] += [
+            Operation("impute_column", f.column, f.strategy, f.value, seen[f.column, "missing"]) for f in plan.fills]
+        working = fixes.fill_missing(working, plan.fills)
+    sizes.append((rows, rows_kept, len(columns), len(left)))
+    if dry_run:
+        working, left = profile.df, raw_columns
+    else:
+        rows = rows_kept
+
+    # 6. outliers
+    plan.fences = _fit_fences(working, profile, weight)
+    dropped, added = 0, 0
+    if plan.fences:
+        operations[5], dropped = _count_outliers(working, plan.fences, plan.action, weight)
+        added = sum(f"{f.column}_is_outlier" not in left for f in plan.fences) if plan.action == "flag" else 0
+    sizes.append((rows, rows - dropped, len(left), len(left) + added))
+
+    steps = [Step(name, *size, tuple(done)) for name, size, done in zip(STEPS, sizes, operations)]
+    if dry_run:
+        cleaned = profile.table
+    elif plan.keep and not profile.copies.few and profile.row_id is None:
+        cleaned = plan.apply_to_rows(table)
+    else:
+        cleaned = plan.apply(profile.table, profile.copies)
+    return Fitted(plan, steps, cleaned)
+
+
+def _fit_fences(df: DataFrame, profile: Profile, weight: str | None) -> list[fixes.Fence]:
+    """Fences to act on: those of the raw table, rounded to four digits, or new ones where it has none."""
+    found = profile.outliers
+    known = [fixes.Fence(n, round(o.lower_fence, 4), round(o.upper_fence, 4))
+             for n, o in found.items() if o.lower_fence is not None]
+    known = fixes.usable_fences(df, known)
+    recompute = [n for n, o in found.items() if o.lower_fence is None and n in df.columns]
+    quartiles = outliers.column_quantiles(df, recompute, (0.25, 0.75), profile.options, weight)
+    for name, q in quartiles.items():
+        if q.values[0.25] is not None:
+            spread = profile.options.outliers.iqr_multiplier * (q.values[0.75] - q.values[0.25])
+            known.append(fixes.Fence(name, q.values[0.25] - spread, q.values[0.75] + spread))
+    return known
+
+
+def _count_outliers(df: DataFrame, fences: list[fixes.Fence], action: str, weight: str | None) -> tuple[list[Operation], int]:
+    """Operations of the outlier action, and the rows it drops."""
     column_kinds = kinds(df)
     outside = {f.column: f.outside(column_kinds[f.column]) for f in fences}
     seen = aggregate_row(df, {
-        **{(n, "n"): count_if(condition) for n, condition in outside.items()},
-        ("", "any"): count_if(" OR ".join(outside.values())),
+        **{(n, "n"): count_if(condition, weight) for n, condition in outside.items()},
+        ("", "any"): count_if(" OR ".join(outside.values()), weight),
     })
     label = {"flag": "flag_outlier", "cap": "cap_outlier", "drop": "mark_for_drop_outlier"}[action]
     operations = [
@@ -234,10 +265,10 @@ def handle(df: DataFrame, fences: list[fixes.Fence], action: str, n_rows: int) -
     dropped = seen["", "any"] if action == "drop" else 0
     if dropped:
         operations.append(Operation("drop_rows", n_cells=dropped))
-    return fixes.handle_outliers(df, fences, action), operations, n_rows - dropped
+    return operations, dropped
 
 
-def fit_fills(df: DataFrame, strategies: dict[str, str], options: Options) -> list[fixes.Fill]:
+def fit_fills(df: DataFrame, strategies: dict[str, str], options: Options, weight: str | None = None) -> list[fixes.Fill]:
     """Fill values for columns with gaps, learned from their present values.
 
     Median and mean apply to numbers and flags and yield double; for other columns they mean the
@@ -251,19 +282,28 @@ def fit_fills(df: DataFrame, strategies: dict[str, str], options: Options) -> li
             strategy = "mode"
         if column_kinds[name] != OTHER:
             plain[name] = strategy
-    medians = outliers.column_quantiles(df, [n for n, s in plain.items() if s == "median"], (0.5,), options)
-    means = [n for n, s in plain.items() if s == "mean"]
-    mean_of = aggregate_row(df, {n: f"avg({number(n, column_kinds[n])})" for n in means}) if means else {}
-    by_mode = [n for n, s in plain.items() if s == "mode"]
-    mode_of = {r["column"]: r["value"] for r in cardinality.top_values(df, by_mode, 1).collect()} if by_mode else {}
+    factor = weight or "1L"
+
+    def medians() -> dict[str, float | None]:
+        found = outliers.column_quantiles(df, [n for n, s in plain.items() if s == "median"], (0.5,), options, weight)
+        return {n: q.values[0.5] for n, q in found.items()}
+
+    def means() -> dict[str, float | None]:
+        sums = {n: number(n, column_kinds[n]) for n, s in plain.items() if s == "mean"}
+        return aggregate_row(df, {
+            n: f"sum({value} * {factor}) / sum(CASE WHEN {value} IS NOT NULL THEN {factor} END)" for n, value in sums.items()})
+
+    def modes() -> dict[str, str]:
+        names = [n for n, s in plain.items() if s == "mode"]
+        return {r["column"]: r["value"] for r in cardinality.top_values(df, names, 1, weight).collect()} if names else {}
+
+    learned = dict(zip(("median", "mean", "mode"), side_by_side(df.sparkSession, medians, means, modes)))
     fills = []
     for name, strategy in plain.items():
-        if strategy == "median":
-            value, data_type = medians[name].values[0.5], "double"
-        elif strategy == "mean":
-            value, data_type = mean_of[name], "double"
+        if strategy in ("median", "mean"):
+            value, data_type = learned[strategy][name], "double"
         elif strategy == "mode":
-            value, data_type = mode_of.get(name), types[name]
+            value, data_type = learned[strategy].get(name), types[name]
         else:
             value = "0" if strategy == "zero" else options.missing_values.constant_fill_value
             value, data_type = str(value), types[name]
@@ -280,16 +320,3 @@ def _check_fill(df: DataFrame, name: str, value: str, data_type: str, kind: str)
     fits = df.sparkSession.sql(f"SELECT try_cast({text(value)} AS {data_type}) IS NOT NULL").first()[0]
     if not fits or kind == DATETIME and value == "0":
         raise PlanError(f"cannot fill {data_type} column {name!r} with {value!r}")
-
-
-def fit(profile: Profile, dry_run: bool = False) -> Fitted:
-    """Fit all steps in order. In a dry run every step sees the raw table, and the table stays as it is."""
-    fitting = Fitting(profile)
-    raw = at = _Working(profile.table, profile.n_rows, profile.row_id)
-    steps = []
-    for name in STEPS:
-        before = raw if dry_run else at
-        after, operations = getattr(fitting, name)(before)
-        steps.append(before.step(name, after, operations))
-        at = after
-    return Fitted(replace(fitting.plan), steps, raw.df if dry_run else at.df)

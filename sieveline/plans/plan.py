@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from sieveline.errors import PlanError
 from sieveline.operators import fixes
-from sieveline.operators.duplicates import SuspectRows
+from sieveline.operators.duplicates import Copies
 from sieveline.options import Options
 
 FORMAT = 1
@@ -46,11 +46,11 @@ class CleaningPlan:
         if wrong:
             raise PlanError("the table does not fit the plan: " + "; ".join(wrong))
 
-    def apply(self, df: DataFrame, suspects: SuspectRows | None = None) -> DataFrame:
-        """The cleaned table as one lazy plan. ``suspects`` must stem from this same table."""
+    def apply(self, df: DataFrame, copies: Copies | None = None) -> DataFrame:
+        """The cleaned table as one lazy plan. ``copies`` must stem from this same table."""
         self.check(df)
         if self.keep:
-            df = fixes.drop_duplicates(df, self.keep, suspects, self.row_id)
+            df = fixes.drop_duplicates(df, self.keep, copies, self.row_id)
         return self.apply_to_rows(df)
 
     def apply_to_rows(self, df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from sieveline.errors import ValidationError
 from sieveline.functions import fixed
 from sieveline.functions.columns import NUMERIC_KINDS, count_if, first_rows, is_missing, kinds
 from sieveline.operators import cardinality, categories, duplicates, missing, outliers, suspicious, types
-from sieveline.operators.aggregate import aggregate_row
+from sieveline.operators.aggregate import aggregate_row, side_by_side
 from sieveline.options import Options
 
 CHECKS = {
@@ -97,7 +97,7 @@ class Profile:
         self.kinds = kinds(self.df)
         self.n_rows = 0
         self.missing: MissingFacts | None = None
-        self.suspects: duplicates.SuspectRows | None = None
+        self.copies: duplicates.Copies | None = None
         self.n_duplicates = 0
         self.type_issues: list[types.TypeIssue] = []
         self.stats: dict[str, outliers.NumericStats] = {}
@@ -109,21 +109,24 @@ class Profile:
 
     def release(self) -> None:
         """Free what is cached on the executors."""
-        if self.suspects is not None:
-            self.suspects.release()
+        if self.copies is not None:
+            self.copies.release()
 
     def run(self) -> "Profile":
-        self._count_missing()
-        if self.n_rows == 0:
-            raise ValidationError("the table is empty")
-        self.stats = self._guarded("outliers", lambda: outliers.numeric_stats(self.df, self.options)) or {}
-        for name, check in (
-            ("missing_values", self._missing), ("duplicates", self._duplicates), ("type_inference", self._types),
-            ("outliers", self._outliers), ("cardinality", self._cardinality),
-            ("category_consistency", self._categories), ("suspicious_values", self._suspicious),
-        ):
-            if name not in self.results:
+        self._scan()
+        by_group = (
+            (("missing_values", self._missing), ("type_inference", self._types), ("outliers", self._outliers),
+             ("suspicious_values", self._suspicious)),
+            (("duplicates", self._duplicates),),
+            (("cardinality", self._cardinality),),
+            (("category_consistency", self._categories),),
+        )
+
+        def run_group(group) -> None:
+            for name, check in group:
                 self.results[name] = self._guarded(name, check) or self.results[name]
+
+        side_by_side(self.df.sparkSession, *[lambda group=group: run_group(group) for group in by_group])
         self.results = {name: self.results[name] for name in CHECKS}
         for name, extra in _EXTRA_CHECKS.items():
             self.results[name] = self._guarded(name, lambda extra=extra: extra(self)) or self.results[name]
@@ -139,19 +142,25 @@ class Profile:
                 recommendation="look at the error and run the check again", details={"error": str(error)[:2000]})
             return None
 
-    def _count_missing(self) -> None:
+    def _scan(self) -> None:
+        """Everything that plain aggregates can tell, in one pass: rows, missing cells, parse rates, moments."""
         rules = self.options.missing_values
         seen = aggregate_row(self.df, {
-            ("", "rows"): "count(1)",
+            **types.type_expressions(self.df),
             ("", "sparse"): count_if(missing.sparse_row(self.kinds, rules.drop_row_threshold)),
-            **{(n, "m"): count_if(is_missing(n, k)) for n, k in self.kinds.items()},
+            **{(n, "missing"): count_if(is_missing(n, k)) for n, k in self.kinds.items()},
+            **outliers.moment_expressions(self.df),
         }, self.options.scale.expressions_per_pass)
         self.n_rows = seen["", "rows"]
-        counts = {n: seen[n, "m"] for n in self.kinds}
+        if self.n_rows == 0:
+            raise ValidationError("the table is empty")
+        counts = {n: seen[n, "missing"] for n in self.kinds}
         affected = {n: c for n, c in counts.items() if c > 0}
         drop = [n for n, c in affected.items() if c / self.n_rows >= rules.drop_column_threshold]
         impute = {n: missing.strategy_for(self.kinds[n], rules) for n in affected if n not in drop}
         self.missing = MissingFacts(counts, seen["", "sparse"], drop, {n: s for n, s in impute.items() if s != "none"})
+        self.type_issues = types.type_issues_from(self.df, seen, self.options)
+        self.stats = outliers.moments_from(seen)
 
     def _missing(self) -> CheckResult:
         facts, rules = self.missing, self.options.missing_values
@@ -179,8 +188,8 @@ class Profile:
 
     def _duplicates(self) -> CheckResult:
         keep = self.options.duplicates.keep
-        self.suspects = duplicates.suspect_rows(self.df, self.options)
-        self.n_duplicates = duplicates.count_duplicates(self.df, keep, self.options, self.suspects)
+        self.copies = duplicates.find_copies(self.table, self.options, self.row_id)
+        self.n_duplicates = self.copies.count(keep)
         if self.n_duplicates == 0:
             return CheckResult("duplicates")
         share, left = round(self.n_duplicates / self.n_rows, 4), self.n_rows - self.n_duplicates
@@ -190,10 +199,9 @@ class Profile:
             {"duplicate_count": self.n_duplicates, "duplicate_pct": share, "keep_strategy": keep,
              "rows_that_would_remain": left,
              **({"sample_duplicate_ids": [r[0] for r in duplicates.duplicate_samples(
-                 self.table, self.row_id, keep, self.options).collect()]} if self.row_id else {})})
+                 self.table, self.row_id, keep, self.options, self.copies).collect()]} if self.row_id else {})})
 
     def _types(self) -> CheckResult:
-        self.type_issues = types.type_issues(self.df, self.options)
         if not self.type_issues:
             return CheckResult("type_inference")
         return CheckResult(
@@ -209,6 +217,7 @@ class Profile:
 
     def _outliers(self) -> CheckResult:
         rules = self.options.outliers
+        self.stats = outliers.numeric_stats(self.df, self.options, by_column=self.stats)
         self.outliers = outliers.outliers(self.df, self.options, self.stats)
         if not self.outliers:
             return CheckResult("outliers")
@@ -240,16 +249,15 @@ class Profile:
         if not affected:
             return CheckResult("cardinality")
         types_of = dict(self.df.dtypes)
-        listed = [*found.near_constant, *found.high_cardinality]
         top: dict[str, list[str]] = {}
-        for row in sorted(cardinality.top_values(self.df, listed).collect() if listed else [], key=lambda r: r["nth"]):
+        for row in sorted(cardinality.top_values(self.df, affected).collect(), key=lambda r: r["nth"]):
             top.setdefault(row["column"], []).append(row["value"])
         return CheckResult(
             "cardinality", True, "critical" if found.constant else "warning", affected,
             f"{len(found.constant)} constant, {len(found.near_constant)} near-constant and "
             f"{len(found.high_cardinality)} high-cardinality columns",
             "drop constant columns; review the others before encoding",
-            {"constant_columns": list(found.constant),
+            {"constant_columns": list(found.constant), "constant_values": {n: top[n][0] for n in found.constant},
              "near_constant_columns": {
                  n: {"dominant_value": top[n][0], "dominant_count": found.counts[n].top_count,
                      "dominant_pct": round(found.counts[n].top_count / self.n_rows, 4),

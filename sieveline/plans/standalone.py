@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from sieveline.functions.columns import count_if, is_missing, kinds, numeric_columns, string_columns
 from sieveline.operators import cardinality, fixes, outliers, types
 from sieveline.operators.aggregate import aggregate_row
-from sieveline.operators.duplicates import suspect_rows
+from sieveline.operators.duplicates import find_copies
 from sieveline.operators.missing import strategy_for
 from sieveline.options import Options
 from sieveline.plans.fit import fit_fills
@@ -16,9 +16,9 @@ from sieveline.plans.fit import fit_fills
 def drop_duplicate_rows(df: DataFrame, options: Options = Options()) -> DataFrame:
     """Rows without their exact copies; only rows that may have one are shuffled.
 
-    The cached hashes of those rows belong to the returned table and go when the session does.
+    The cached suspects belong to the returned table and go when the session does.
     """
-    return fixes.drop_duplicates(df, options.duplicates.keep, suspect_rows(df, options))
+    return fixes.drop_duplicates(df, options.duplicates.keep, find_copies(df, options))
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:
