@@ -6,16 +6,17 @@ from sieveline.functions.columns import text
 from sieveline.functions.fixed import CHARS_PER_TOKEN, WHITESPACE
 
 _SPACES = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in WHITESPACE) + "]*"
-_NUMBER = rf"^{_SPACES}([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){_SPACES}$"
-_INFINITY = rf"^{_SPACES}([+-]?)(?i:inf|infinity){_SPACES}$"
+_DECIMAL = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_NUMBER = rf"^{_SPACES}([+-]?(?:{_DECIMAL}|(?i:inf|infinity))){_SPACES}$"
 
-# Layouts of dates. The lookahead keeps a time part in place while the date is rewritten.
-_SLASHED = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})(?=$|[ T])"
-_COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
-_ISO = r"^[0-9]{4}($|-[0-9]{1,2}($|-[0-9]{1,2}($|[ T])))"
-_NAMED = r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$"
+# Layouts of dates, with the years a nanosecond timestamp can hold. A time part may follow the date.
+_YEAR = r"(?:167[7-9]|16[89][0-9]|1[7-9][0-9]{2}|2[01][0-9]{2}|22[0-5][0-9]|226[0-2])"
+_ISO = rf"^{_SPACES}{_YEAR}(?:{_SPACES}$|-[0-9]{{1,2}}(?:{_SPACES}$|-[0-9]{{1,2}}(?:{_SPACES}$|[ T][0-9])))"
+_COMPACT = rf"^{_SPACES}({_YEAR})([0-9]{{2}})([0-9]{{2}}){_SPACES}$"
+_SLASHED = rf"^{_SPACES}([0-9]{{1,2}})[/.-]([0-9]{{1,2}})[/.-]({_YEAR})((?:[ T][0-9:.]+)?){_SPACES}$"
+_NAMED = rf"^{_SPACES}([A-Za-z]{{3}} [0-9]{{1,2}}, {_YEAR}){_SPACES}$"
 
-_KEY_BYTES = 64
+KEY_BYTES = 64
 
 
 def strip(value: str) -> str:
@@ -35,36 +36,31 @@ def parse_number(value: str) -> str:
     The pattern comes first: a bare cast also takes ``1d`` and ``nan``, and it throws and
     catches a Java exception for every cell that is no number.
     """
-    number, infinity = text(_NUMBER), text(_INFINITY)
-    return (
-        f"CASE WHEN {value} RLIKE {number} THEN nullif(nullif("
-        f"try_cast(regexp_extract({value}, {number}, 1) AS DOUBLE), double('Infinity')), double('-Infinity')) "
-        f"WHEN {value} RLIKE {infinity} THEN "
-        f"if(regexp_extract({value}, {infinity}, 1) = '-', double('-Infinity'), double('Infinity')) END"
-    )
+    pattern = text(_NUMBER)
+    parsed = f"try_cast(regexp_extract({value}, {pattern}, 1) AS DOUBLE)"
+    overflow = f"abs({parsed}) = double('Infinity') AND {value} RLIKE '[0-9]'"
+    return f"CASE WHEN {value} RLIKE {pattern} AND NOT ({overflow}) THEN {parsed} END"
 
 
 def parse_timestamp(value: str) -> str:
     """Text as a timestamp without time zone; NULL where no known date layout fits.
 
     Layouts: ISO dates with optional time, compact ``yyyyMMdd``, ``M/d/yyyy`` (month first, day
-    first where the month would be over 12) with optional time, and ``Mon d, yyyy``. The result
-    is limited to the range of nanosecond timestamps. Numeric layouts are rewritten to ISO text,
+    first where the month would be over 12) with optional time, and ``Mon d, yyyy``. Years run from
+    1677 to 2262, the range of nanosecond timestamps. Numeric layouts are rewritten to ISO text,
     so that one cast per cell does the work and failing cells raise nothing.
     """
-    cell = strip(value)
-
     def rewritten(pattern: str, template: str) -> str:
-        return f"try_cast(regexp_replace({cell}, {text(pattern)}, '{template}') AS TIMESTAMP_NTZ)"
-
-    parsed = (
-        f"CASE WHEN {cell} RLIKE {text(_ISO)} THEN try_cast({cell} AS TIMESTAMP_NTZ) "
-        f"WHEN {cell} RLIKE {text(_COMPACT)} THEN {rewritten(_COMPACT, '$1-$2-$3')} "
-        f"WHEN {cell} RLIKE {text(_SLASHED)} THEN "
-        f"coalesce({rewritten(_SLASHED, '$3-$1-$2')}, {rewritten(_SLASHED, '$3-$2-$1')}) "
-        f"WHEN {cell} RLIKE {text(_NAMED)} THEN CAST(try_to_date(initcap({cell}), 'MMM d, yyyy') AS TIMESTAMP_NTZ) END"
+        return f"try_cast(regexp_replace({value}, {text(pattern)}, '{template}') AS TIMESTAMP_NTZ)"
+
+    named = f"initcap(regexp_extract({value}, {text(_NAMED)}, 1))"
+    return (
+        f"CASE WHEN {value} RLIKE {text(_ISO)} THEN try_cast({strip(value)} AS TIMESTAMP_NTZ) "
+        f"WHEN {value} RLIKE {text(_COMPACT)} THEN {rewritten(_COMPACT, '$1-$2-$3')} "
+        f"WHEN {value} RLIKE {text(_SLASHED)} THEN "
+        f"coalesce({rewritten(_SLASHED, '$3-$1-$2$4')}, {rewritten(_SLASHED, '$3-$2-$1$4')}) "
+        f"WHEN {value} RLIKE {text(_NAMED)} THEN CAST(try_to_date({named}, 'MMM d, yyyy') AS TIMESTAMP_NTZ) END"
     )
-    return f"CASE WHEN {parsed} BETWEEN TIMESTAMP_NTZ '1677-09-22' AND TIMESTAMP_NTZ '2262-04-11' THEN {parsed} END"
 
 
 def short_key(value: str) -> str:
@@ -73,7 +69,7 @@ def short_key(value: str) -> str:
     Texts up to 64 bytes stand for themselves; longer ones become their SHA-256 digest under a
     prefix that makes the key longer than any text kept as is.
     """
-    return f"if(octet_length({value}) <= {_KEY_BYTES}, {value}, concat('sha-256:', sha2({value}, 256)))"
+    return f"if(octet_length({value}) <= {KEY_BYTES}, {value}, concat('sha-256:', sha2({value}, 256)))"
 
 
 def estimate_tokens(value: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.columns import STRING, kinds, ref, slot_name
-from sieveline.functions.scalars import normalize, short_key
+from sieveline.functions.scalars import KEY_BYTES, normalize, short_key
 from sieveline.options import Options
 
 
@@ -46,12 +46,17 @@ def category_counts(df: DataFrame, options: Options = Options(), columns: list[s
     if not names or not (rules.normalize_case or rules.strip_whitespace):
         return df.sparkSession.createDataFrame([], schema)
 
+    def shaped(cell: str) -> str:
+        return short_key(normalize(cell, rules.normalize_case, rules.strip_whitespace))
+
     def keys(cell: str) -> str:
-        shaped = normalize(cell, rules.normalize_case, rules.strip_whitespace)
-        return f"CASE WHEN {cell} IS NOT NULL THEN struct({short_key(cell)} AS raw, {short_key(shaped)} AS norm) END"
+        # A short value is its own key, so it is normalized once per distinct value, after counting.
+        long_norm = f"CASE WHEN octet_length({cell}) > {KEY_BYTES} THEN {shaped(cell)} END"
+        return f"CASE WHEN {cell} IS NOT NULL THEN struct({short_key(cell)} AS raw, {long_norm} AS norm) END"
 
     return (
         _cells(df, names, keys).selectExpr("slot", "value.raw AS raw", "value.norm AS norm").distinct()
+        .selectExpr("slot", f"coalesce(norm, {shaped('raw')}) AS norm")
         .groupBy("slot", "norm").agg(F.count("*").alias("variants"))
         .groupBy("slot").agg(F.sum("variants").alias("raw_unique_count"), F.count("*").alias("normalized_unique_count"))
         .selectExpr(f"{slot_name(names)} AS column", "raw_unique_count", "normalized_unique_count",

@@ -77,14 +77,22 @@ def min_present(n_columns: int, threshold: float) -> int:
     return min(math.floor(n_columns * (1.0 - threshold)) + 1, n_columns)
 
 
-def dense_row(column_kinds: dict[str, str], needed: int) -> str:
-    """Condition: the row has at least ``needed`` present cells among the given columns."""
-    return f"{len(column_kinds)} - {missing_cells(column_kinds)} >= {needed}"
+def dense_row(column_kinds: dict[str, str], needed: int, costly: list[str] | None = None) -> str:
+    """Condition: the row has at least ``needed`` present cells among the given columns.
+
+    ``costly`` columns are results of a parse. They are looked at only in rows where the other
+    columns do not settle the matter.
+    """
+    cheap = {n: k for n, k in column_kinds.items() if n not in (costly or [])}
+    decided = f"{len(column_kinds)} - {missing_cells(column_kinds)} >= {needed}"
+    if len(cheap) == len(column_kinds) or len(cheap) < needed:
+        return decided
+    return f"({len(cheap)} - {missing_cells(cheap)} >= {needed} OR {decided})"
 
 
-def drop_sparse_rows(df: DataFrame, needed: int, row_id: str | None = None) -> DataFrame:
+def drop_sparse_rows(df: DataFrame, needed: int, row_id: str | None = None, costly: list[str] | None = None) -> DataFrame:
     """Rows with enough present cells, not counting the row id."""
-    return df.where(dense_row({n: k for n, k in kinds(df).items() if n != row_id}, needed))
+    return df.where(dense_row({n: k for n, k in kinds(df).items() if n != row_id}, needed, costly))
 
 
 @dataclass(frozen=True)

@@ -180,7 +180,7 @@ def fit(profile: Profile, dry_run: bool = False) -> Fitted:
         plan.min_present = fixes.min_present(len(left), rules.drop_row_threshold)
         working = working.select(*[ref(n) for n in left], *([weight] if weight else []))
         present_kinds = {n: k for n, k in kinds(working).items() if n != weight}
-        dense = fixes.dense_row(present_kinds, plan.min_present)
+        dense = fixes.dense_row(present_kinds, plan.min_present, list(plan.casts))
         impute = {n: s for n, s in profile.missing.impute.items() if n in left}
         gaps = {("", "rows"): count_if(dense, weight),
                 **{(n, "missing"): count_if(f"{dense} AND {is_missing(n, present_kinds[n])}", weight) for n in impute}}

@@ -60,7 +60,7 @@ class CleaningPlan:
         df = fixes.normalize_categories(df, self.categories, self.normalize_case, self.strip_whitespace)
         df = fixes.drop_columns(df, self.sparse_columns)
         if self.min_present is not None:
-            df = fixes.drop_sparse_rows(df, self.min_present, self.row_id)
+            df = fixes.drop_sparse_rows(df, self.min_present, self.row_id, list(self.casts))
         df = fixes.fill_missing(df, self.fills)
         return fixes.handle_outliers(df, self.fences, self.action)
 

@@ -53,14 +53,14 @@ def _unique(names: list[str | None]) -> list[str]:
     return result
 
 
-def column_types(raw: DataFrame) -> dict[str, str]:
-    """SQL type of every text column: boolean, bigint, double or string, from one scan.
+def _column_types(raw: DataFrame, names: list[str]) -> tuple[int, int, dict[str, str]]:
+    """Rows, rows with surplus fields, and the SQL type of every text column, from one scan.
 
-    Integers with missing cells become double, flags with missing cells stay text, a column
-    without any value is double. Dates stay text.
+    Types are boolean, bigint, double or string. Integers with missing cells become double, flags
+    with missing cells stay text, a column without any value is double. Dates stay text.
     """
-    wanted = {("", "rows"): "count(1)"}
-    for name in raw.columns:
+    wanted = {("", "rows"): "count(1)", ("", "surplus"): f"count({_SURPLUS})"}
+    for name in names:
         column = ref(name)
         wanted[name, "n"] = f"count({column})"
         wanted[name, "flags"] = count_if(f"{column} IN ({', '.join(text(v) for v in _TRUE + _FALSE)})")
@@ -68,7 +68,7 @@ def column_types(raw: DataFrame) -> dict[str, str]:
         wanted[name, "numbers"] = f"count({parse_number(column)})"
     seen = aggregate_row(raw, wanted)
     types = {}
-    for name in raw.columns:
+    for name in names:
         n, complete = seen[name, "n"], seen[name, "n"] == seen["", "rows"]
         if n == 0:
             types[name] = "double"
@@ -78,7 +78,7 @@ def column_types(raw: DataFrame) -> dict[str, str]:
             types[name] = "bigint"
         else:
             types[name] = "double" if seen[name, "numbers"] == n else "string"
-    return types
+    return seen["", "rows"], seen["", "surplus"], types
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",",
@@ -108,15 +108,15 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter:
         logger.warning("%s has a single column; is %r the right delimiter?", path, delimiter)
     schema = ", ".join(f"{ref(n)} STRING" for n in [*names, _SURPLUS])
     raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    if raw.where(f"{_SURPLUS} IS NOT NULL").limit(1).count():
-        raise LoadError(f"{path} has rows with more than the {len(names)} fields of its header; check the delimiter")
     tokens = ", ".join(text(t) for t in NA_TOKENS)
-    cells = raw.selectExpr(*[f"CASE WHEN {ref(n)} NOT IN ({tokens}) THEN {ref(n)} END AS {ref(n)}" for n in names])
+    cells = raw.selectExpr(*[f"CASE WHEN {ref(n)} NOT IN ({tokens}) THEN {ref(n)} END AS {ref(n)}" for n in names], _SURPLUS)
     if max_rows is not None:
         cells = first_rows(cells, max_rows)
-    if cells.isEmpty():
+    n_rows, n_surplus, types = _column_types(cells, names)
+    if n_surplus:
+        raise LoadError(f"{path} has rows with more than the {len(names)} fields of its header; check the delimiter")
+    if n_rows == 0:
         raise ValidationError(f"{path} has a header but no rows")
-    types = column_types(cells)
 
     def typed(name: str) -> str:
         if types[name] == "double":
