@@ -17,8 +17,11 @@ def write_table(df: DataFrame, path: str, form: str = "csv", encoding: str = "ut
     """Write a table as a folder of CSV (with header), JSON or parquet files."""
     writer = df.write.mode(mode).format(form)
     if form == "csv":
-        writer = writer.option("header", True).option("encoding", encoding).option("sep", delimiter).option("escape", '"') \
-            .option("emptyValue", '""')
+        # The writer trims text unless told not to.
+        writer = (
+            writer.option("header", True).option("encoding", encoding).option("sep", delimiter).option("escape", '"')
+            .option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        )
     writer.save(path)
 
 
