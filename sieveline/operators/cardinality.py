@@ -30,13 +30,16 @@ class Distinct:
     top_count: int | None
 
 
+COLUMNS_PER_UNPIVOT = 40
+
+
 def _families(df: DataFrame, columns: list[str] | None) -> list[list[str]]:
-    """Countable columns grouped by type. Maps cannot be keys and are left out."""
+    """Countable columns grouped by type, in batches. Maps cannot be keys and are left out."""
     groups: dict[str, list[str]] = {}
     for field in df.schema.fields:
         if (columns is None or field.name in columns) and not has_map(field.dataType):
             groups.setdefault(field.dataType.simpleString(), []).append(field.name)
-    return list(groups.values())
+    return [names[i:i + COLUMNS_PER_UNPIVOT] for names in groups.values() for i in range(0, len(names), COLUMNS_PER_UNPIVOT)]
 
 
 def _family_counts(df: DataFrame, names: list[str], short: bool, weight: str | None = None) -> DataFrame:

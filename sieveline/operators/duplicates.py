@@ -20,6 +20,7 @@ from sieveline.errors import ValidationError
 from sieveline.functions.columns import has_map, ref
 from sieveline.functions.fixed import SAMPLE_ROWS
 from sieveline.options import Options
+from sieveline.sources.shared import written
 
 HASH, COPIES, FIRST_ID, LAST_ID = "__row_hash", "__copies", "__first_id", "__last_id"
 
@@ -35,8 +36,8 @@ class Copies:
     """Rows of one table that may have copies.
 
     ``hashes`` are the suspect hashes. ``groups`` holds every distinct suspect row once, with its
-    number of copies and, if rows have ids, the smallest and largest id. Both are cached while
-    they are small; ``release`` frees them.
+    number of copies and, if rows have ids, the smallest and largest id. While the suspects are
+    ``few``, both are cached, and ``release`` frees them. Otherwise every row counts as suspect.
     """
 
     content: list[str]
@@ -82,8 +83,12 @@ def grouped_rows(df: DataFrame, content: list[str], row_id: str | None = None) -
     return df.groupBy(*[ref(n) for n in content]).agg(*wanted)
 
 
-def find_copies(df: DataFrame, options: Options = Options(), row_id: str | None = None) -> Copies:
-    """Look for rows with copies; a row id column is not compared."""
+def find_copies(df: DataFrame, options: Options = Options(), row_id: str | None = None, store: bool = False) -> Copies:
+    """Look for rows with copies; a row id column is not compared.
+
+    ``store`` writes the grouped rows to the shared folder where suspects are many, for callers
+    that read them more than once.
+    """
     content = [n for n in df.columns if n != row_id]
     hashes = (
         df.select(row_hash(df, content).alias(HASH)).groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
@@ -95,7 +100,7 @@ def find_copies(df: DataFrame, options: Options = Options(), row_id: str | None
         suspects = df.withColumn(HASH, row_hash(df, content)).join(F.broadcast(hashes), HASH, "left_semi")
         groups = grouped_rows(suspects, content, row_id).persist(StorageLevel.MEMORY_AND_DISK)
     else:
-        groups = grouped_rows(df, content, row_id)
+        groups = written(grouped_rows(df, content, row_id)) if store else grouped_rows(df, content, row_id)
     return Copies(content, row_id, n_hashes, few, hashes, groups)
 
 

@@ -39,10 +39,11 @@ def drop_duplicates(df: DataFrame, keep: str = "first", copies: Copies | None =
     if keep not in ("first", "last", "none"):
         raise PlanError(f"keep must be first, last or none; got {keep!r}")
     content = [n for n in df.columns if n != row_id]
-    if copies is None or not copies.few:
+    if copies is None:
         groups = grouped_rows(df, content, row_id)
-        kept = Copies(content, row_id, -1, False, groups, groups).kept(keep)
-        return kept.select(*[ref(n) for n in df.columns])
+        copies = Copies(content, row_id, -1, False, groups, groups)
+    if not copies.few:
+        return copies.kept(keep).select(*[ref(n) for n in df.columns])
     if copies.n_hashes == 0:
         return df
     return copies.outside(df).unionByName(copies.kept(keep))

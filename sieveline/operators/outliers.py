@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from sieveline.functions.columns import NUMERIC_KINDS, count_if, double, kinds, number, ref, slot_name
 from sieveline.functions.fixed import EXAMPLE_VALUES, MIN_VALUES_FOR_OUTLIERS
-from sieveline.operators.aggregate import aggregate_row
+from sieveline.operators.aggregate import aggregate_row, side_by_side
 from sieveline.operators.quantiles import Quantiles, quantiles
 from sieveline.options import Options, OutlierOptions
 
@@ -101,17 +101,24 @@ def column_quantiles(df: DataFrame, columns: list[str], probabilities: tuple[flo
                      options.scale.exact_quantiles, weight=weight)
 
 
-def numeric_stats(df: DataFrame, options: Options = Options(), columns: list[str] | None = None,
-                  by_column: dict[str, NumericStats] | None = None) -> dict[str, NumericStats]:
-    """Moments and quartiles of numeric columns."""
-    by_column = moments(df, columns) if by_column is None else by_column
-    found = column_quantiles(df, list(by_column), QUARTILES, options)
+def with_quartiles(stats: dict[str, NumericStats], found: dict[str, Quantiles]) -> dict[str, NumericStats]:
+    """The moments with the quartiles or the median added, whichever were asked for."""
+    names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
     return {
-        name: NumericStats(**{**stats.__dict__, **dict(zip(("q1", "median", "q3"), found[name].values.values()))})
-        for name, stats in by_column.items()
+        name: NumericStats(**{**s.__dict__, **{names[p]: value for p, value in found[name].values.items()}})
+        for name, s in stats.items()
     }
 
 
+def numeric_stats(df: DataFrame, options: Options = Options(), columns: list[str] | None = None,
+                  probabilities: tuple[float, ...] = QUARTILES) -> dict[str, NumericStats]:
+    """Moments and quartiles of numeric columns, from jobs that run side by side."""
+    names = [n for n, k in kinds(df).items() if k in NUMERIC_KINDS and (columns is None or n in columns)]
+    by_column, found = side_by_side(
+        df.sparkSession, lambda: moments(df, names), lambda: column_quantiles(df, names, probabilities, options))
+    return with_quartiles(by_column, found)
+
+
 def outliers(df: DataFrame, options: Options = Options(),
              stats: dict[str, NumericStats] | None = None, columns: list[str] | None = None) -> dict[str, ColumnOutliers]:
     """Outliers of every numeric column that has any, by the method in the options."""

@@ -16,27 +16,32 @@ HOT_ROWS = 1_000_000
 def running_total(df: DataFrame, run: str, seq: str, cost: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``used_before``: the cost of all earlier rows of the same run, by ascending ``seq``.
 
-    Runs above ``hot_rows`` rows are cut into ranges of ``seq``, each about that many rows: costs
-    are summed per range, the sums are accumulated (one row per range), and rows are accumulated
-    within their range only. There are at most rows / hot_rows such runs, so their list is
-    broadcast. ``seq`` is a number, unique within a run.
+    Runs above ``hot_rows`` rows are cut into ranges of ``seq``: costs are summed per range, the
+    sums are accumulated (one row per range), and rows are accumulated within their range only.
+    Ranges that still hold too many rows are cut again. There are at most rows / hot_rows such
+    groups, so their list is broadcast. ``seq`` is a whole number, unique within a run.
     """
+    return _running_total(df, [run], seq, cost, hot_rows, "used_before")
+
+
+def _running_total(df: DataFrame, by: list[str], seq: str, cost: str, hot_rows: int, result: str) -> DataFrame:
+    group = ", ".join(ref(n) for n in by)
     hot = (
-        df.groupBy(ref(run)).agg(F.expr("count(1) AS n"), F.expr(f"min({ref(seq)}) AS low"), F.expr(f"max({ref(seq)}) AS high"))
-        .where(f"n > {hot_rows}")
-        .selectExpr(ref(run), "low", f"greatest(1D, (high - low + 1D) / ceil(n / {hot_rows}D)) AS width")
+        df.groupBy(*[ref(n) for n in by])
+        .agg(F.expr("count(1) AS __n"), F.expr(f"min({ref(seq)}) AS __low"), F.expr(f"max({ref(seq)}) AS __high"))
+        .where(f"__n > {hot_rows} AND __high > __low")
+        .selectExpr(*[ref(n) for n in by], "__low", f"greatest(1D, (__high - __low + 1D) / ceil(2 * __n / {hot_rows}D)) AS __width")
     )
     if hot.isEmpty():
-        return df.selectExpr("*", f"{_earlier(cost, ref(run), ref(seq))} AS used_before")
-    ranged = df.join(F.broadcast(hot), run, "left").selectExpr(
-        *[ref(n) for n in df.columns], f"coalesce(CAST(floor(({ref(seq)} - low) / width) AS BIGINT), 0L) AS __range")
-    offsets = (
-        ranged.groupBy(ref(run), "__range").agg(F.expr(f"sum({ref(cost)}) AS __sum"))
-        .selectExpr(ref(run), "__range", f"{_earlier('__sum', ref(run), '__range')} AS __offset")
-    )
-    within = ranged.selectExpr("*", f"{_earlier(cost, f'{ref(run)}, __range', ref(seq))} AS __within")
-    return within.join(offsets, [run, "__range"]).selectExpr(
-        *[ref(n) for n in df.columns], "__offset + __within AS used_before")
+        return df.selectExpr("*", f"{_earlier(cost, group, ref(seq))} AS {result}")
+    level = f"__range_{len(by)}"
+    ranged = df.join(F.broadcast(hot), by, "left").selectExpr(
+        *[ref(n) for n in df.columns], f"coalesce(CAST(floor(({ref(seq)} - __low) / __width) AS BIGINT), 0L) AS {level}")
+    sums = ranged.groupBy(*[ref(n) for n in by], level).agg(F.expr(f"sum({ref(cost)}) AS __sum"))
+    offsets = sums.selectExpr(*[ref(n) for n in by], level, f"{_earlier('__sum', group, level)} AS __offset")
+    within = _running_total(ranged, [*by, level], seq, cost, hot_rows, f"__within_{len(by)}")
+    return within.join(offsets, [*by, level]).selectExpr(
+        *[ref(n) for n in df.columns], f"__offset + __within_{len(by)} AS {result}")
 
 
 def _earlier(cost: str, by: str, order: str) -> str:

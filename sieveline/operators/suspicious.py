@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.columns import NUMERIC_KINDS, double, kinds, number, ref, text
 from sieveline.functions.fixed import MIN_VALUES_FOR_EXTREMES, POSITIVE_DOMAIN_HINTS, SAMPLE_ROWS
-from sieveline.operators.outliers import NumericStats, column_quantiles, moments
+from sieveline.operators.outliers import NumericStats, numeric_stats
 from sieveline.operators.types import suggests
 from sieveline.options import Options
 
@@ -43,13 +43,6 @@ def _is_extreme(stats: NumericStats, value: str, options: Options) -> str | None
             f"AND {value} NOT IN ({listed}))")
 
 
-def value_stats(df: DataFrame, options: Options = Options(), columns: list[str] | None = None) -> dict[str, NumericStats]:
-    """Moments and median of numeric columns."""
-    by_column = moments(df, columns)
-    medians = column_quantiles(df, list(by_column), (0.5,), options)
-    return {n: NumericStats(**{**s.__dict__, "median": medians[n].values[0.5]}) for n, s in by_column.items()}
-
-
 def suspicious_values(df: DataFrame, options: Options = Options(), stats: dict[str, NumericStats] | None = None,
                       types: tuple[str, ...] = (NEGATIVE, SENTINEL, EXTREME), columns: list[str] | None = None,
                       row_id: str | None = None) -> DataFrame:
@@ -61,7 +54,7 @@ def suspicious_values(df: DataFrame, options: Options = Options(), stats: dict[s
     """
     column_kinds = {n: k for n, k in kinds(df).items() if k in NUMERIC_KINDS and (columns is None or n in columns)}
     if stats is None and set(types) != {NEGATIVE}:
-        stats = value_stats(df, options, list(column_kinds))
+        stats = numeric_stats(df, options, list(column_kinds), (0.5,))
     rules: list[tuple[str, str, str, float | None]] = []
     for name, kind in column_kinds.items():
         value = number(name, kind)

@@ -74,17 +74,6 @@ class Fitted:
     cleaned: DataFrame
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """The table written once to the checkpoint folder, if the cluster names one; else unchanged."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 WEIGHT, RAW = "__weight", "__raw_"
 
 
@@ -93,12 +82,12 @@ def _without_copies(profile: Profile) -> tuple[DataFrame, str | None]:
 
     Few copies are taken away by weight: the raw table counts 1 per row, and each repeated row
     follows once with the negative number of its surplus copies. Aggregates then read only their
-    own columns of the raw table, with no join and no shuffle of rows. Plentiful copies are
-    removed for real, once, in a table written to the checkpoint folder.
+    own columns of the raw table, with no join and no shuffle of rows. Plentiful copies have been
+    grouped already, in a table in the shared folder.
     """
     keep = profile.options.duplicates.keep
     if not profile.copies.few:
-        return reliable(fixes.drop_duplicates(profile.df, keep)), None
+        return profile.copies.kept(keep).select(*[ref(n) for n in profile.df.columns]), None
     rows = profile.df.selectExpr("*", f"1L AS {WEIGHT}")
     return rows.unionByName(profile.copies.surplus(keep).withColumnRenamed("__surplus", WEIGHT)
                             .withColumn(WEIGHT, -F.col(WEIGHT))), WEIGHT
@@ -225,12 +214,7 @@ def fit(profile: Profile, dry_run: bool = False) -> Fitted:
     sizes.append((rows, rows - dropped, len(left), len(left) + added))
 
     steps = [Step(name, *size, tuple(done)) for name, size, done in zip(STEPS, sizes, operations)]
-    if dry_run:
-        cleaned = profile.table
-    elif plan.keep and not profile.copies.few and profile.row_id is None:
-        cleaned = plan.apply_to_rows(table)
-    else:
-        cleaned = plan.apply(profile.table, profile.copies)
+    cleaned = profile.table if dry_run else plan.apply(profile.table, profile.copies)
     return Fitted(plan, steps, cleaned)
 
 

@@ -113,20 +113,43 @@ class Profile:
             self.copies.release()
 
     def run(self) -> "Profile":
-        self._scan()
-        by_group = (
-            (("missing_values", self._missing), ("type_inference", self._types), ("outliers", self._outliers),
-             ("suspicious_values", self._suspicious)),
-            (("duplicates", self._duplicates),),
-            (("cardinality", self._cardinality),),
-            (("category_consistency", self._categories),),
+        """Gather the facts in independent jobs, then draw the results from them."""
+        facts: dict[str, Any] = {}
+
+        def gather(check: str, step: Callable[[], Any]) -> Callable[[], None]:
+            return lambda: facts.update({check: self._guarded(check, step)})
+
+        spark, numeric = self.df.sparkSession, [n for n, k in self.kinds.items() if k in NUMERIC_KINDS]
+        side_by_side(
+            spark, self._scan,
+            gather("outliers", lambda: outliers.column_quantiles(self.df, numeric, outliers.QUARTILES, self.options)),
+            gather("duplicates", lambda: duplicates.find_copies(self.table, self.options, self.row_id, store=True)),
+            gather("cardinality", lambda: cardinality.distinct_counts(self.df, self.options)),
+            gather("category_consistency", lambda: categories.inconsistent_columns(self.df, self.options)),
+        )
+        self.copies, self.categories = facts["duplicates"], facts["category_consistency"] or []
+        if self.n_rows == 0:
+            self.release()
+            raise ValidationError("the table is empty")
+        if facts["outliers"] is not None:
+            self.stats = outliers.with_quartiles(self.stats, facts["outliers"])
+        if facts["cardinality"] is not None:
+            self.cardinality = cardinality.cardinality_issues(
+                self.df, self.options, n_rows=self.n_rows, counts=facts["cardinality"])
+
+        def draw(*checks: tuple[str, Callable[[], CheckResult]]) -> Callable[[], None]:
+            def run_checks() -> None:
+                for name, check in checks:
+                    if name not in self.results:
+                        self.results[name] = self._guarded(name, check) or self.results[name]
+            return run_checks
+
+        side_by_side(
+            spark, draw(("missing_values", self._missing), ("type_inference", self._types),
+                        ("category_consistency", self._categories)),
+            draw(("outliers", self._outliers)), draw(("suspicious_values", self._suspicious)),
+            draw(("duplicates", self._duplicates)), draw(("cardinality", self._cardinality)),
         )
-
-        def run_group(group) -> None:
-            for name, check in group:
-                self.results[name] = self._guarded(name, check) or self.results[name]
-
-        side_by_side(self.df.sparkSession, *[lambda group=group: run_group(group) for group in by_group])
         self.results = {name: self.results[name] for name in CHECKS}
         for name, extra in _EXTRA_CHECKS.items():
             self.results[name] = self._guarded(name, lambda extra=extra: extra(self)) or self.results[name]
@@ -152,8 +175,6 @@ class Profile:
             **outliers.moment_expressions(self.df),
         }, self.options.scale.expressions_per_pass)
         self.n_rows = seen["", "rows"]
-        if self.n_rows == 0:
-            raise ValidationError("the table is empty")
         counts = {n: seen[n, "missing"] for n in self.kinds}
         affected = {n: c for n, c in counts.items() if c > 0}
         drop = [n for n, c in affected.items() if c / self.n_rows >= rules.drop_column_threshold]
@@ -188,7 +209,6 @@ class Profile:
 
     def _duplicates(self) -> CheckResult:
         keep = self.options.duplicates.keep
-        self.copies = duplicates.find_copies(self.table, self.options, self.row_id)
         self.n_duplicates = self.copies.count(keep)
         if self.n_duplicates == 0:
             return CheckResult("duplicates")
@@ -217,7 +237,6 @@ class Profile:
 
     def _outliers(self) -> CheckResult:
         rules = self.options.outliers
-        self.stats = outliers.numeric_stats(self.df, self.options, by_column=self.stats)
         self.outliers = outliers.outliers(self.df, self.options, self.stats)
         if not self.outliers:
             return CheckResult("outliers")
@@ -243,8 +262,7 @@ class Profile:
              "method_used": rules.method})
 
     def _cardinality(self) -> CheckResult:
-        found = cardinality.cardinality_issues(self.df, self.options, n_rows=self.n_rows)
-        self.cardinality = found
+        found = self.cardinality
         affected = [*found.constant, *found.near_constant, *found.high_cardinality]
         if not affected:
             return CheckResult("cardinality")
@@ -268,7 +286,6 @@ class Profile:
                      "top_3_values": top[n], "dtype": types_of[n]} for n in found.high_cardinality}})
 
     def _categories(self) -> CheckResult:
-        self.categories = categories.inconsistent_columns(self.df, self.options)
         if not self.categories:
             return CheckResult("category_consistency")
         total = sum(c.inconsistencies for c in self.categories)

@@ -4,7 +4,6 @@ from conftest import rows
 from sieveline import CleaningPlan, Options, clean, register_fix, unregister_fix
 from sieveline.errors import PlanError
 from sieveline.operators import duplicates, fixes
-from sieveline.plans import fit as fitting
 from sieveline.plans import standalone
 from sieveline.plans.run import rank_issues
 
@@ -264,5 +263,7 @@ def test_every_step_of_the_plan_but_duplicates_needs_no_shuffle(shop):
     assert "Exchange" not in text and "Python" not in text
 
 
-def test_checkpoint_folder_is_used_for_plentiful_copies(shop):
-    assert fitting.reliable(shop).count() == shop.count()
+def test_plentiful_copies_are_grouped_once_in_the_shared_folder(shop):
+    copies = duplicates.find_copies(shop, options(scale={"broadcast_rows": 0}), store=True)
+    assert not copies.few and copies.count() == 1
+    assert "FileScan parquet" in copies.groups._jdf.queryExecution().executedPlan().toString()

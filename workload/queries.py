@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from sieveline.operators import (
 from sieveline.plans import standalone
 from sieveline.plans.run import rank_issues
 from sieveline.sources.csv import read_csv
+from sieveline.sources.shared import shared_folder
 from sieveline.sources.sinks import read_plan, write_plan, write_table
 from sieveline.streaming.replay import clean_stream
 from workload.views import table, view
@@ -32,8 +32,7 @@ def query(function: Query) -> Query:
 
 def _work_folder(spark: SparkSession) -> str:
     """A new folder below the shared one the cluster names; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sieveline-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return shared_folder(spark) or tempfile.mkdtemp(prefix="sieveline-")
 
 
 def _options(**sections) -> Options:
