@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from sieveline.errors import ValidationError
 from sieveline.functions.columns import has_map, ref
 from sieveline.functions.fixed import SAMPLE_ROWS
 from sieveline.options import Options
-from sieveline.sources.shared import written
+from sieveline.sources.shared import kept, written
 
 HASH, COPIES, FIRST_ID, LAST_ID = "__row_hash", "__copies", "__first_id", "__last_id"
 
@@ -37,7 +36,8 @@ class Copies:
 
     ``hashes`` are the suspect hashes. ``groups`` holds every distinct suspect row once, with its
     number of copies and, if rows have ids, the smallest and largest id. While the suspects are
-    ``few``, both are cached, and ``release`` frees them. Otherwise every row counts as suspect.
+    ``few``, both are small tables: written to the shared folder, or cached where there is none,
+    until ``release``. Otherwise every row counts as suspect.
     """
 
     content: list[str]
@@ -92,13 +92,14 @@ def find_copies(df: DataFrame, options: Options = Options(), row_id: str | None
     content = [n for n in df.columns if n != row_id]
     hashes = (
         df.select(row_hash(df, content).alias(HASH)).groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select(HASH).persist(StorageLevel.MEMORY_AND_DISK)
+        .where("n > 1").select(HASH)
     )
+    hashes = kept(hashes)
     n_hashes = hashes.count()
     few = n_hashes <= options.scale.broadcast_rows
     if few:
         suspects = df.withColumn(HASH, row_hash(df, content)).join(F.broadcast(hashes), HASH, "left_semi")
-        groups = grouped_rows(suspects, content, row_id).persist(StorageLevel.MEMORY_AND_DISK)
+        groups = kept(grouped_rows(suspects, content, row_id))
     else:
         groups = written(grouped_rows(df, content, row_id)) if store else grouped_rows(df, content, row_id)
     return Copies(content, row_id, n_hashes, few, hashes, groups)

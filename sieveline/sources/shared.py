@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +24,9 @@ def written(df: DataFrame) -> DataFrame:
         return df
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A small table that several jobs use: written, or cached where there is no shared folder."""
+    stored = written(df)
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if stored is df else stored

@@ -38,8 +38,8 @@ FROM {orders}""",
     "dirty_lineitem": """
 SELECT * FROM {lineitem} UNION ALL SELECT * FROM {lineitem} WHERE l_orderkey % 50 = 0
 UNION ALL
-SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS INT), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE),
-       CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 'N', 'O', {hot_date}
+SELECT l_orderkey * 0 + 1, l_partkey * 0 + 1, l_suppkey * 0 + 1, CAST(l_linenumber * 0 + 1 AS INT), l_quantity * 0 + 1,
+       l_extendedprice * 0 + 1, l_discount * 0, l_tax * 0, 'N', 'O', {hot_date}
 FROM {lineitem} WHERE l_orderkey % 2 = 0""",
     # a stream source with copies, gaps, spellings and a constant
     "dirty_events": """
