@@ -32,6 +32,11 @@ def to_number(column: str) -> str:
     return f"CASE WHEN {is_number(column)} THEN CAST(trim({column}) AS DOUBLE) END"
 
 
+def rounded(expression: str) -> str:
+    """Four digits, rounded from the exact binary value as Python does."""
+    return f"CAST(format('{{:.4f}}', {expression}) AS DOUBLE)"
+
+
 def to_date(column: str) -> str:
     return (f"coalesce(try_strptime({column}, '%Y-%m-%d'), try_strptime({column}, '%m/%d/%Y'), try_strptime({column}, '%Y%m%d'))")
 
@@ -85,25 +90,26 @@ SELECT '{c}' AS "column", count({c}) AS n_values, round(CAST(min({c}) AS DOUBLE)
        round(CAST(max({c}) AS DOUBLE), 6) AS max_value, round(avg({c}), 6) AS mean_value, round(stddev_samp({c}), 6) AS std_value,
        round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q1, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median,
        round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q3 FROM lineitem""")
-ORACLES["outlier_iqr_fences"] = per_column(LINEITEM_NUMBERS, """
-SELECT '{c}' AS "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence,
-       round(q3 + 1.5 * (q3 - q1), 4) AS upper_fence
-FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM lineitem)""")
+ORACLES["outlier_iqr_fences"] = per_column(LINEITEM_NUMBERS, f"""
+SELECT '{{c}}' AS "column", {rounded('q1')} AS q1, {rounded('q3')} AS q3, {rounded('q1 - 1.5 * (q3 - q1)')} AS lower_fence,
+       {rounded('q3 + 1.5 * (q3 - q1)')} AS upper_fence
+FROM (SELECT quantile_cont(CAST({{c}} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({{c}} AS DOUBLE), 0.75) AS q3 FROM lineitem)""")
 _EVENT_FENCES = ("SELECT q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS low, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS high "
                  "FROM (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)")
 ORACLES["outlier_iqr_counts"] = f"""
 SELECT 'value' AS "column", count(value) AS n_values, count(*) FILTER (value < low OR value > high) AS n_outliers,
-       round(any_value(low), 4) AS lower_fence, round(any_value(high), 4) AS upper_fence
+       {rounded('any_value(low)')} AS lower_fence, {rounded('any_value(high)')} AS upper_fence
 FROM events, ({_EVENT_FENCES})"""
-ORACLES["outlier_zscore"] = "SELECT * FROM (" + per_column(["value", "user_id"], """
-SELECT '{c}' AS "column", count({c}) AS n_values, count(*) FILTER (abs({c} - m) / s > 3) AS n_outliers, round(max(abs({c} - m) / s), 4) AS max_zscore
-FROM events, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM events)""") + ") WHERE n_outliers > 0"
-ORACLES["outlier_both"] = over("dirty_orders", """, f AS (
+ORACLES["outlier_zscore"] = "SELECT * FROM (" + per_column(["value", "user_id"], f"""
+SELECT '{{c}}' AS "column", count({{c}}) AS n_values, count(*) FILTER (abs({{c}} - m) / s > 3) AS n_outliers,
+       {rounded('max(abs({c} - m) / s)')} AS max_zscore
+FROM events, (SELECT avg({{c}}) AS m, stddev_pop({{c}}) AS s FROM events)""") + ") WHERE n_outliers > 0"
+ORACLES["outlier_both"] = over("dirty_orders", f""", f AS (
   SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high, m, s
   FROM (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3, avg(price) AS m, stddev_pop(price) AS s FROM v))
 SELECT 'price' AS "column", count(price) AS n_values,
        count(*) FILTER (price < low OR price > high OR abs(price - m) / s > 3) AS n_outliers,
-       round(any_value(low), 4) AS lower_fence, round(any_value(high), 4) AS upper_fence FROM v, f""")
+       {rounded('any_value(low)')} AS lower_fence, {rounded('any_value(high)')} AS upper_fence FROM v, f""")
 ORACLES["outlier_examples"] = f"""
 SELECT 'value' AS "column", CAST(row_number() OVER (ORDER BY event_id) AS INT) AS nth, value
 FROM events, ({_EVENT_FENCES}) WHERE value < low OR value > high ORDER BY event_id LIMIT 5"""
@@ -259,7 +265,7 @@ _KEPT = """, k AS (SELECT * FROM c WHERE 6 - (CAST(balance IS NULL AS INT) + CAS
 _FILLED = f""", f AS (SELECT id, coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM k)) AS balance,
        coalesce(segment, {mode_of('segment', 'k')}) AS segment, nation_code, is_active, age FROM k)"""
 ORACLES["clean_customer"] = over("dirty_customer", _DEDUP + _CAST + _KEPT + _FILLED + f"""
-SELECT f.*, age < round(low, 4) OR age > round(high, 4) AS age_is_outlier FROM f, {_fences('age')}""")
+SELECT f.*, age < {rounded('low')} OR age > {rounded('high')} AS age_is_outlier FROM f, {_fences('age')}""")
 _RUN = _DEDUP + _CAST + _KEPT + _FACTS + """, r AS (
   SELECT n, dups, n - dups AS n1, (SELECT count(*) FROM k) AS n2, (SELECT count(*) FROM d) AS n_d FROM facts)"""
 ORACLES["clean_steps"] = over("dirty_customer", _RUN + """
@@ -300,7 +306,7 @@ UNION ALL SELECT 5, 'drop_rows', NULL, NULL, NULL, (SELECT count(*) FROM c) - (S
 UNION ALL SELECT 5, 'impute_column', 'balance', 'median', CAST(quantile_cont(balance, 0.5) AS VARCHAR), count(*) - count(balance), NULL, NULL FROM k
 UNION ALL SELECT 5, 'impute_column', 'segment', 'mode', {mode_of('segment', 'k')}, (SELECT count(*) - count(segment) FROM k), NULL, NULL
 UNION ALL SELECT 6, 'flag_outlier', 'age', 'flag', NULL, (SELECT count(*) FROM k, {_fences('age')} WHERE age < low OR age > high),
-                 (SELECT round(low, 4) FROM {_fences('age')}), (SELECT round(high, 4) FROM {_fences('age')}))
+                 (SELECT {rounded('low')} FROM {_fences('age')}), (SELECT {rounded('high')} FROM {_fences('age')}))
 SELECT CAST(step_no AS INT) AS step_no, type, CAST("column" AS VARCHAR) AS "column", CAST(strategy AS VARCHAR) AS strategy,
        CAST(fill_value AS VARCHAR) AS fill_value, CAST(n_cells AS BIGINT) AS n_cells, CAST(lower AS DOUBLE) AS lower, CAST(upper AS DOUBLE) AS upper FROM o""")
 ORACLES["findings"] = over("dirty_customer", _FACTS + f"""
@@ -346,20 +352,20 @@ def _orders_run(source: str) -> str:
 
 
 ORACLES["clean_orders_cap"] = over("dirty_orders", _orders_run("SELECT * FROM k") + f"""
-SELECT id, order_date, CASE WHEN price < round(low, 4) THEN round(low, 4) WHEN price > round(high, 4) THEN round(high, 4) ELSE price END AS price,
+SELECT id, order_date, CASE WHEN price < {rounded('low')} THEN {rounded('low')} WHEN price > {rounded('high')} THEN {rounded('high')} ELSE price END AS price,
        status, priority, qty FROM f, {_fences('price')}""")
 ORACLES["clean_orders_drop"] = over("dirty_orders", _orders_run("SELECT * FROM k") + f"""
 SELECT f.* FROM f, (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM (
   SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM f)) WHERE price BETWEEN low AND high""")
 ORACLES["plan_replay"] = over("dirty_orders", _orders_run("SELECT * FROM k WHERE id % 2 = 0") + f"""
-SELECT f.*, price < round(low, 4) OR price > round(high, 4) AS price_is_outlier FROM f,
+SELECT f.*, price < {rounded('low')} OR price > {rounded('high')} AS price_is_outlier FROM f,
   {_fences('price').replace('FROM v)', 'FROM v WHERE id % 2 = 0)')}""")
 ORACLES["csv_round_trip"] = over("dirty_orders", "SELECT id, order_date, price, status, priority, CAST(qty AS DOUBLE) AS qty FROM v")
 ORACLES["stream_replay"] = over("dirty_events", f""", d AS (SELECT DISTINCT * FROM v), n AS (
   SELECT event_id, ts, user_id, lower(event_type) AS event_type, value FROM d)
 SELECT event_id, ts, user_id, event_type, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM n)) AS value,
-       coalesce(value, (SELECT quantile_cont(value, 0.5) FROM n)) < round(low, 4)
-       OR coalesce(value, (SELECT quantile_cont(value, 0.5) FROM n)) > round(high, 4) AS value_is_outlier FROM n, {_fences('value')}""")
+       coalesce(value, (SELECT quantile_cont(value, 0.5) FROM n)) < {rounded('low')}
+       OR coalesce(value, (SELECT quantile_cont(value, 0.5) FROM n)) > {rounded('high')} AS value_is_outlier FROM n, {_fences('value')}""")
 
 # --- prompts and replies
 _TOKENS = "CAST(ceil(length(text) / 3.5) AS BIGINT)"
