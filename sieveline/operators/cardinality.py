@@ -112,6 +112,22 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VAL
     return reduce(DataFrame.unionByName, parts)
 
 
+def smallest_values(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFrame:
+    """The k smallest present values per column, as ``top_values`` has them for columns without repeats.
+
+    Nothing is counted, so no values are shuffled but the k smallest of every task.
+    """
+    column_kinds = kinds(df)
+    parts = []
+    for names in _families(df, columns):
+        cells = df.selectExpr(*[f"{present(name, column_kinds[name])} AS v{i}" for i, name in enumerate(names)])
+        parts.append(
+            cells.unpivot([], [f"v{i}" for i in range(len(names))], "slot", "value").where("value IS NOT NULL")
+            .selectExpr("*", "row_number() OVER (PARTITION BY slot ORDER BY value) AS nth").where(f"nth <= {k}")
+            .selectExpr(f"{slot_name(names)} AS column", "nth", "CAST(value AS STRING) AS value", "1L AS n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def constant_columns(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Columns whose present values are all equal, with that value as text. One scan, no shuffle of values."""
     column_kinds = kinds(df)
@@ -127,6 +143,11 @@ def constant_columns(df: DataFrame, columns: list[str] | None = None) -> dict[st
     return {n: values[n] for n in same}
 
 
+def has_unique_column(counts: dict[str, Distinct], n_rows: int) -> bool:
+    """Whether some column holds a different value in every row, so that no two rows can be equal."""
+    return any(c.top_count == 1 and c.n_values == n_rows for c in counts.values())
+
+
 @dataclass(frozen=True)
 class CardinalityIssues:
     """Names of the columns in each class; near-constant takes precedence over high-cardinality."""

@@ -44,8 +44,8 @@ class Copies:
     row_id: str | None
     n_hashes: int
     few: bool
-    hashes: DataFrame
-    groups: DataFrame
+    hashes: DataFrame | None
+    groups: DataFrame | None
 
     def count(self, keep: str = "first") -> int:
         """Rows beyond the kept one (first, last), or all rows of repeated groups (none)."""
@@ -71,8 +71,14 @@ class Copies:
         return self.groups.where(f"{COPIES} > 1").selectExpr(*[ref(n) for n in self.content], f"{extra} AS __surplus")
 
     def release(self) -> None:
-        self.hashes.unpersist()
-        self.groups.unpersist()
+        if self.hashes is not None:
+            self.hashes.unpersist()
+            self.groups.unpersist()
+
+
+def no_copies(df: DataFrame, row_id: str | None = None) -> Copies:
+    """What ``find_copies`` finds where a column already tells all rows apart."""
+    return Copies([n for n in df.columns if n != row_id], row_id, 0, True, None, None)
 
 
 def grouped_rows(df: DataFrame, content: list[str], row_id: str | None = None) -> DataFrame:

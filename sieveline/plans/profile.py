@@ -119,12 +119,18 @@ class Profile:
         def gather(check: str, step: Callable[[], Any]) -> Callable[[], None]:
             return lambda: facts.update({check: self._guarded(check, step)})
 
+        def count_values_then_find_copies() -> None:
+            gather("cardinality", lambda: cardinality.distinct_counts(self.df, self.options))()
+            if cardinality.has_unique_column(facts["cardinality"] or {}, self.df.count()):
+                facts["duplicates"] = duplicates.no_copies(self.table, self.row_id)
+            else:
+                gather("duplicates", lambda: duplicates.find_copies(self.table, self.options, self.row_id, store=True))()
+
         spark, numeric = self.df.sparkSession, [n for n, k in self.kinds.items() if k in NUMERIC_KINDS]
         side_by_side(
             spark, self._scan,
             gather("outliers", lambda: outliers.column_quantiles(self.df, numeric, outliers.QUARTILES, self.options)),
-            gather("duplicates", lambda: duplicates.find_copies(self.table, self.options, self.row_id, store=True)),
-            gather("cardinality", lambda: cardinality.distinct_counts(self.df, self.options)),
+            count_values_then_find_copies,
             gather("category_consistency", lambda: categories.inconsistent_columns(self.df, self.options)),
         )
         self.copies, self.categories = facts["duplicates"], facts["category_consistency"] or []
@@ -268,7 +274,12 @@ class Profile:
             return CheckResult("cardinality")
         types_of = dict(self.df.dtypes)
         top: dict[str, list[str]] = {}
-        for row in sorted(cardinality.top_values(self.df, affected).collect(), key=lambda r: r["nth"]):
+        unique = [n for n in affected if found.counts[n].top_count == 1 and n not in found.constant]
+        repeated = [n for n in affected if n not in unique]
+        rows = [
+            row for names, values in ((unique, cardinality.smallest_values), (repeated, cardinality.top_values)) if names
+            for row in values(self.df, names).collect()]
+        for row in sorted(rows, key=lambda r: r["nth"]):
             top.setdefault(row["column"], []).append(row["value"])
         return CheckResult(
             "cardinality", True, "critical" if found.constant else "warning", affected,

@@ -134,6 +134,17 @@ def test_cardinality_classes(spark):
     assert 90 <= approximate["id"].n_distinct <= 110
 
 
+def test_unique_columns_need_no_counting(spark):
+    df = spark.createDataFrame([(i, f"name {i:03d}", float(i) if i else None) for i in range(50)], "id int, name string, x double")
+    names = ["id", "name", "x"]
+    assert rows(cardinality.smallest_values(df, names)) == rows(cardinality.top_values(df, names))
+    counts = cardinality.distinct_counts(df)
+    assert cardinality.has_unique_column(counts, 50) and not cardinality.has_unique_column({"x": counts["x"]}, 50)
+    found = profile(df)
+    assert found.copies.hashes is None and found.n_duplicates == 0
+    assert found.results["cardinality"].details["high_cardinality_columns"]["name"]["top_3_values"] == ["name 000", "name 001", "name 002"]
+
+
 def test_zero_signs_and_nan_are_one_value(spark):
     df = spark.createDataFrame([(0.0,), (-0.0,), (NAN,), (None,)], "x double")
     assert cardinality.distinct_counts(df)["x"].n_distinct == 1
