@@ -288,6 +288,9 @@ def fit_fills(df: DataFrame, strategies: dict[str, str], options: Options, weigh
             value, data_type = learned[strategy][name], "double"
         elif strategy == "mode":
             value, data_type = learned[strategy].get(name), types[name]
+            if data_type == "timestamp" and value is not None:
+                # An instant, printed in the time zone of this session; a replay may run in another.
+                value = f"{value} {df.sparkSession.conf.get('spark.sql.session.timeZone')}"
         else:
             value = "0" if strategy == "zero" else options.missing_values.constant_fill_value
             value, data_type = str(value), types[name]

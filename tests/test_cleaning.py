@@ -4,6 +4,7 @@ from conftest import rows
 from sieveline import CleaningPlan, Options, clean, register_fix, unregister_fix
 from sieveline.errors import PlanError
 from sieveline.operators import duplicates, fixes
+from sieveline.plans import fit as fitting
 from sieveline.plans import standalone
 from sieveline.plans.run import rank_issues
 
@@ -201,7 +202,7 @@ def test_imputation_strategies(spark):
     df = spark.createDataFrame([(1, "b", True), (None, None, None), (4, "a", False), (4, "b", True), (1, "a", True)], "n int, s string, f boolean")
     assert filled(df)[1] == (2.5, "a", 1.0)
     assert filled(df, numeric_imputation="mean")[1] == (2.5, "a", 0.75)
-    assert filled(df, numeric_imputation="mode")[1] == (1, "a", True)
+    assert filled(df, numeric_imputation="mode")[1] == filled(df, numeric_imputation="none")[1] == (1, "a", True)
     assert filled(df, numeric_imputation="zero", categorical_imputation="constant")[1] == (0, "UNKNOWN", False)
     assert filled(df, numeric_imputation="constant", constant_fill_value="1")[1] == (1, "a", True)
     with pytest.raises(PlanError):
@@ -219,6 +220,18 @@ def test_dates_take_the_most_frequent_value(spark):
     assert str(filled(df)[3][0]) == "2024-01-02 03:04:05.678000"
 
 
+def test_instants_mean_the_same_in_another_time_zone(spark):
+    df = spark.sql("SELECT * FROM VALUES (TIMESTAMP '2024-07-02 03:04:05Z'), (TIMESTAMP '2024-07-02 03:04:05Z'), (null) AS t(ts)")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Oslo")
+        (fill,) = fitting.fit_fills(df, {"ts": "mode"}, Options())
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert fixes.fill_missing(df, [fill]).selectExpr("unix_seconds(ts) AS s").distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_outlier_actions_leave_missing_cells_alone(spark):
     df = spark.createDataFrame([(1, -5.0), (2, 999.0), (3, None), (4, float("nan")), (5, 10.0)], "i int, x double")
     fences = [fixes.Fence("x", -1.0, 55.0)]

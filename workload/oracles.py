@@ -369,7 +369,7 @@ SELECT event_id, ts, user_id, event_type, coalesce(value, (SELECT quantile_cont(
 
 # --- prompts and replies
 _TOKENS = "CAST(ceil(length(text) / 3.5) AS BIGINT)"
-ORACLES["estimated_tokens"] = f"SELECT doc_id, {_TOKENS} AS estimated_tokens FROM documents"
+ORACLES["estimate_tokens"] = f"SELECT doc_id, {_TOKENS} AS estimated_tokens FROM documents"
 
 
 def _budget(table: str, run: str, seq: str, shown: str, limit: int) -> str:

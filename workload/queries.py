@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline import CleaningPlan, Options, clean, profile
-from sieveline.functions.scalars import estimate_tokens
+from sieveline.functions.scalars import estimate_tokens as token_estimate
 from sieveline.operators import (
     cardinality, categories, duplicates, fixes, missing, outliers, replies, suspicious, types,
 )
@@ -472,8 +472,8 @@ def stream_replay(spark, sf_dir):
 # --- prompts and replies ------------------------------------------------------------------------
 
 @query
-def estimated_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{estimate_tokens('text')} AS estimated_tokens")
+def estimate_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{token_estimate('text')} AS estimated_tokens")
 
 
 @query
