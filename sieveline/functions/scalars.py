@@ -5,8 +5,9 @@ from __future__ import annotations
 from sieveline.functions.columns import text
 from sieveline.functions.fixed import CHARS_PER_TOKEN, WHITESPACE
 
-_SPACES = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in WHITESPACE) + "]*"
-_DECIMAL = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+# The characters of WHITESPACE, as ranges. Possessive quantifiers keep cells that do not match cheap.
+_SPACES = r"[\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*+"
+_DECIMAL = r"(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?+"
 _NUMBER = rf"^{_SPACES}([+-]?(?:{_DECIMAL}|(?i:inf|infinity))){_SPACES}$"
 
 # Layouts of dates, with the years a nanosecond timestamp can hold. A time part may follow the date.

@@ -79,14 +79,17 @@ def moment_expressions(df: DataFrame, columns: list[str] | None = None) -> dict[
     return {
         (name, part): f"{function}({number(name, kind)})" for name, kind in kinds(df).items()
         if kind in NUMERIC_KINDS and (columns is None or name in columns)
-        for part, function in (("count", "count"), ("min", "min"), ("max", "max"), ("mean", "avg"),
-                               ("std", "stddev_samp"), ("pop", "stddev_pop"))
+        for part, function in (("count", "count"), ("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_samp"))
     }
 
 
 def moments_from(seen: dict[tuple[str, str], float]) -> dict[str, NumericStats]:
-    names = [name for name, part in seen if part == "mean"]
-    return {n: NumericStats(n, *[seen[n, part] for part in ("count", "min", "max", "mean", "std", "pop")]) for n in names}
+    result = {}
+    for name in [name for name, part in seen if part == "mean"]:
+        n, std = seen[name, "count"], seen[name, "std"]
+        pop = std * math.sqrt((n - 1) / n) if std is not None else 0.0 if n else None
+        result[name] = NumericStats(name, n, *[seen[name, part] for part in ("min", "max", "mean")], std, pop)
+    return result
 
 
 def moments(df: DataFrame, columns: list[str] | None = None) -> dict[str, NumericStats]:

@@ -121,11 +121,11 @@ class ScaleOptions:
 
     exact_quantiles: bool = True
     exact_distinct: bool = True
-    expressions_per_pass: int = 90
+    fields_per_pass: int = 90
     broadcast_rows: int = 1_000_000
 
     def __post_init__(self):
-        _number("scale", "expressions_per_pass", self.expressions_per_pass, low=1)
+        _number("scale", "fields_per_pass", self.fields_per_pass, low=1)
         _number("scale", "broadcast_rows", self.broadcast_rows, low=0)
 
 

@@ -174,12 +174,15 @@ class Profile:
     def _scan(self) -> None:
         """Everything that plain aggregates can tell, in one pass: rows, missing cells, parse rates, moments."""
         rules = self.options.missing_values
-        seen = aggregate_row(self.df, {
+        wanted = {
             **types.type_expressions(self.df),
             ("", "sparse"): count_if(missing.sparse_row(self.kinds, rules.drop_row_threshold)),
             **{(n, "missing"): count_if(is_missing(n, k)) for n, k in self.kinds.items()},
             **outliers.moment_expressions(self.df),
-        }, self.options.scale.expressions_per_pass)
+        }
+        position = {"": -1, **{n: i for i, n in enumerate(self.kinds)}}
+        by_column = {key: wanted[key] for key in sorted(wanted, key=lambda key: position[key[0]])}
+        seen = aggregate_row(self.df, by_column, self.options.scale.fields_per_pass)
         self.n_rows = seen["", "rows"]
         counts = {n: seen[n, "missing"] for n in self.kinds}
         affected = {n: c for n, c in counts.items() if c > 0}
