@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveline.errors import SievelineError
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """A new folder below the checkpoint folder of the session, or None where the session names none."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder of the session.
+
+    Where the session names none, a run within one machine takes a folder of that machine; a cluster must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/sieveline-{uuid.uuid4().hex}" if base else None
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise SievelineError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sieveline-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/sieveline-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The table written once and read back, so later passes read only the columns they need.
-
-    Without a shared folder the table stays as it is and is computed again where it is used.
-    """
+    """The table written once and read back, so later passes read only the columns they need."""
     folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A small table that several jobs use: written, or cached where there is no shared folder."""
-    stored = written(df)
-    return df.persist(StorageLevel.MEMORY_AND_DISK) if stored is df else stored
+    """A small table that several jobs use."""
+    return written(df)
