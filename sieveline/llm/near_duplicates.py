@@ -92,11 +92,11 @@ def signatures(bags: list[np.ndarray], registers: int, seed: int = 1) -> np.ndar
         return found
     owner, element, low, weight = (np.concatenate(x) for x in (owner, element, low, weight))
     width = np.maximum(low, 1).astype(np.float64)  # [0,1), [1,2), [2,4), ...
-    state = _mixed(element * _U(0x9E3779B97F4A7C15) + _mixed(low.astype(_U) + _U(seed) * _U(0xD6E8FEB86659FD93)))
-    time, number = np.zeros(len(owner)), _U(0)
+    state = _mixed(element * _U(0x9E3779B97F4A7C15) + _mixed(low.astype(_U) + _U(seed)))
+    time, number = np.zeros(len(owner)), 0
     while len(owner):
-        number += _U(1)
-        bits = _mixed(state + number * _U(0x9E3779B97F4A7C15))
+        number = (number + 0x9E3779B97F4A7C15) % 2 ** 64
+        bits = _mixed(state + _U(number))
         time = time - np.log(((bits >> _U(11)) + _U(1)) * 2.0 ** -53) / width
         place = _mixed(bits + _U(0x632BE59BD9B4E019))
         register = ((place >> _U(32)) * _U(registers)) >> _U(32)
@@ -200,7 +200,8 @@ def duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     named = nodes.join(classes, "node").groupBy("component").agg(F.min("id").alias("class_id"))
     of_key = nodes.join(classes, "node", "left").join(named, "component", "left").select("key", F.coalesce("class_id", "id").alias("class_id"))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(F.nullif(F.col(text).cast("string"), F.lit("")).cast("binary"))).alias("key"))
-    return rows.join(written(of_key), "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return rows.join(written(of_key), "key", "left").select("doc_id", named.alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:

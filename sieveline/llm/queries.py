@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import decontaminate, language_id, mixing, quality, sharding, token_counts, token_files
+from sieveline.llm import (
+    decontaminate, language_id, line_dedup, mixing, near_duplicates, nearest, quality, sharding, token_counts, token_files,
+)
 from sieveline.llm.common import held_out, table
 from sieveline.sources.shared import shared_folder
 
@@ -32,10 +34,23 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,5 +60,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_token_files, op3_mixing, op4_quality, op6_decontamination, op9_token_counts, op10_sharding,
+    op1_language_id, op2_token_files, op3_mixing, op4_quality, op5_near_duplicates, op6_decontamination, op7_line_dedup,
+    op8_nearest, op9_token_counts, op10_sharding,
 )}
