@@ -247,6 +247,11 @@ def test_duplicate_classes(spark, docs, odd, none):
         copies.append((i, " ".join(words)))
     for df in (docs, odd, spark.createDataFrame(copies, "doc_id long, text string")):
         assert Counter(tuple(r) for r in near_duplicates.duplicate_classes(df).collect()) == classes_of(df.collect())
+    small, near_duplicates.SMALL_BUCKET = near_duplicates.SMALL_BUCKET, 1  # every open bucket by longer signatures
+    try:
+        assert Counter(tuple(r) for r in near_duplicates.duplicate_classes(df).collect()) == classes_of(df.collect())
+    finally:
+        near_duplicates.SMALL_BUCKET = small
     stay = near_duplicates.drop_near_duplicates(odd)
     assert stay.columns == odd.columns
     kept = Counter(r.doc_id for r in stay.collect())
