@@ -109,9 +109,3 @@ def count_if(condition: str, weight: str | None = None) -> str:
 def slot_name(names: list[str]) -> str:
     """Column name behind an unpivoted slot label ``v<position>``."""
     return f"element_at(array({', '.join(text(n) for n in names)}), CAST(substring(slot, 2) AS INT) + 1)"
-
-
-def first_rows(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows in the order of the input files, the same ones on every evaluation."""
-    numbered = df.selectExpr("monotonically_increasing_id() AS __position", "*")
-    return numbered.orderBy("__position").limit(n).drop("__position")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.columns import ref, text
-from sieveline.functions.scalars import estimate_tokens, prompt_key
+from sieveline.functions.scalars import estimate_tokens, parse_number, prompt_key
 
 HOT_ROWS = 1_000_000
 
@@ -138,7 +138,9 @@ def parse_replies(df: DataFrame, reply: str) -> DataFrame:
     def as_text(name: str) -> str:
         return f"CASE WHEN {kind(name)} = 'STRING' THEN try_variant_get(__json, '$.{name}', 'string') END"
 
-    score = (f"CASE WHEN {kind('data_quality_score')} RLIKE '^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)' "
+    score = (f"CASE WHEN {kind('data_quality_score')} = 'STRING' "
+             f"THEN {parse_number("try_variant_get(__json, '$.data_quality_score', 'string')")} "
+             f"WHEN {kind('data_quality_score')} RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)' "
              "THEN try_variant_get(__json, '$.data_quality_score', 'double') END")
     typed = found.selectExpr(
         *[ref(n) for n in df.columns], "__json",

@@ -31,11 +31,6 @@ def _number(section: str, name: str, value: Any, low: float | None = None, high:
 class DatasetOptions:
     encoding: str = "utf-8"
     delimiter: str = ","
-    max_rows_for_analysis: int | None = None
-
-    def __post_init__(self):
-        if self.max_rows_for_analysis is not None:
-            _number("dataset", "max_rows_for_analysis", self.max_rows_for_analysis, low=100)
 
 
 @dataclass(frozen=True)

@@ -80,7 +80,7 @@ WEIGHT, RAW = "__weight", "__raw_"
 def _without_copies(profile: Profile) -> tuple[DataFrame, str | None]:
     """A table that aggregates like the one without duplicates, and the weight column to aggregate by.
 
-    Few copies are taken away by weight: the raw table counts 1 per row, and each repeated row
+    Where a mean is to be learned, it is the rows that stay. Else, few copies are taken away by weight: the raw table counts 1 per row, and each repeated row
     follows once with the negative number of its surplus copies. Aggregates then read only their
     own columns of the raw table, with no join and no shuffle of rows. Plentiful copies have been
     grouped already, in a table in the shared folder.
@@ -88,6 +88,10 @@ def _without_copies(profile: Profile) -> tuple[DataFrame, str | None]:
     keep = profile.options.duplicates.keep
     if not profile.copies.few:
         return profile.copies.kept(keep).select(*[ref(n) for n in profile.df.columns]), None
+    if profile.copies.n_hashes and profile.options.missing_values.numeric_imputation == "mean":
+        # Sums must not add what they take away again: large values would cancel the others.
+        return profile.copies.outside(profile.df).unionByName(
+            profile.copies.kept(keep).select(*[ref(n) for n in profile.df.columns])), None
     rows = profile.df.selectExpr("*", f"1L AS {WEIGHT}")
     return rows.unionByName(profile.copies.surplus(keep).withColumnRenamed("__surplus", WEIGHT)
                             .withColumn(WEIGHT, -F.col(WEIGHT))), WEIGHT
@@ -101,7 +105,7 @@ def _castable(df: DataFrame, issues: list[TypeIssue]) -> tuple[dict[str, str], l
             fixes.cast_columns(df, {issue.column: issue.issue}).schema
             casts[issue.column] = issue.issue
         except (PySparkException, PlanError) as error:
-            failed.append(Operation("cast_column_failed", issue.column, details={"error": str(error)[:500]}))
+            failed.append(Operation("cast_column_failed", issue.column, details={"error": str(error)}))
     return casts, failed
 
 

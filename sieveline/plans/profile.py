@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from sieveline.errors import ValidationError
 from sieveline.functions import fixed
-from sieveline.functions.columns import NUMERIC_KINDS, count_if, first_rows, is_missing, kinds
+from sieveline.functions.columns import NUMERIC_KINDS, count_if, is_missing, kinds
 from sieveline.operators import cardinality, categories, duplicates, missing, outliers, suspicious, types
 from sieveline.operators.aggregate import aggregate_row, side_by_side
 from sieveline.options import Options
@@ -90,8 +90,7 @@ class Profile:
     def __init__(self, df: DataFrame, options: Options = Options(), row_id: str | None = None):
         if row_id is not None and row_id not in df.columns:
             raise ValidationError(f"no column {row_id!r} to identify rows by")
-        limit = options.dataset.max_rows_for_analysis
-        self.table = df if limit is None else first_rows(df, limit)
+        self.table = df
         self.df = self.table.drop(row_id) if row_id else self.table
         self.options, self.row_id = options, row_id
         self.kinds = kinds(self.df)
@@ -168,7 +167,7 @@ class Profile:
         except (PySparkException, ArithmeticError, LookupError, TypeError, ValueError) as error:
             self.results[name] = CheckResult(
                 name, False, "warning", summary=f"the check failed: {type(error).__name__}",
-                recommendation="look at the error and run the check again", details={"error": str(error)[:2000]})
+                recommendation="look at the error and run the check again", details={"error": str(error)})
             return None
 
     def _scan(self) -> None:

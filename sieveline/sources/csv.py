@@ -6,10 +6,10 @@ import logging
 import os
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sieveline.errors import LoadError, ValidationError
-from sieveline.functions.columns import count_if, first_rows, ref, text
+from sieveline.functions.columns import count_if, ref, text
 from sieveline.functions.fixed import NA_TOKENS
 from sieveline.functions.scalars import parse_number
 from sieveline.operators.aggregate import aggregate_row
@@ -81,9 +81,16 @@ def _column_types(raw: DataFrame, names: list[str]) -> tuple[int, int, dict[str,
     return seen["", "rows"], seen["", "surplus"], types
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",",
-             max_rows: int | None = None) -> DataFrame:
-    """Read a headed, delimited text file (or a folder of them) with inferred column types."""
+def _headers(spark: SparkSession, path: str) -> int:
+    """How many different first lines the files of a path have; only the first block of each file is read."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
+    lines = lines.select("file_path", F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"), F.monotonically_increasing_id().alias("place"))
+    firsts = lines.groupBy("file_path").agg(F.min_by("line", "place").alias("first"))
+    return firsts.select("first").distinct().limit(2).count()
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",") -> DataFrame:
+    """Read a headed, delimited text file (or a folder of them, all with the same header) with inferred column types."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in SUFFIXES:
         raise LoadError(f"unsupported file type {suffix!r}; expected one of {', '.join(SUFFIXES)}")
@@ -95,6 +102,8 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter:
         raise LoadError(f"{path} is empty")
     if invalid:
         raise LoadError(f"{path} is not valid {encoding}; try encoding='iso-8859-1'")
+    if _headers(spark, path) > 1:
+        raise LoadError(f"the files of {path} differ in their headers; read them one by one and join them by name")
     reader = (
         spark.read.option("sep", delimiter).option("encoding", encoding).option("quote", '"').option("escape", '"')
         .option("multiLine", open_quotes).option("mode", "PERMISSIVE")
@@ -110,8 +119,6 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter:
     raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
     tokens = ", ".join(text(t) for t in NA_TOKENS)
     cells = raw.selectExpr(*[f"CASE WHEN {ref(n)} NOT IN ({tokens}) THEN {ref(n)} END AS {ref(n)}" for n in names], _SURPLUS)
-    if max_rows is not None:
-        cells = first_rows(cells, max_rows)
     n_rows, n_surplus, types = _column_types(cells, names)
     if n_surplus:
         raise LoadError(f"{path} has rows with more than the {len(names)} fields of its header; check the delimiter")

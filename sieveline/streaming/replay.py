@@ -13,7 +13,8 @@ def clean_stream(plan: CleaningPlan, stream: DataFrame, event_time: str | None =
     """The cleaned stream. All steps but duplicate removal look at one row and keep no state.
 
     Duplicates are removed within the watermark ``delay`` on ``event_time``, which bounds the
-    state to the rows of that time span. Keeping none of the copies would need the future and is
+    state to the rows of that time span: a row that comes later than the delay is left out by Spark, so the delay must
+    cover how late rows arrive. Rows without an event time are in no time span; they all stay. Keeping none of the copies would need the future and is
     refused.
     """
     if not stream.isStreaming:
@@ -28,5 +29,7 @@ def clean_stream(plan: CleaningPlan, stream: DataFrame, event_time: str | None =
     if event_time is None or delay is None:
         raise PlanError("removing duplicates from a stream needs an event time column and a delay")
     content = [n for n in stream.columns if n != plan.row_id]
-    marked = stream.withColumn("__event_time", stream[ref(event_time)].cast("timestamp")).withWatermark("__event_time", delay)
-    return plan.apply_to_rows(marked.dropDuplicatesWithinWatermark(content).drop("__event_time"))
+    marked = stream.withColumn("__event_time", stream[ref(event_time)].cast("timestamp"))
+    timed = marked.where("__event_time IS NOT NULL").withWatermark("__event_time", delay).dropDuplicatesWithinWatermark(content)
+    untimed = marked.where("__event_time IS NULL")
+    return plan.apply_to_rows(timed.drop("__event_time").unionByName(untimed.drop("__event_time")))

@@ -280,3 +280,12 @@ def test_plentiful_copies_are_grouped_once_in_the_shared_folder(shop):
     copies = duplicates.find_copies(shop, options(scale={"broadcast_rows": 0}), store=True)
     assert not copies.few and copies.count() == 1
     assert "FileScan parquet" in copies.groups._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mean_after_keep_none_does_not_depend_on_the_size_of_copies(spark):
+    """Copies that are taken away leave no trace in a mean, however large they are and however they are joined."""
+    for big in (1e18, float("inf")):
+        df = spark.createDataFrame([(i, float(i)) for i in range(1, 11)] + [(99, big), (99, big), (50, None)], "id long, x double")
+        for limit in (0, 1_000_000):
+            run = clean(df, options(duplicates={"keep": "none"}, missing_values={"numeric_imputation": "mean", "drop_row_threshold": 1.0}, scale={"broadcast_rows": limit}))
+            assert run.cleaned.where("id = 50").first().x == 5.5

@@ -65,3 +65,12 @@ def test_reply_lists_are_cleaned(spark):
     assert [tuple(i) for i in first["column_insights"]] == [("a", "b")] and first["recommendations"] == ["x", "4"]
     assert first["cleaning_assessment"] == "fine"
     assert second["column_insights"] == [] and second["recommendations"] == [] and second["cleaning_assessment"] == ""
+
+
+def test_scores_are_plain_numbers(spark):
+    def reply(score):
+        return '{"overall_summary": "s", "score_rationale": "r", "data_quality_score": %s}' % score
+
+    wanted = {'"85d"': None, '"85f"': None, '" 85 "': 85, "85.9": 85, '"85.9"': 85, '"1e400"': None, "null": None}
+    df = spark.createDataFrame([(k, reply(k)) for k in wanted], "k string, reply string")
+    assert {r.k: r.data_quality_score for r in replies.parse_replies(df, "reply").collect()} == wanted

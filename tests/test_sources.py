@@ -32,10 +32,21 @@ def test_header_names_are_made_unique(spark, tmp_path):
     assert read_csv(spark, write(tmp_path / "h.csv", "a,a,,b\n1,2,3,4\n")).columns == ["a", "a.1", "Unnamed: 2", "b"]
 
 
-def test_delimiter_encoding_and_max_rows(spark, tmp_path):
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "folder.csv"
+    folder.mkdir()
+    write(folder / "1.csv", "a,b\n1,x\n")
+    write(folder / "2.csv", "a,b\n2,y\n")
+    assert rows(read_csv(spark, str(folder))) == [(1, "x"), (2, "y")]
+    write(folder / "3.csv", "b,a\ny,2\n")
+    with pytest.raises(LoadError, match="headers"):
+        read_csv(spark, str(folder))
+
+
+def test_delimiter_and_encoding(spark, tmp_path):
     path = write(tmp_path / "l.tsv", "n;name\n1;é\n2;b\n3;c\n", "latin-1")
-    df = read_csv(spark, path, encoding="iso-8859-1", delimiter=";", max_rows=2)
-    assert rows(df) == [(1, "é"), (2, "b")]
+    df = read_csv(spark, path, encoding="iso-8859-1", delimiter=";")
+    assert rows(df) == [(1, "é"), (2, "b"), (3, "c")]
     with pytest.raises(LoadError, match="not valid"):
         read_csv(spark, path, delimiter=";")
 

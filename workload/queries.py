@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +30,8 @@ def query(function: Query) -> Query:
 
 
 def _work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; a local one only where none is set."""
-    return shared_folder(spark) or tempfile.mkdtemp(prefix="sieveline-")
+    """A new folder below the shared one the cluster names."""
+    return shared_folder(spark)
 
 
 def _options(**sections) -> Options:
