@@ -26,23 +26,34 @@ _LONGEST_KEPT = 64
 _FILE_SCHEMA = "doc_id long, file int, place long, n_tokens long, tokens array<int>"
 
 
-class WordIds(dict):
-    """The ids of a word as bytes (little-endian, 32 bits each), by the library, a bounded number of words kept.
+class WordIds:
+    """The ids of texts as bytes (little-endian, 32 bits each), by the library, with those of a bounded number of words kept.
 
     The tokenizer must treat the words between spaces, tabs and line ends by themselves, as those do that drop white space.
     """
 
+    #: By tokenizer; they outlive a task, as Spark uses its Python workers again.
+    shared: dict[str, dict[str, bytes]] = {}
+
     def __init__(self, tokenizer: str, most: int):
-        super().__init__()
         self.encoder, self.most = Tokenizer.from_file(tokenizer), most
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= _LONGEST_KEPT:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.kept = self.shared.setdefault(tokenizer, {"": b""})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Words that are not kept are encoded once for all texts."""
+        cut = [_SPACES.split(text) for text in texts]
+        new = list(set().union(*cut).difference(self.kept))
+        for word, found in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
+            self.kept[word] = np.array(found.ids, "<u4").tobytes()
+        rows = [b"".join(map(self.kept.__getitem__, words)) for words in cut]
+        if len(self.kept) > self.most:
+            self.kept.clear()
+            self.kept[""] = b""
+        else:
+            for word in new:
+                if len(word) > _LONGEST_KEPT:
+                    del self.kept[word]
+        return rows
 
 
 def check_tokenizer(tokenizer: str) -> None:
@@ -56,7 +67,7 @@ def check_tokenizer(tokenizer: str) -> None:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_column: str = "doc_id",
-                 text: str = "text", cached: int = 200_000, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
+                 text: str = "text", cached: int = 600_000, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
     """Write every row of `docs` as its token ids and `end_id`, in ascending order of the ids (NULL first).
 
     A NULL text counts as empty: one row with the end id alone. Rows with equal ids are ordered by a hash of the text;
@@ -67,9 +78,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, file, place = WordIds(tokenizer, cached).__getitem__, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = [b"".join(map(ids_of, filter(None, _SPACES.split(t.as_py() or "")))) + end for t in batch.column(1)]
+        ids, file, place = WordIds(tokenizer, cached), TaskContext.get().partitionId(), 0
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, len(whole), 1000)):
+            rows = [row + end for row in ids.encode([t or "" for t in batch.column(1).to_pylist()])]
             bounds = np.zeros(len(rows) + 1, np.int64)
             np.cumsum([len(r) // 4 for r in rows], out=bounds[1:])
             tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
