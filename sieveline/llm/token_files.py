@@ -22,6 +22,8 @@ from sieveline.llm.common import partitions, small
 from sieveline.sources.shared import written
 
 _SPACES = re.compile(r"[ \t\n\r]+")
+#: In a lower-cased ASCII text also where a letter meets a full stop or comma, which the tokenizer keeps apart.
+_ASCII = re.compile(r"[ \t\n\r]+|(?<=[a-z])(?=[.,])")
 _LONGEST_KEPT = 64
 _FILE_SCHEMA = "doc_id long, file int, place long, n_tokens long, tokens array<int>"
 
@@ -37,11 +39,15 @@ class WordIds:
 
     def __init__(self, tokenizer: str, most: int):
         self.encoder, self.most = Tokenizer.from_file(tokenizer), most
+        # Whether case and the place of stops make no difference, so that fewer words are new.
+        whole = self.encoder.encode("One, two. Three", add_special_tokens=False).ids
+        parts = [i for word in ("one", ",", "two", ".", "three") for i in self.encoder.encode(word, add_special_tokens=False).ids]
+        self.folds = whole == parts
         self.kept = self.shared.setdefault(tokenizer, {"": b""})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Words that are not kept are encoded once for all texts."""
-        cut = [_SPACES.split(text) for text in texts]
+        cut = [_ASCII.split(t.lower()) if self.folds and t.isascii() and "<|" not in t else _SPACES.split(t) for t in texts]
         new = list(set().union(*cut).difference(self.kept))
         for word, found in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
             self.kept[word] = np.array(found.ids, "<u4").tobytes()
@@ -67,7 +73,7 @@ def check_tokenizer(tokenizer: str) -> None:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_column: str = "doc_id",
-                 text: str = "text", cached: int = 600_000, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
+                 text: str = "text", cached: int = 250_000, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
     """Write every row of `docs` as its token ids and `end_id`, in ascending order of the ids (NULL first).
 
     A NULL text counts as empty: one row with the end id alone. Rows with equal ids are ordered by a hash of the text;
