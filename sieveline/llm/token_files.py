@@ -73,7 +73,7 @@ def check_tokenizer(tokenizer: str) -> None:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_column: str = "doc_id",
-                 text: str = "text", cached: int = 250_000, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
+                 text: str = "text", cached: int = 100_000, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
     """Write every row of `docs` as its token ids and `end_id`, in ascending order of the ids (NULL first).
 
     A NULL text counts as empty: one row with the end id alone. Rows with equal ids are ordered by a hash of the text;
@@ -85,7 +85,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, file, place = WordIds(tokenizer, cached), TaskContext.get().partitionId(), 0
-        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, len(whole), 1000)):
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, len(whole), 200)):
             rows = [row + end for row in ids.encode([t or "" for t in batch.column(1).to_pylist()])]
             bounds = np.zeros(len(rows) + 1, np.int64)
             np.cumsum([len(r) // 4 for r in rows], out=bounds[1:])
