@@ -8,9 +8,12 @@ per file, without sorting again.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,39 +25,90 @@ from sieveline.llm.common import partitions, small
 from sieveline.sources.shared import written
 
 _SPACES = re.compile(r"[ \t\n\r]+")
-#: In a lower-cased ASCII text also where a letter meets a full stop or comma, which the tokenizer keeps apart.
-_ASCII = re.compile(r"[ \t\n\r]+|(?<=[a-z])(?=[.,])")
+#: The lower-case letters of Latin-1, and in a lower-cased text of Latin-1 its words: also cut where letters alone meet a
+#: full stop or comma, which the tokenizer keeps apart.
+_LETTERS = "a-zß-öø-ÿ"
+_PARTS = re.compile(rf"[{_LETTERS}]+(?=[ \t\n\r.,]|\Z)|[^ \t\n\r]+")
+_PLAIN = re.compile(rf"[{_LETTERS}]+").fullmatch
 _LONGEST_KEPT = 64
 _FILE_SCHEMA = "doc_id long, file int, place long, n_tokens long, tokens array<int>"
 
 
+def _words_only(encoder: Tokenizer) -> Tokenizer | None:
+    """The same model for lower-case Latin-1 letters and spaces alone, without the passes that change nothing in these.
+
+    None where the tokenizer heeds case or the place of stops, or marks the ends of words in no way that tells them apart.
+    """
+    def ids(text: str) -> list[int]:
+        return encoder.encode(text, add_special_tokens=False).ids
+
+    letters = [chr(i) for i in range(256) if _PLAIN(chr(i))]
+    if ids("One, twÖ. Three") != [i for word in ("one", ",", "twö", ".", "three") for i in ids(word)]:
+        return None
+    parts = json.loads(encoder.to_str())
+    byte_level = [p for p in (parts["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "ByteLevel"]
+    parts |= {"normalizer": None, "added_tokens": [], "post_processor": None,
+              "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *byte_level]}}
+    plain = Tokenizer.from_str(json.dumps(parts))
+    suffix = parts["model"].get("end_of_word_suffix")
+    words = letters + [a + b for a in letters for b in "aeiouérstn"] + ["straße", "naïveté", "ÿþð".lower()]
+    found = [e.ids for e in plain.encode_batch_fast(words, add_special_tokens=False)]
+    same = found == [e.ids for e in encoder.encode_batch_fast(words, add_special_tokens=False)]
+    return plain if suffix and same and all(plain.id_to_token(f[-1]).endswith(suffix) for f in found) else None
+
+
 class WordIds:
     """The ids of texts as bytes (little-endian, 32 bits each), by the library, with those of a bounded number of words kept.
 
     The tokenizer must treat the words between spaces, tabs and line ends by themselves, as those do that drop white space.
     """
 
-    #: By tokenizer; they outlive a task, as Spark uses its Python workers again.
-    shared: dict[str, dict[str, bytes]] = {}
-
     def __init__(self, tokenizer: str, most: int):
         self.encoder, self.most = Tokenizer.from_file(tokenizer), most
-        # Whether case and the place of stops make no difference, so that fewer words are new.
-        whole = self.encoder.encode("One, two. Three", add_special_tokens=False).ids
-        parts = [i for word in ("one", ",", "two", ".", "three") for i in self.encoder.encode(word, add_special_tokens=False).ids]
-        self.folds = whole == parts
-        self.kept = self.shared.setdefault(tokenizer, {"": b""})
+        self.special = [t.content.lower() for t in self.encoder.get_added_tokens_decoder().values()]
+        self.plain = _words_only(self.encoder)
+        if self.plain:
+            suffix = self.plain.model.end_of_word_suffix
+            vocabulary = self.plain.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.kept: dict[str, bytes] = {"": b""}
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, lower-cased and cut before stops where that changes no id."""
+        if self.plain:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return _SPACES.split(text)
+            low = text.lower()
+            if not any(token in low for token in self.special):
+                return _PARTS.findall(low)
+        return _SPACES.split(text)
+
+    def _learn(self, new: list[str]) -> None:
+        """Keep the ids of new words. Those of letters alone are encoded some in one text and told apart by the ends of words."""
+        letters = [w for w in new if _PLAIN(w)] if self.plain else []
+        if letters:
+            lines = [" ".join(letters[i:i + 20]) for i in range(0, len(letters), 20)]
+            found = [np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]
+            ids = np.concatenate(found)
+            data, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.kept.update((w, data[a:b]) for w, a, b in zip(letters, [0, *stops], stops, strict=False))
+            if len(stops) != len(letters):
+                raise ValueError("ends of words do not tell the words apart")
+            new = [w for w in new if not _PLAIN(w)]
+        for word, found in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
+            self.kept[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Words that are not kept are encoded once for all texts."""
-        cut = [_ASCII.split(t.lower()) if self.folds and t.isascii() and "<|" not in t else _SPACES.split(t) for t in texts]
+        cut = [self.words(t) for t in texts]
         new = list(set().union(*cut).difference(self.kept))
-        for word, found in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
-            self.kept[word] = np.array(found.ids, "<u4").tobytes()
+        self._learn(new)
         rows = [b"".join(map(self.kept.__getitem__, words)) for words in cut]
         if len(self.kept) > self.most:
-            self.kept.clear()
-            self.kept[""] = b""
+            self.kept = {"": b""}
         else:
             for word in new:
                 if len(word) > _LONGEST_KEPT:
@@ -62,6 +116,13 @@ class WordIds:
         return rows
 
 
+@lru_cache(1)
+def word_ids(tokenizer: str, most: int) -> WordIds:
+    """One for all tasks of a Python worker, which Spark uses again. Tasks are the threads, so the library needs none of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordIds(tokenizer, most)
+
+
 def check_tokenizer(tokenizer: str) -> None:
     """Refuse a tokenizer that does not treat words by themselves."""
     encoder = Tokenizer.from_file(tokenizer)
@@ -84,7 +145,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, file, place = WordIds(tokenizer, cached), TaskContext.get().partitionId(), 0
+        ids, file, place = word_ids(tokenizer, cached), TaskContext.get().partitionId(), 0
         for batch in (whole.slice(at, 200) for whole in batches for at in range(0, len(whole), 200)):
             rows = [row + end for row in ids.encode([t or "" for t in batch.column(1).to_pylist()])]
             bounds = np.zeros(len(rows) + 1, np.int64)
