@@ -25,11 +25,9 @@ from sieveline.llm.common import partitions, small
 from sieveline.sources.shared import written
 
 _SPACES = re.compile(r"[ \t\n\r]+")
-#: The lower-case letters of Latin-1, and in a lower-cased text of Latin-1 its words: also cut where letters alone meet a
-#: full stop or comma, which the tokenizer keeps apart.
-_LETTERS = "a-zß-öø-ÿ"
-_PARTS = re.compile(rf"[{_LETTERS}]+(?=[ \t\n\r.,]|\Z)|[^ \t\n\r]+")
-_PLAIN = re.compile(rf"[{_LETTERS}]+").fullmatch
+#: Lower case within Latin-1, and its lower-case letters.
+_LOWER = "".join(map(chr, range(256))).lower().encode("latin-1")
+_PLAIN = re.compile("[a-zß-öø-ÿ]+".encode("latin-1")).fullmatch
 _LONGEST_KEPT = 64
 _FILE_SCHEMA = "doc_id long, file int, place long, n_tokens long, tokens array<int>"
 
@@ -42,7 +40,7 @@ def _words_only(encoder: Tokenizer) -> Tokenizer | None:
     def ids(text: str) -> list[int]:
         return encoder.encode(text, add_special_tokens=False).ids
 
-    letters = [chr(i) for i in range(256) if _PLAIN(chr(i))]
+    letters = [chr(i) for i in range(256) if _PLAIN(bytes([i]))]
     if ids("One, twÖ. Three") != [i for word in ("one", ",", "twö", ".", "three") for i in ids(word)]:
         return None
     parts = json.loads(encoder.to_str())
@@ -60,46 +58,64 @@ def _words_only(encoder: Tokenizer) -> Tokenizer | None:
 class WordIds:
     """The ids of texts as bytes (little-endian, 32 bits each), by the library, with those of a bounded number of words kept.
 
-    The tokenizer must treat the words between spaces, tabs and line ends by themselves, as those do that drop white space.
+    The tokenizer must treat the words between spaces, tabs, line and page ends by themselves, as those do that drop white space.
     """
 
     def __init__(self, tokenizer: str, most: int):
         self.encoder, self.most = Tokenizer.from_file(tokenizer), most
-        self.special = [t.content.lower() for t in self.encoder.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode("latin-1", "ignore").translate(_LOWER) for t in self.encoder.get_added_tokens_decoder().values()]
+        self.stops = {s: np.array(self.encoder.encode(s.decode(), add_special_tokens=False).ids, "<u4").tobytes() for s in (b".", b",")}
         self.plain = _words_only(self.encoder)
         if self.plain:
             suffix = self.plain.model.end_of_word_suffix
             vocabulary = self.plain.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.kept: dict[str, bytes] = {"": b""}
+        self.kept: dict[bytes | str, bytes] = {"": b""}
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text, lower-cased and cut before stops where that changes no id."""
+    def words(self, text: str) -> list[bytes] | list[str]:
+        """The words of a text; as lower-case Latin-1 bytes where that changes no id."""
         if self.plain:
             try:
-                text.encode("latin-1")
+                low = text.encode("latin-1").translate(_LOWER)
             except UnicodeEncodeError:
                 return _SPACES.split(text)
-            low = text.lower()
             if not any(token in low for token in self.special):
-                return _PARTS.findall(low)
+                return low.split()
         return _SPACES.split(text)
 
-    def _learn(self, new: list[str]) -> None:
-        """Keep the ids of new words. Those of letters alone are encoded some in one text and told apart by the ends of words."""
-        letters = [w for w in new if _PLAIN(w)] if self.plain else []
+    def _learn(self, new: list[bytes | str]) -> None:
+        """Keep the ids of new words.
+
+        Words of letters alone are encoded some in one text and told apart by the ends of words. A stop or comma after
+        letters has ids of its own.
+        """
+        kept, letters, stopped, others = self.kept, [], [], []
+        for word in new:
+            if isinstance(word, str):
+                others.append(word)
+            elif _PLAIN(word):
+                letters.append(word)
+            elif word[-1:] in (b".", b",") and _PLAIN(word[:-1]):
+                stopped.append(word)
+            else:
+                others.append(word)
+        bare = {word[:-1] for word in stopped}.difference(kept, letters)
+        letters += bare
         if letters:
-            lines = [" ".join(letters[i:i + 20]) for i in range(0, len(letters), 20)]
-            found = [np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]
-            ids = np.concatenate(found)
+            lines = [b" ".join(letters[i:i + 20]).decode("latin-1") for i in range(0, len(letters), 20)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)])
             data, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.kept.update((w, data[a:b]) for w, a, b in zip(letters, [0, *stops], stops, strict=False))
             if len(stops) != len(letters):
                 raise ValueError("ends of words do not tell the words apart")
-            new = [w for w in new if not _PLAIN(w)]
-        for word, found in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
-            self.kept[word] = np.array(found.ids, "<u4").tobytes()
+            kept.update((word, data[a:b]) for word, a, b in zip(letters, [0, *stops], stops, strict=False))
+        for word in stopped:
+            kept[word] = kept[word[:-1]] + self.stops[word[-1:]]
+        for word in bare:
+            del kept[word]
+        texts = [word if isinstance(word, str) else word.decode("latin-1") for word in others]
+        for word, found in zip(others, self.encoder.encode_batch_fast(texts, add_special_tokens=False)):
+            kept[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Words that are not kept are encoded once for all texts."""
@@ -127,14 +143,14 @@ def check_tokenizer(tokenizer: str) -> None:
     """Refuse a tokenizer that does not treat words by themselves."""
     encoder = Tokenizer.from_file(tokenizer)
     words = ["Don't", "stop!!", "naïve", "x1-2y", "ΟΔΟΣ", "<|endoftext|>", "é"]
-    for mark in (" ", "\t", "\n", "\r", "  \n\t "):
+    for mark in (" ", "\t", "\n", "\r", "\x0b", "\x0c", "  \n\t "):
         whole = encoder.encode(mark + mark.join(words) + mark, add_special_tokens=False).ids
         if whole != [i for w in words for i in encoder.encode(w, add_special_tokens=False).ids]:
             raise ValueError(f"{tokenizer}: ids of a text are not those of its words")
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_column: str = "doc_id",
-                 text: str = "text", cached: int = 100_000, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
+                 text: str = "text", cached: int = 400_000, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
     """Write every row of `docs` as its token ids and `end_id`, in ascending order of the ids (NULL first).
 
     A NULL text counts as empty: one row with the end id alone. Rows with equal ids are ordered by a hash of the text;
