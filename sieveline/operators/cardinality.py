@@ -7,13 +7,14 @@ collapses frequent values before the shuffle.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.columns import STRING, has_map, kinds, present, slot_name
+from sieveline.functions.columns import STRING, count_if, has_map, kinds, present, slot_name
 from sieveline.functions.fixed import TOP_VALUES
 from sieveline.functions.scalars import short_key
 from sieveline.operators.aggregate import aggregate_row
@@ -31,6 +32,8 @@ class Distinct:
 
 
 COLUMNS_PER_UNPIVOT = 40
+#: Items that a sketch of frequent ones tracks: its error is then below 0.0003 of the rows, far less than LEAST_SHARE.
+TRACKED, LEAST_SHARE = 10_000, 0.001
 
 
 def _families(df: DataFrame, columns: list[str] | None) -> list[list[str]]:
@@ -70,20 +73,39 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _dominant_counts(df: DataFrame, names: list[str], options: Options) -> dict[str, int]:
+    """The count of the most frequent value of the columns in which one has at least the near-constant share of the rows.
+
+    A sketch of frequent items keeps every value with more than a small share of the rows, so the values that can have the
+    near-constant share are among its first ones. A second scan counts those. Values are told apart by 64-bit hashes.
+    """
+    column_kinds, share = kinds(df), options.cardinality.near_constant_threshold
+    cells = {n: f"CASE WHEN {present(n, column_kinds[n])} IS NOT NULL THEN xxhash64({present(n, column_kinds[n])}) END" for n in names}
+    listed = aggregate_row(df, {n: f"transform(approx_top_k({cells[n]}, {math.ceil(1 / share) + 1}, {TRACKED}), e -> e.item)" for n in names})
+    wanted = {(n, value): count_if(f"{cells[n]} = {value}L") for n in names for value in listed[n] or [] if value is not None}
+    counts = aggregate_row(df, {**wanted, None: "count(1)"})
+    top: dict[str, int] = {}
+    for name, value in wanted:
+        top[name] = max(top.get(name, 0), counts[name, value])
+    return {n: count for n, count in top.items() if counts[None] and count / counts[None] >= share}
+
+
 def distinct_counts(df: DataFrame, options: Options = Options(), columns: list[str] | None = None) -> dict[str, Distinct]:
     """Distinct counts of every column. Long texts are counted by digest, so they are not shuffled.
 
     With ``exact_distinct`` off, one scan of mergeable sketches replaces the value shuffle; the
-    top count is then unknown.
+    top count is then known only of columns that a value fills to the near-constant threshold. A
+    threshold below LEAST_SHARE is too small for the sketch and is settled by the exact path.
     """
     column_kinds = kinds(df)
     names = [n for family in _families(df, columns) for n in family]
-    if not options.scale.exact_distinct:
+    if not options.scale.exact_distinct and options.cardinality.near_constant_threshold >= LEAST_SHARE:
         seen = aggregate_row(df, {
             (n, part): f"{function}({present(n, column_kinds[n])})" for n in names
             for part, function in (("d", "approx_count_distinct"), ("n", "count"))
         })
-        return {n: Distinct(n, seen[n, "d"], seen[n, "n"], None) for n in names}
+        top = _dominant_counts(df, names, options)
+        return {n: Distinct(n, seen[n, "d"], seen[n, "n"], top.get(n)) for n in names}
     parts = [
         _family_counts(df, family, short=True).groupBy("slot")
         .agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n_values"), F.max("n").alias("top_count"))

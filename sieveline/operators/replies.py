@@ -9,6 +9,8 @@ from sieveline.functions.columns import ref, text
 from sieveline.functions.scalars import estimate_tokens, parse_number, prompt_key
 
 HOT_ROWS = 1_000_000
+#: The most bytes of replies that are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 # --- token budget -------------------------------------------------------------------------------
@@ -79,8 +81,8 @@ def lookup_replies(prompts: DataFrame, cache: DataFrame, now: str, ttl_hours: fl
 
     ``prompts`` carries prompt_key. An entry is live while its age is at most ``ttl_hours`` at
     ``now`` (a timestamp literal); 0 never expires. Prompts whose key occurs more than
-    ``hot_rows`` times are joined with their own, broadcast entries (at most rows / hot_rows of
-    them), so one prompt filling the table does not end up in one task.
+    ``hot_rows`` times are joined with their own entries by broadcast if the size of these, which is
+    summed first, allows it; beyond it all are joined by shuffle, where Spark splits skewed keys.
     """
     live = latest_replies(cache)
     if ttl_hours > 0:
@@ -89,10 +91,13 @@ def lookup_replies(prompts: DataFrame, cache: DataFrame, now: str, ttl_hours: fl
     hot = prompts.groupBy("prompt_key").agg(F.expr("count(1) AS n")).where(f"n > {hot_rows}").select("prompt_key")
     if hot.isEmpty():
         return prompts.join(live, "prompt_key", "left")
-    hot = F.broadcast(hot)
+    entries = live.join(hot, "prompt_key", "left_semi")
+    size = entries.agg(F.expr("sum(coalesce(octet_length(response), 0) + octet_length(prompt_key) + 64)")).first()[0]
+    if (size or 0) > BROADCAST_BYTES:
+        return prompts.join(live, "prompt_key", "left")
     usual = prompts.join(hot, "prompt_key", "left_anti").join(live, "prompt_key", "left")
     frequent = prompts.join(hot, "prompt_key", "left_semi").join(
-        F.broadcast(live.join(hot, "prompt_key", "left_semi")), "prompt_key", "left")
+        F.broadcast(entries), "prompt_key", "left")
     return usual.unionByName(frequent)
 
 

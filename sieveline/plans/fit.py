@@ -22,13 +22,9 @@ from sieveline.operators import cardinality, fixes, outliers
 from sieveline.operators.aggregate import aggregate_row, side_by_side
 from sieveline.operators.types import TypeIssue
 from sieveline.options import Options
-from sieveline.plans.plan import CleaningPlan
+from sieveline.plans.plan import STEPS, CleaningPlan
 from sieveline.plans.profile import Profile
 
-STEPS = (
-    "drop_duplicates", "constant_columns", "type_caster", "category_normalizer", "missing_values", "outlier_handler",
-)
-
 
 @dataclass(frozen=True)
 class Operation:
@@ -119,6 +115,7 @@ def fit(profile: Profile, dry_run: bool = False) -> Fitted:
     plan = CleaningPlan(
         columns=dict(profile.table.dtypes), row_id=profile.row_id, normalize_case=options.categories.normalize_case,
         strip_whitespace=options.categories.strip_whitespace, action=options.outliers.action, options=options.to_dict(),
+        dry_run=dry_run,
     )
     n_rows, raw_columns = profile.n_rows, list(profile.kinds)
     sizes: list[tuple[int, int, int, int]] = []

@@ -7,6 +7,7 @@ new data.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -17,8 +18,36 @@ from sieveline.operators import fixes
 from sieveline.operators.duplicates import Copies
 from sieveline.options import Options
 
+STEPS = (
+    "drop_duplicates", "constant_columns", "type_caster", "category_normalizer", "missing_values", "outlier_handler",
+)
 FORMAT = 1
 
+_EXTRA_FIXES: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_fix(name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Apply ``change(table)`` after the six built-in steps of every run, and where a plan names it."""
+    if name in STEPS:
+        raise PlanError(f"{name!r} is the name of a built-in step")
+    _EXTRA_FIXES[name] = change
+
+
+def unregister_fix(name: str) -> None:
+    _EXTRA_FIXES.pop(name, None)
+
+
+def registered_fixes() -> list[str]:
+    """Names of the own fixes, in the order they run."""
+    return list(_EXTRA_FIXES)
+
+
+def apply_fix(name: str, df: DataFrame) -> DataFrame:
+    """The table after one own fix."""
+    if name not in _EXTRA_FIXES:
+        raise PlanError(f"the plan needs the fix {name!r}, which is not registered")
+    return _EXTRA_FIXES[name](df)
+
 
 @dataclass
 class CleaningPlan:
@@ -38,6 +67,8 @@ class CleaningPlan:
     fences: list[fixes.Fence] = field(default_factory=list)
     action: str = "flag"
     options: dict[str, Any] = field(default_factory=dict)
+    extra_fixes: list[str] = field(default_factory=list)
+    dry_run: bool = False
 
     def check(self, df: DataFrame) -> None:
         """Raise unless every column the plan was fitted on is there with the same type."""
@@ -54,7 +85,7 @@ class CleaningPlan:
         return self.apply_to_rows(df)
 
     def apply_to_rows(self, df: DataFrame) -> DataFrame:
-        """Every step but duplicate removal: one projection and filter, no shuffle."""
+        """Every step but duplicate removal: one projection and filter, no shuffle, then own fixes as they are."""
         df = fixes.drop_columns(df, self.constant_columns)
         df = fixes.cast_columns(df, self.casts)
         df = fixes.normalize_categories(df, self.categories, self.normalize_case, self.strip_whitespace)
@@ -62,7 +93,10 @@ class CleaningPlan:
         if self.min_present is not None:
             df = fixes.drop_sparse_rows(df, self.min_present, self.row_id, list(self.casts))
         df = fixes.fill_missing(df, self.fills)
-        return fixes.handle_outliers(df, self.fences, self.action)
+        df = fixes.handle_outliers(df, self.fences, self.action)
+        for name in self.extra_fixes:
+            df = apply_fix(name, df)
+        return df
 
     def to_json(self) -> str:
         return json.dumps({"format": FORMAT, **asdict(self)}, indent=2, ensure_ascii=False)

@@ -310,8 +310,7 @@ class Profile:
 
     def _suspicious(self) -> CheckResult:
         found = suspicious.suspicious_values(self.table, self.options, self.stats, columns=list(self.stats), row_id=self.row_id)
-        totals = {r["column"]: r["n"] for r in found.selectExpr("column", "n").groupBy("column").sum("n")
-                  .withColumnRenamed("sum(n)", "n").collect()}
+        totals = suspicious.suspicious_counts(self.table, self.options, self.stats, list(self.stats))
         self.suspicious = found
         if not totals:
             return CheckResult("suspicious_values")

@@ -3,32 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from sieveline.errors import PlanError
 from sieveline.functions.fixed import SEVERITIES
 from sieveline.options import Options
-from sieveline.plans.fit import STEPS, Step, fit
-from sieveline.plans.plan import CleaningPlan
+from sieveline.plans.fit import Operation, Step, fit
+from sieveline.plans.plan import CleaningPlan, apply_fix, register_fix, registered_fixes, unregister_fix  # noqa: F401
 from sieveline.plans.profile import Profile, profile
 
-_EXTRA_FIXES: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-
-def register_fix(name: str, change: Callable[[DataFrame], DataFrame]) -> None:
-    """Apply ``change(table)`` after the six built-in steps of every run."""
-    if name in STEPS:
-        raise PlanError(f"{name!r} is the name of a built-in step")
-    _EXTRA_FIXES[name] = change
-
-
-def unregister_fix(name: str) -> None:
-    _EXTRA_FIXES.pop(name, None)
-
-
 @dataclass
 class CleaningRun:
     """Everything one run produced. ``cleaned`` is lazy; the audit is known without computing it."""
@@ -131,14 +115,20 @@ class CleaningRun:
 def clean(df: DataFrame, options: Options = Options(), dry_run: bool = False, row_id: str | None = None) -> CleaningRun:
     """Run the seven checks, fit the six steps and return the lazily cleaned table with its audit.
 
-    A dry run previews every step on the raw table and returns that table unchanged.
+    A dry run previews every step on the raw table and returns that table unchanged. Fixes of one's own are steps like
+    the others; the rows each leaves are counted by a job of their own.
     """
     facts = profile(df, options, row_id)
     fitted = fit(facts, dry_run)
-    cleaned = fitted.cleaned
-    if not dry_run:
-        for change in _EXTRA_FIXES.values():
-            cleaned = change(cleaned)
+    cleaned, last = fitted.cleaned, fitted.steps[-1]
+    rows, columns = (facts.n_rows, len(facts.kinds)) if dry_run else (last.rows_after, last.cols_after)
+    for name in registered_fixes():
+        changed = apply_fix(name, cleaned)
+        after = changed.count(), len([c for c in changed.columns if c != row_id])
+        fitted.steps.append(Step(name, rows, after[0], columns, after[1], (Operation("own_fix", strategy=name),)))
+        fitted.plan.extra_fixes.append(name)
+        if not dry_run:
+            cleaned, (rows, columns) = changed, after
     return CleaningRun(facts, fitted.plan, fitted.steps, cleaned, dry_run)
 
 

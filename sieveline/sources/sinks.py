@@ -51,7 +51,9 @@ def write_analysis(profile: Profile, path: str, source: str = "unknown", mode: s
 
 
 def write_plan(plan: CleaningPlan, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
-    """The plan, and with it the options it was fitted with."""
+    """The plan, and with it the options it was fitted with. A dry run's is refused: its steps were each fitted on the raw table."""
+    if plan.dry_run:
+        raise PlanError("a dry run's plan is a preview and is not stored")
     _write_document(spark, plan.to_json(), path, mode)
 
 

@@ -132,6 +132,11 @@ def test_cardinality_classes(spark):
     assert rows(cardinality.top_values(df, ["half"])) == [("half", 1, "0", 50), ("half", 2, "1", 50)]
     approximate = cardinality.distinct_counts(df, options(scale={"exact_distinct": False}))
     assert 90 <= approximate["id"].n_distinct <= 110
+    sketched = cardinality.cardinality_issues(df, options(scale={"exact_distinct": False}))
+    assert (sketched.constant, sketched.near_constant) == (found.constant, found.near_constant)
+    assert rows(cardinality.near_constant_table(df, sketched)) == rows(cardinality.near_constant_table(df, found))
+    lower = options(scale={"exact_distinct": False}, cardinality={"near_constant_threshold": 0.5})
+    assert cardinality.cardinality_issues(df, lower).near_constant == ("answer", "half")
 
 
 def test_unique_columns_need_no_counting(spark):

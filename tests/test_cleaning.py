@@ -7,6 +7,7 @@ from sieveline.operators import duplicates, fixes
 from sieveline.plans import fit as fitting
 from sieveline.plans import standalone
 from sieveline.plans.run import rank_issues
+from sieveline.sources.sinks import write_plan
 
 
 def options(**sections):
@@ -110,6 +111,28 @@ def test_own_fix(shop):
         register_fix("missing_values", lambda df: df)
 
 
+def test_own_fix_is_a_step_of_the_plan(shop):
+    register_fix("short", lambda df: df.where("id < 5").drop("price"))
+    try:
+        run = clean(shop)
+        plan = CleaningPlan.from_json(run.plan.to_json())
+        assert run.steps[-1].name == "short" and run.steps[-1].applied
+        assert run.shape_after == (run.cleaned.count(), len(run.cleaned.columns))
+        assert run.run_stats().first()["rows_final"] == 4
+        assert rows(plan.apply(shop)) == rows(run.cleaned)
+        dry = clean(shop, dry_run=True)
+        assert dry.cleaned.count() == shop.count() and dry.shape_after == dry.shape_before and dry.steps[-1].name == "short"
+    finally:
+        unregister_fix("short")
+    with pytest.raises(PlanError):
+        plan.apply(shop)
+
+
+def test_dry_run_plan_is_not_stored(shop, spark, tmp_path):
+    with pytest.raises(PlanError):
+        write_plan(clean(shop, dry_run=True).plan, spark, str(tmp_path / "plan"))
+
+
 # --- plans ---
 
 def test_plan_survives_json_and_keeps_its_constants(shop):
