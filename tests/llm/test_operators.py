@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -81,6 +82,20 @@ def test_token_files(spark, docs, odd, none):
 # Language and quality
 
 @tables
+
+def test_word_ids_are_those_of_the_library():
+    draw = random.Random(5)
+    kinds = ["aAbé É'stre.,!? \t\n\r\xa0\x85\x1c12<|>endoftext-_ßµªñ\u0301Σİ日", "aAbéÉ 'stremvld.,!? \t\n\x0b\x0c1ß-"]
+    texts = ["".join(draw.choice(kinds[i % 2]) for _ in range(draw.randint(0, 40))) for i in range(4000)]
+    texts += ["<|ENDOFTEXT|>. foo", "foo<|endoftext|>.bar", "don't. 'sure' it's,", "A.B,c d..e", "x" * 3000 + ".", "ÀÉÎ, ßÿ÷×."]
+    encoder = Tokenizer.from_file(WORDS)
+    for most in (50, 100_000):  # with and without words forgotten on the way
+        ids = token_files.WordIds(WORDS, most)
+        for at in range(0, len(texts), 200):
+            part = texts[at:at + 200]
+            assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode(part)] == [encoder.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_languages(docs, odd, none):
     profiles = language_id.learn_profiles(docs.where(~held_out("doc_id")))
     grams = Counter(g for r in docs.where(~held_out("doc_id")).where("lang = 'fr'").collect() for g in language_id.gram_codes(r.text).tolist())
