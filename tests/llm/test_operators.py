@@ -318,6 +318,37 @@ def test_line_dedup(docs, odd, none):
     assert line_dedup.dedup_lines(none).collect() == []
 
 
+def gone_by_all(texts, words=10):
+    """Every document against every earlier one, whatever they share."""
+    cut = sorted((i, [x.strip(" ") for x in t.split("\n")]) for i, t in texts)
+    gone = {}
+    for n, (late, lines) in enumerate(cut):
+        for _, other in cut[:n]:
+            for _, j, size in line_dedup.common_blocks(other, lines):
+                if sum(len(x.split()) for x in lines[j:j + size]) >= words:
+                    gone.setdefault(late, set()).update(range(j, j + size))
+    return {i: sorted(g) for i, g in gone.items()}
+
+
+def test_frequent_lines_are_aligned_with_every_earlier_document(spark):
+    draw = random.Random(8)
+    long_lines = [" ".join(f"{c}{k}" for k in range(11)) for c in "pqr"]
+    swapped = [(1, f"{long_lines[1]}\n{long_lines[0]}")] + [(i, f"own {i}\n{long_lines[0]}\n{long_lines[1]}") for i in range(2, 30)]
+    common = long_lines[:2] + [" ".join(f"{c}{k}" for k in range(4)) for c in "stuv"] + ["", "one"]
+    mixed = []
+    for i in range(300):
+        lines = []
+        for _ in range(draw.randint(1, 8)):
+            kind = draw.random()
+            lines.append(draw.choice(common) if kind < 0.65 else f"few {draw.randint(0, 80)} of these" if kind < 0.8 else f"only here {draw.random()}")
+        mixed.append((i, "\n".join(lines)))
+    for texts in (swapped, mixed):
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        for rare in (8, 2):
+            found = {r.doc: r.gone for r in line_dedup.deleted_lines(df, rare=rare).collect()}
+            assert found == gone_by_all(texts)
+
+
 # Nearest neighbours
 
 @tables
