@@ -3,7 +3,7 @@ import pytest
 from conftest import rows
 from sieveline import CleaningPlan, Options, clean
 from sieveline.errors import PlanError
-from sieveline.streaming.replay import clean_stream
+from sieveline.streaming.replay import clean_stream, read_clean_stream, write_clean_stream
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,21 @@ def test_refusals(spark, events):
     plan.columns = {"other": "int"}
     with pytest.raises(PlanError):
         clean_stream(plan, stream, "ts", "1 day")
+
+
+def test_late_rows_and_rows_without_a_time(spark, tmp_path):
+    """Several files, the later ones hours back in time, with copies within and across files, NULL times and NULL values."""
+    draw = "id, if(id % 10 = 3, null, TIMESTAMP_NTZ '2024-01-01 00:00:00' + id * INTERVAL '1' MINUTE) AS ts, if(id % 4 = 0, 'A ', 'a') AS kind, if(id % 9 = 0 AND id % 10 != 3, null, CAST(id % 10 AS DOUBLE)) AS size"
+    everything = spark.sql(f"SELECT {draw} FROM range(400)")
+    for part in ("id >= 300", "id < 150 OR id > 390", "id BETWEEN 100 AND 320", "id % 10 = 3 OR id % 20 = 0"):
+        everything.where(part).union(everything.where(f"({part}) AND id % 7 = 0")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    batch = spark.read.parquet(f"{tmp_path}/in")
+    plan = clean(batch).plan
+    assert plan.keep == "first"
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    write_clean_stream(plan, stream, f"{tmp_path}/clean", "ts", "hour").trigger(availableNow=True).start().awaitTermination()
+    found = read_clean_stream(spark, f"{tmp_path}/clean")
+    assert rows(found) == rows(plan.apply(batch)) and found.count() == 400
+    untimed = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").where("ts IS NULL")
+    streamed = run_stream(spark, clean_stream(plan, untimed, "ts", "1 hour"), f"{tmp_path}/untimed")
+    assert rows(streamed) == rows(plan.apply(batch.where("ts IS NULL"))) and streamed.count() == 40

@@ -16,7 +16,7 @@ from sieveline.plans.run import rank_issues
 from sieveline.sources.csv import read_csv
 from sieveline.sources.shared import shared_folder
 from sieveline.sources.sinks import read_plan, write_plan, write_table
-from sieveline.streaming.replay import clean_stream
+from sieveline.streaming.replay import read_clean_stream, write_clean_stream
 from workload.views import table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,18 +454,16 @@ def csv_round_trip(spark, sf_dir):
 
 @query
 def stream_replay(spark, sf_dir):
-    """Fit on the events so far and clean the same events arriving as a stream."""
+    """Fit on the events so far and clean the same events arriving as a stream, in files that each reach over all times."""
     batch = view(spark, sf_dir, "dirty_events")
     plan: CleaningPlan = clean(batch).plan
-    first, last = batch.selectExpr("min(unix_micros(CAST(ts AS TIMESTAMP)))", "max(unix_micros(CAST(ts AS TIMESTAMP)))").first()
-    events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
-    cleaned = clean_stream(plan, view(spark, sf_dir, "dirty_events", events=stream), "ts", f"{(last - first) // 1_000_000 + 1} seconds")
     folder = _work_folder(spark)
-    writer = cleaned.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/data")
-    running = writer.trigger(availableNow=True).start()
+    batch.repartition(max(8, batch.rdd.getNumPartitions())).write.parquet(f"{folder}/events")
+    files = len(spark.read.parquet(f"{folder}/events").inputFiles())
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{folder}/events")
+    running = write_clean_stream(plan, stream, f"{folder}/clean", "ts", "hour").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema(cleaned.schema).parquet(f"{folder}/data")
+    return read_clean_stream(spark, f"{folder}/clean")
 
 
 # --- prompts and replies ------------------------------------------------------------------------
