@@ -221,6 +221,26 @@ def _classes(nodes: DataFrame, source: DataFrame, least: float) -> DataFrame:
     return written(joined(classes, _verified(across, texts, least)))
 
 
+def _labels(docs: DataFrame, id_column: str, text: str, least: float, bands: int, per_band: int) -> DataFrame:
+    """key, class_id, first (the smallest id and key of the class) for each text with an id that is not empty."""
+    body = F.col(text).cast("string")
+    source = (docs.select(F.col(id_column).cast("long").alias("id"), _key(body).alias("key"), body.alias("text"))
+              .where("id IS NOT NULL AND text IS NOT NULL AND text != ''"))
+    # One node per text: copies collapse in each task first.
+    keyed = source.select(F.struct("id", "key").alias("of"), "text")
+    signed = written(_signed(keyed, "of", bands, per_band).select("of.id", "of.key", "n", "bands"))
+    nodes = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+                    .withColumn("node", F.monotonically_increasing_id()))
+    classes = _classes(nodes, source, least)
+    named = nodes.join(classes, "node").groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
+    first = F.coalesce("first", F.struct("id", "key"))
+    return written(nodes.join(classes, "node", "left").join(named, "component", "left").select("key", first.alias("first"), first["id"].alias("class_id")))
+
+
+def _key(body: Column) -> Column:
+    return F.unhex(F.md5(F.nullif(body, F.lit("")).cast("binary")))
+
+
 def duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: float = SIMILARITY,
                       bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
     """doc_id, class_id for every row of `docs`: the smallest id among the documents that chains of near duplicates join.
@@ -231,28 +251,20 @@ def duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     probability of 1 in 9,000, at 0.85 of 1 in 3 million; of pairs at 0.8 in crowded buckets, 3 in 1,000 miss those of the
     longer signatures, at 0.82 1 in 10,000. Whole texts are read; other columns are not.
     """
-    body = F.col(text).cast("string")
-    source = (docs.select(F.col(id_column).cast("long").alias("id"), F.unhex(F.md5(body.cast("binary"))).alias("key"), body.alias("text"))
-              .where("id IS NOT NULL AND text IS NOT NULL AND text != ''"))
-    # One node per text: copies collapse in each task first.
-    keyed = source.select(F.struct("id", "key").alias("of"), "text")
-    signed = written(_signed(keyed, "of", bands, per_band).select("of.id", "of.key", "n", "bands"))
-    nodes = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-                    .withColumn("node", F.monotonically_increasing_id()))
-    classes = _classes(nodes, source, least)
-    named = nodes.join(classes, "node").groupBy("component").agg(F.min("id").alias("class_id"))
-    of_key = nodes.join(classes, "node", "left").join(named, "component", "left").select("key", F.coalesce("class_id", "id").alias("class_id"))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(F.nullif(body, F.lit("")).cast("binary"))).alias("key"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _key(F.col(text).cast("string")).alias("key"))
     named = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return rows.join(written(of_key), "key", "left").select("doc_id", named.alias("class_id"))
+    return rows.join(_labels(docs, id_column, text, least, bands, per_band), "key", "left").select("doc_id", named.alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs`, all columns, that stay: of each class the document with the smallest id, once.
+    """The rows of `docs`, all columns, that stay: of each class the document with the smallest id (and, of several texts with
+    that id, the one with the smallest digest), once. An id with texts of several classes is that of several documents.
 
-    Rows without an id stay.
+    Rows without an id stay; so does each id's empty text, once.
     """
-    stay = duplicate_classes(docs, id_column, text, least).where("doc_id = class_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    rows = docs.withColumn("stay_id", F.col(id_column).cast("long"))
-    one = rows.where("stay_id IS NOT NULL").join(stay, "stay_id", "left_semi").dropDuplicates(["stay_id"])
-    return one.drop("stay_id").unionByName(rows.where("stay_id IS NULL").drop("stay_id"))
+    first = _labels(docs, id_column, text, least, BANDS, ROWS).select("first.id", "first.key").distinct()
+    first = first.select(F.col("id").alias("stay_id"), F.col("key").alias("stay_key"))
+    rows = docs.withColumns({"stay_id": F.col(id_column).cast("long"), "stay_key": _key(F.col(text).cast("string"))})
+    one = rows.where("stay_id IS NOT NULL AND stay_key IS NOT NULL").join(first, ["stay_id", "stay_key"], "left_semi")
+    one = one.unionByName(rows.where("stay_id IS NOT NULL AND stay_key IS NULL")).dropDuplicates(["stay_id", "stay_key"])
+    return one.unionByName(rows.where("stay_id IS NULL")).drop("stay_id", "stay_key")

@@ -274,6 +274,13 @@ def test_duplicate_classes(spark, docs, odd, none):
     assert near_duplicates.duplicate_classes(none).collect() == [] and near_duplicates.drop_near_duplicates(none).collect() == []
 
 
+def test_texts_that_share_an_id_stay(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(40))), (1, " ".join(f"b{i}" for i in range(40))), (2, " ".join(f"b{i}" for i in range(40))),
+            (2, " ".join(f"c{i}" for i in range(40))), (2, None), (2, ""), (3, " ".join(f"a{i}" for i in range(40)))]
+    stay = near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, (r.text or "")[:1]) for r in stay) == Counter([(1, "a"), (1, "b"), (2, "c"), (2, "")])
+
+
 # Line deduplication
 
 def test_blocks():
