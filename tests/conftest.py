@@ -16,11 +16,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def rows(df):
-    """Rows as a sorted list of tuples, for comparison without order."""
-    return sorted((tuple(r) for r in df.collect()), key=str)
-
-
 @pytest.fixture(scope="session")
 def shop(spark):
     """A small table with one of everything: gaps, a copy, spellings, text numbers and dates, sentinels."""

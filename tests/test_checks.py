@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from helpers import rows
 from sieveline import Options, profile, register_check, unregister_check
 from sieveline.errors import ValidationError
 from sieveline.operators import cardinality, categories, duplicates, missing, outliers, suspicious, types

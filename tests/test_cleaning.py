@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from helpers import rows
 from sieveline import CleaningPlan, Options, clean, register_fix, unregister_fix
 from sieveline.errors import PlanError
 from sieveline.operators import duplicates, fixes

@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from sieveline.operators import replies
 
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from sieveline import Options, clean, profile
 from sieveline.errors import LoadError, PlanError, ValidationError
 from sieveline.sources.csv import read_csv

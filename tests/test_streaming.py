@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from helpers import rows
 from sieveline import CleaningPlan, Options, clean
 from sieveline.errors import PlanError
 from sieveline.streaming.replay import clean_stream, read_clean_stream, write_clean_stream
