@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sieveline.llm import (
-    decontaminate, language_id, line_dedup, mixing, near_duplicates, nearest, quality, sharding, token_counts, token_files,
+    best_fit, conversations, decontaminate, hard_negatives, language_id, line_dedup, mixing, near_duplicates, nearest, quality, sharding,
+    token_counts, token_files,
 )
 from sieveline.llm.common import held_out, table
 from sieveline.sources.shared import shared_folder
@@ -59,7 +60,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "certified")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_files, op3_mixing, op4_quality, op5_near_duplicates, op6_decontamination, op7_line_dedup,
-    op8_nearest, op9_token_counts, op10_sharding,
+    op8_nearest, op9_token_counts, op10_sharding, op11_hard_negatives, op12_conversations, op13_best_fit,
 )}
