@@ -3,8 +3,8 @@
 Documents are cut into pieces no longer than a sequence. Pieces are dealt into partitions of bounded size; each packs its own by
 best-fit decreasing, and compares its number of sequences with a lower bound from dual feasible functions. Equal
 numbers certify that no packing of that partition is shorter. Partitions with a gap exchange the pieces of their sequences that
-are not full, and each certified one gives its emptiest sequence; what was exchanged is dealt and packed anew, until
-nothing is gained.
+are not full, and each certified one gives its emptiest sequence; what was exchanged is dealt and packed anew, in
+partitions twice as large, for a bounded number of rounds.
 """
 
 from __future__ import annotations
@@ -95,24 +95,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds:
     """key, sequence_id, offset, certified for each row of `pieces` (key, unique; length from 1 to `capacity`).
 
     Offsets in a sequence have no gaps. certified says whether the partition that packed the sequence needed no more sequences
-    than its bound. Partitions hold about `part` pieces at any size of the table. A round of exchange is kept only if it
-    needs fewer sequences for what was exchanged.
+    than its bound. Partitions hold about `part` pieces at any size of the table, in round r of exchange 2^r times as many. A
+    round is kept only if it needs fewer sequences for what was exchanged.
     """
     loose = pieces.where(F.col("length") < capacity).select("key", "length")
     places, parts = _packed(loose, 0, 0, capacity, part)
     settled: list[DataFrame] = []
-    number = 1
-    while number <= rounds and parts > 1:
-        emptiest = places.where("certified").groupBy("part").agg(F.max(F.struct("room", "bin")).alias("last")).select("part", F.col("last.bin").alias("bin"))
-        given = places.where("NOT certified AND room > 0").select("part", "bin").distinct()
-        given = written(given.unionByName(emptiest.join(places.where("room > 0").select("part", "bin").distinct(), ["part", "bin"], "left_semi")))
-        before = given.count()
-        first_part = number << 40
-        again, parts = _packed(places.join(given, ["part", "bin"], "left_semi"), number, first_part, capacity, part)
-        if again.select("part", "bin").distinct().count() >= before:
+    for number in range(1, rounds + 1):
+        if parts == 1:
             break
-        settled.append(places.join(given, ["part", "bin"], "left_anti"))
-        places, number = again, number + 1
+        emptiest = places.where("certified").groupBy("part").agg(F.max(F.struct("room", "bin")).alias("last")).where("last.room > 0").select("part", F.col("last.bin").alias("bin"))
+        given = written(places.where("NOT certified AND room > 0").select("part", "bin").distinct().unionByName(emptiest))
+        again, fewer = _packed(places.join(given, ["part", "bin"], "left_semi"), number, number << 40, capacity, part << number)
+        if again.select("part", "bin").distinct().count() < given.count():
+            settled.append(places.join(given, ["part", "bin"], "left_anti"))
+            places, parts = again, fewer
     done = places
     for earlier in settled:
         done = done.unionByName(earlier)
