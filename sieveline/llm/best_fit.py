@@ -3,8 +3,8 @@
 Documents are cut into pieces no longer than a sequence. Pieces are dealt into partitions of bounded size; each packs its own by
 best-fit decreasing, and compares its number of sequences with a lower bound from dual feasible functions. Equal
 numbers certify that no packing of that partition is shorter. Partitions with a gap exchange the pieces of their sequences that
-are not full, and each certified one gives its emptiest sequence; what was exchanged is dealt and packed anew, in
-partitions twice as large, for a bounded number of rounds.
+are not full; so do the others while all together need more than the bound of the whole table, as then what one leaves free
+may serve another. What was exchanged is dealt and packed anew, in partitions twice as large, for a bounded number of rounds.
 """
 
 from __future__ import annotations
@@ -34,7 +34,12 @@ def bound(lengths: np.ndarray, capacity: int) -> int:
     The largest of the sums under three families of dual feasible functions: the length itself; lengths above capacity - t
     rounded up to one and those below t to none, for each t; lengths rounded down to multiples of 1/k after scaling by k + 1.
     """
-    counts = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1))
+
+
+def bound_of_counts(counts: np.ndarray) -> int:
+    """The same, from the number of pieces of each length from 0 to the capacity."""
+    capacity = len(counts) - 1
     size = np.arange(capacity + 1)
     least = -(-int((counts * size).sum()) // capacity)
     t = np.arange(1, capacity // 2 + 1)
@@ -91,25 +96,35 @@ def _packed(loose: DataFrame, salt: int, first_part: int, capacity: int, part: i
     return written(dealt.groupBy("part").applyInArrow(pack, _PLACES)), parts
 
 
+def _whole_bound(loose: DataFrame, capacity: int) -> int:
+    """The bound of all pieces together, from how often each length occurs."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in loose.groupBy("length").count().collect():  # a row per length at most
+        counts[r["length"]] = r["count"]
+    return bound_of_counts(counts)
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
     """key, sequence_id, offset, certified for each row of `pieces` (key, unique; length from 1 to `capacity`).
 
     Offsets in a sequence have no gaps. certified says whether the partition that packed the sequence needed no more sequences
     than its bound. Partitions hold about `part` pieces at any size of the table, in round r of exchange 2^r times as many. A
-    round is kept only if it needs fewer sequences for what was exchanged.
+    round is kept only if it needs fewer sequences for what was exchanged. No round follows once the bound of the whole table is met.
     """
     loose = pieces.where(F.col("length") < capacity).select("key", "length")
     places, parts = _packed(loose, 0, 0, capacity, part)
+    least = _whole_bound(loose, capacity)
+    total = places.select("part", "bin").distinct().count()
     settled: list[DataFrame] = []
     for number in range(1, rounds + 1):
-        if parts == 1:
+        if parts == 1 or total <= least:
             break
-        emptiest = places.where("certified").groupBy("part").agg(F.max(F.struct("room", "bin")).alias("last")).where("last.room > 0").select("part", F.col("last.bin").alias("bin"))
-        given = written(places.where("NOT certified AND room > 0").select("part", "bin").distinct().unionByName(emptiest))
-        again, fewer = _packed(places.join(given, ["part", "bin"], "left_semi"), number, number << 40, capacity, part << number)
-        if again.select("part", "bin").distinct().count() < given.count():
-            settled.append(places.join(given, ["part", "bin"], "left_anti"))
-            places, parts = again, fewer
+        given = places.where("room > 0")
+        again, fewer = _packed(given, number, number << 40, capacity, part << number)
+        saved = given.select("part", "bin").distinct().count() - again.select("part", "bin").distinct().count()
+        if saved > 0:
+            settled.append(places.where("room = 0"))
+            places, parts, total = again, fewer, total - saved
     done = places
     for earlier in settled:
         done = done.unionByName(earlier)
