@@ -13,6 +13,7 @@ from sieveline.functions.columns import count_if, ref, text
 from sieveline.functions.fixed import NA_TOKENS
 from sieveline.functions.scalars import parse_number
 from sieveline.operators.aggregate import aggregate_row
+from sieveline.sources.records import records
 
 SUFFIXES = (".csv", ".tsv", ".txt")
 _SURPLUS = "__surplus"
@@ -26,7 +27,7 @@ def _shape(spark: SparkSession, path: str, encoding: str) -> tuple[bool, bool, b
     """One scan of the raw lines: has any line, has quotes that stay open at a line end, is badly encoded.
 
     A quoted field that spans lines leaves an odd number of quotes on its first line. Only then
-    the file must be read whole by one task; otherwise it is split like any text.
+    records must be put together from lines.
     """
     lines = spark.read.text(path)
     checks = {
@@ -116,7 +117,12 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter:
     if len(names) == 1:
         logger.warning("%s has a single column; is %r the right delimiter?", path, delimiter)
     schema = ", ".join(f"{ref(n)} STRING" for n in [*names, _SURPLUS])
-    raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    spanning = records(spark, path, delimiter, encoding) if open_quotes else None
+    if spanning is None:
+        raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    else:
+        form = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+        raw = spanning.select(F.from_csv("value", schema, form).alias("record")).select("record.*")
     tokens = ", ".join(text(t) for t in NA_TOKENS)
     cells = raw.selectExpr(*[f"CASE WHEN {ref(n)} NOT IN ({tokens}) THEN {ref(n)} END AS {ref(n)}" for n in names], _SURPLUS)
     n_rows, n_surplus, types = _column_types(cells, names)

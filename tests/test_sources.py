@@ -1,11 +1,14 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
 from sieveline import Options, clean, profile
 from sieveline.errors import LoadError, PlanError, ValidationError
 from sieveline.sources.csv import read_csv
+from sieveline.sources.records import ends_inside, records
 from sieveline.sources.sinks import read_plan, save_run, write_analysis, write_cleaned, write_table
 
 
@@ -103,3 +106,64 @@ def test_analysis_document(spark, shop, tmp_path):
     document = json.loads(spark.read.text(str(tmp_path / "analysis")).first()[0])
     assert document["dataset"] == {"rows": 11, "columns": 9} and len(document["results"]) == 7
     assert document["results"][0]["details"]["total_missing_cells"] == 16
+
+
+def random_csv(draw, lines, crlf):
+    """A text with quoted fields over several lines, doubled quotes, quotes within plain fields, empty fields and lines."""
+    def field():
+        kind = draw.random()
+        if kind < 0.35:
+            inner = "".join(draw.choice(['x', 'é', ',', '\n', '""', ' ', '\n\n', '1']) for _ in range(draw.randint(0, 12)))
+            return f'"{inner}"'
+        return "".join(draw.choice("ab 7é") for _ in range(draw.randint(0, 6))) + ('5" pipe' if kind > 0.9 else "")
+
+    text = "a,b,c\n" + "".join(",".join(field() for _ in range(3)) + "\n" + "\n" * (draw.random() < 0.05) for _ in range(lines))
+    return text.replace("\n", "\r\n") if crlf else text
+
+
+@pytest.mark.parametrize("crlf", [False, True])
+def test_records_over_blocks_equal_those_of_the_whole_file(spark, tmp_path, crlf):
+    draw = random.Random(7)
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    for i, lines in enumerate((300, 200, 40, 3)):
+        (folder / f"{i}.csv").write_bytes(random_csv(draw, lines, crlf).encode())
+    (folder / "4.csv").write_bytes(("a,b,c\n1,\"" + "long, \n" * 900 + "\",z\n2,x,y").replace("\n", "\r\n" if crlf else "\n").encode())
+    schema = "a string, b string, c string, d string"
+    whole = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("enforceSchema", True).schema(schema).csv(str(folder))
+    form = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    expected = rows(whole)
+    for size in ("128m", "700", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            made = records(spark, str(folder))
+            found = made.select(F.from_csv("value", schema, form).alias("r")).select("r.*")
+            assert rows(found) == expected, size
+            if size == "700":
+                assert made.rdd.getNumPartitions() > 20
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_whether_a_line_ends_within_a_field():
+    for line, outside, inside in ((b"a,b", False, True), (b'a,"b', True, False), (b'a,"b"', False, False), (b'"', True, False), (b'""', False, True), (b'"""', True, False),
+                                  (b'a"b', False, False), (b'","', False, True), (b'x"",""y', False, True), (b'","x', False, True), (b'"a""b', True, False), (b'x","', True, True)):
+        assert ends_inside(line, False, b",") == outside, line
+    assert ends_inside(b'x', True, b",") and not ends_inside(b'x"', True, b",") and ends_inside(b'x""', True, b",") and ends_inside(b'x","y', True, b",")
+
+
+def test_embedded_line_ends_in_many_tasks(spark, tmp_path):
+    text = "n,s\n" + "".join(f'{i},"line {i}\nand, more"\n' for i in range(3000))
+    path = write(tmp_path / "many.csv", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = read_csv(spark, path)
+        assert df.rdd.getNumPartitions() >= len(text) // 8192
+        assert df.count() == 3000 and df.dtypes == [("n", "bigint"), ("s", "string")]
+        assert df.where("s = concat('line ', n, '\n', 'and, more')").count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
