@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from sieveline.errors import PlanError
@@ -13,7 +13,7 @@ from sieveline.functions.columns import ref
 from sieveline.operators import fixes
 from sieveline.plans.plan import CleaningPlan
 
-BATCH = "sieveline_batch"
+BATCH, KEY = "sieveline_batch", "sieveline_key"
 
 
 def _check(plan: CleaningPlan, stream: DataFrame) -> None:
@@ -26,12 +26,20 @@ def _check(plan: CleaningPlan, stream: DataFrame) -> None:
         raise PlanError("keep='last' by row id cannot run on a stream: a later copy may still arrive")
 
 
+def content_key(names: list[str]) -> Column:
+    """128 bits of the contents of these columns, NULLs apart from values: two hashes of 64 bits that begin differently."""
+    parts = [part for n in names for part in (F.col(ref(n)).isNull(), F.col(ref(n)))]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
 def clean_stream(plan: CleaningPlan, stream: DataFrame, event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """The cleaned stream. All steps but duplicate removal look at one row and keep no state.
 
-    Duplicates are removed within the watermark ``delay`` on ``event_time``, which bounds the
-    state to the rows of that time span: a row that comes later than the delay is left out by Spark. Where rows may come later, use
-    ``write_clean_stream``, which loses none. Copies of rows without an event time are found at any distance; a key of each stays in the state.
+    No row is left out, however late or without an event time, and copies are found at any distance: a key of 16 bytes of each
+    different row stays in the state, as a copy may always come. With the state store on disk (RocksDB, see
+    ``spark.sql.streaming.stateStore.providerClass``) that bounds the memory. The first copy to arrive stays. ``delay`` is the watermark of
+    ``event_time`` that the result carries for operations that come after (if the column is a timestamp); nothing here is judged by it.
+    ``write_clean_stream`` keeps the rows in files instead of keys in the state.
     """
     _check(plan, stream)
     if plan.keep is None:
@@ -39,10 +47,10 @@ def clean_stream(plan: CleaningPlan, stream: DataFrame, event_time: str | None =
     if event_time is None or delay is None:
         raise PlanError("removing duplicates from a stream needs an event time column and a delay")
     content = [n for n in stream.columns if n != plan.row_id]
-    marked = stream.withColumn("__event_time", stream[ref(event_time)].cast("timestamp"))
-    timed = marked.where("__event_time IS NOT NULL").withWatermark("__event_time", delay).dropDuplicatesWithinWatermark(content)
-    untimed = marked.where("__event_time IS NULL").dropDuplicates(content)
-    return plan.apply_to_rows(timed.drop("__event_time").unionByName(untimed.drop("__event_time")))
+    once = stream.withColumn(KEY, content_key(content)).dropDuplicates([KEY]).drop(KEY)
+    if dict(once.dtypes)[event_time] == "timestamp":
+        once = once.withWatermark(event_time, delay)
+    return plan.apply_to_rows(once)
 
 
 def write_clean_stream(plan: CleaningPlan, stream: DataFrame, folder: str, event_time: str, span: str = "day") -> DataStreamWriter:

@@ -73,3 +73,18 @@ def test_late_rows_and_rows_without_a_time(spark, tmp_path):
     untimed = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").where("ts IS NULL")
     streamed = run_stream(spark, clean_stream(plan, untimed, "ts", "1 hour"), f"{tmp_path}/untimed")
     assert rows(streamed) == rows(plan.apply(batch.where("ts IS NULL"))) and streamed.count() == 40
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_clean_stream_leaves_no_row_out(spark, tmp_path, kind):
+    """A short delay, files hours back in time, NULL times, copies within and across files, values that differ by NULLs alone."""
+    draw = (f"id, CAST(if(id % 10 = 3, null, TIMESTAMP_NTZ '2024-01-01 00:00:00' + id * INTERVAL '1' MINUTE) AS {kind}) AS ts, if(id % 4 = 0, 'A ', 'a') AS kind, "
+            "if(id % 9 = 0 AND id % 10 != 3, null, CAST(id % 10 AS DOUBLE)) AS size, if(id % 5 = 1, null, 1) AS one, if(id % 5 = 2, null, 1) AS two")
+    everything = spark.sql(f"SELECT {draw} FROM range(400)")
+    for part in ("id >= 300", "id < 150 OR id > 390", "id BETWEEN 100 AND 320", "id % 10 = 3 OR id % 20 = 0"):
+        everything.where(part).union(everything.where(f"({part}) AND id % 7 = 0")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    batch = spark.read.parquet(f"{tmp_path}/in")
+    plan = clean(batch).plan
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = run_stream(spark, clean_stream(plan, stream, "ts", "1 minute"), str(tmp_path))
+    assert plan.keep == "first" and rows(found) == rows(plan.apply(batch)) and found.count() == 400
