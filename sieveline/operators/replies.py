@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.columns import ref, text
 from sieveline.functions.scalars import estimate_tokens, parse_number, prompt_key
+from sieveline.sources.shared import written
 
 HOT_ROWS = 1_000_000
+#: Buckets of a stored cache: by so many hexadecimal digits of the key. Keys of another form make other buckets; beyond MOST_BUCKETS all are read.
+BUCKET, BUCKET_DIGITS, MOST_BUCKETS = "bucket", 2, 256
+_CACHE_SCHEMA = "prompt_key string, response string, cached_at timestamp"
 #: The most bytes of replies that are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -70,6 +75,10 @@ def with_prompt_key(df: DataFrame, prompt: str) -> DataFrame:
     return df.withColumn("prompt_key", F.expr(prompt_key(ref(prompt))))
 
 
+def _age_hours(now: str) -> str:
+    return f"(unix_micros(CAST({text(now)} AS TIMESTAMP)) - unix_micros(CAST(cached_at AS TIMESTAMP))) / 3600e6"
+
+
 def latest_replies(cache: DataFrame) -> DataFrame:
     """The latest entry per key of a cache table (prompt_key, response, cached_at). Partial aggregation applies."""
     return cache.groupBy("prompt_key").agg(
@@ -86,8 +95,7 @@ def lookup_replies(prompts: DataFrame, cache: DataFrame, now: str, ttl_hours: fl
     """
     live = latest_replies(cache)
     if ttl_hours > 0:
-        age = f"(unix_micros(CAST({text(now)} AS TIMESTAMP)) - unix_micros(CAST(cached_at AS TIMESTAMP))) / 3600e6"
-        live = live.where(f"{age} <= {float(ttl_hours)}D")
+        live = live.where(f"{_age_hours(now)} <= {float(ttl_hours)}D")
     hot = prompts.groupBy("prompt_key").agg(F.expr("count(1) AS n")).where(f"n > {hot_rows}").select("prompt_key")
     if hot.isEmpty():
         return prompts.join(live, "prompt_key", "left")
@@ -109,6 +117,64 @@ def cache_misses(prompts: DataFrame, cache: DataFrame, now: str, ttl_hours: floa
     return lookup_replies(prompts, cache, now, ttl_hours, hot_rows).where("cached_at IS NULL").drop("response", "cached_at")
 
 
+def read_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries (prompt_key, response, cached_at) of a cache folder, one per key; none where nothing is stored yet."""
+    try:
+        return spark.read.schema(f"{_CACHE_SCHEMA}, {BUCKET} string").parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{_CACHE_SCHEMA}, {BUCKET} string")
+
+
+def _put(entries: DataFrame, folder: str, mode: str) -> None:
+    kept = written(entries.select("prompt_key", "response", "cached_at", BUCKET))  # what is read is not what is replaced
+    # One task per bucket, so that a bucket is one file.
+    (kept.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(BUCKET).parquet(folder))
+
+
+def store_replies(entries: DataFrame, folder: str) -> None:
+    """Set or refresh entries (prompt_key, response, cached_at): of each key the latest stays, in the folder and among the new ones.
+
+    The folder is cut into buckets by the start of the key. Only buckets with new keys are read, joined with the new entries by
+    one aggregation, and replaced, each as a whole; a run that fails in between is repeated with the same result. Entries without a
+    key or a time are left out: they can never be looked up. There is one writer at a time.
+    """
+    new = entries.where("prompt_key IS NOT NULL AND cached_at IS NOT NULL").selectExpr(
+        "prompt_key", "response", "CAST(cached_at AS TIMESTAMP) AS cached_at", f"lower(substring(prompt_key, 1, {BUCKET_DIGITS})) AS {BUCKET}")
+    new = written(new)
+    touched = [r[0] for r in new.select(BUCKET).distinct().limit(MOST_BUCKETS + 1).collect()]
+    old = read_cache(new.sparkSession, folder)
+    if len(touched) <= MOST_BUCKETS:
+        old = old.where(F.col(BUCKET).isin(touched))
+    both = old.unionByName(new.select(*old.columns))
+    _put(latest_replies(both).withColumn(BUCKET, F.expr(f"lower(substring(prompt_key, 1, {BUCKET_DIGITS}))")), folder, "dynamic")
+
+
+def expire_replies(spark: SparkSession, folder: str, now: str, ttl_hours: float) -> None:
+    """Take the entries away whose age at ``now`` is above ``ttl_hours``; 0 keeps all. Buckets without such entries are not written."""
+    if ttl_hours <= 0:
+        return
+    cache = read_cache(spark, folder)
+    old = f"{_age_hours(now)} > {float(ttl_hours)}D"
+    stale = cache.where(old).select(BUCKET).distinct()
+    left = written(cache.join(F.broadcast(stale), BUCKET, "left_semi").where(f"NOT ({old})"))
+    emptied = stale.join(left.select(BUCKET).distinct(), BUCKET, "left_anti")
+    if emptied.isEmpty():
+        _put(left, folder, "dynamic")
+    else:  # a bucket without entries can only be left out when all are written
+        _put(cache.where(f"NOT ({old})"), folder, "static")
+
+
+def clear_replies(spark: SparkSession, folder: str) -> int:
+    """Take all entries away; how many there were."""
+    cache = read_cache(spark, folder)
+    n = cache.count()
+    if n:
+        _put(cache.limit(0), folder, "static")
+    return n
+
+
 # --- reply parsing ------------------------------------------------------------------------------
 
 _FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"

@@ -74,3 +74,32 @@ def test_scores_are_plain_numbers(spark):
     wanted = {'"85d"': None, '"85f"': None, '" 85 "': 85, "85.9": 85, '"85.9"': 85, '"1e400"': None, "null": None}
     df = spark.createDataFrame([(k, reply(k)) for k in wanted], "k string, reply string")
     assert {r.k: r.data_quality_score for r in replies.parse_replies(df, "reply").collect()} == wanted
+
+
+def test_stored_cache(spark, tmp_path):
+    """Set, refresh, expire and clear; untouched buckets keep their files."""
+    folder = str(tmp_path / "cache")
+    assert replies.read_cache(spark, folder).count() == 0 and replies.clear_replies(spark, folder) == 0
+
+    def entries(*found):
+        return spark.createDataFrame(found, "prompt_key string, response string, cached_at string").selectExpr("prompt_key", "response", "CAST(cached_at AS TIMESTAMP) AS cached_at")
+
+    def stored():
+        return {r.prompt_key: r.response for r in replies.read_cache(spark, folder).collect()}
+
+    replies.store_replies(entries(("aa1", "one", "2024-01-01 10:00:00"), ("aa2", "two", "2024-01-01 10:00:00"), ("bb1", "three", "2024-01-01 10:00:00"),
+                                  ("bb1", "older", "2024-01-01 09:00:00"), (None, "lost", "2024-01-01 10:00:00"), ("cc1", "lost", None)), folder)
+    assert stored() == {"aa1": "one", "aa2": "two", "bb1": "three"}
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache" / "bucket=bb").iterdir()}
+    replies.store_replies(entries(("aa1", "newer", "2024-01-02 10:00:00"), ("aa2", "late", "2024-01-01 08:00:00"), ("dd1", None, "2024-01-02 11:00:00")), folder)
+    assert stored() == {"aa1": "newer", "aa2": "two", "bb1": "three", "dd1": None}
+    assert files == {p: p.stat().st_mtime_ns for p in (tmp_path / "cache" / "bucket=bb").iterdir()}
+    replies.expire_replies(spark, folder, "2024-01-02 12:00:00", 0)
+    assert len(stored()) == 4
+    replies.expire_replies(spark, folder, "2024-01-02 12:00:00", 24)
+    assert stored() == {"aa1": "newer", "dd1": None}
+    replies.store_replies(entries(("aa1", "old", "2023-01-01 10:00:00"), ("x", "short", "2024-01-02 11:00:00"), ("", "empty", "2024-01-02 11:00:00")), folder)
+    assert stored() == {"aa1": "newer", "dd1": None, "x": "short", "": "empty"}
+    assert replies.clear_replies(spark, folder) == 4 and stored() == {}
+    replies.store_replies(entries(("aa1", "again", "2024-01-01 10:00:00")), folder)
+    assert stored() == {"aa1": "again"}
