@@ -175,11 +175,11 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text",
                    part: int = PART) -> DataFrame:
-    """doc_id, piece, start, length, ids, sequence_id, offset, certified: where each piece of each row of `docs` goes.
+    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset, certified: where each piece of each row of `docs` goes.
 
-    The rules for texts and ids are those of `cut`, those for sequences those of `pack`.
+    The rules for texts and ids are those of `cut`, those for sequences those of `pack`. ids are not moved where they are not asked for.
     """
-    pieces = cut(docs, tokenizer, end_id, capacity, id_column, text)
+    pieces = cut(docs, tokenizer, end_id, capacity, id_column, text).withColumn("ids_crc32", F.crc32("ids"))
     return pieces.join(written(pack(pieces.select("key", "length"), capacity, part)), "key").drop("key")
 
 

@@ -72,7 +72,7 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "certified")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
 
 QUERIES = {f.__name__: f for f in (
