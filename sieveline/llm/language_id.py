@@ -21,19 +21,19 @@ PROFILE = 300
 _BITS = 21  # a code point; three of them fill an n-gram's 63 bits
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    """For each code point whether it is a letter (or a mark on one)."""
-    return np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
+@lru_cache(2)
+def _letters(kinds: str) -> np.ndarray:
+    """For each code point whether it is of these general categories: L are letters, M marks on them."""
+    return np.fromiter((unicodedata.category(chr(i))[0] in kinds for i in range(0x110000)), bool, 0x110000)
 
 
 def gram_codes(text: str | None) -> np.ndarray:
-    """The n-grams of a text as integers, repeats included; none if it has no letter."""
+    """The n-grams of a text as integers, repeats included; none if it has no letter (marks alone are none)."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    points = np.concatenate([[32], np.where(_letters()[points], points, 32), [32]])
-    points = points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])]
-    if len(points) < 3:
+    if not _letters("L")[points].any():
         return np.empty(0, np.int64)
+    points = np.concatenate([[32], np.where(_letters("LM")[points], points, 32), [32]])
+    points = points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])]
     two = points[:-1] << _BITS | points[1:]
     return np.concatenate([points[points != 32], two, two[:-1] << _BITS | points[2:]])
 
