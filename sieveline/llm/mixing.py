@@ -70,11 +70,11 @@ def with_copies(sizes: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 11, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of `docs`, all columns, each as often as the mix takes it, by the rules of `repeats`."""
+    """The rows of `docs`, all columns of any names, each as often as the mix takes it, by the rules of `repeats`."""
     sizes = docs.select(F.col(source).cast("string").alias("source"), n_words(F.col(text).cast("string")).alias("size"))
     targets = small(written(source_targets(sizes).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))))
-    rows = docs.alias("mix_docs").join(targets, F.col(f"mix_docs.{source}").cast("string").eqNullSafe(F.col("mix_source")))
+    rows = docs.select(F.struct("*").alias("mix_docs")).join(targets, F.col(f"mix_docs.`{source}`").cast("string").eqNullSafe(F.col("mix_source")))
     whole = F.floor("mix_rate")
-    copies = whole + (draw(seed, F.col(f"mix_docs.{id_column}")) < F.col("mix_rate") - whole).cast("long")
+    copies = whole + (draw(seed, F.col(f"mix_docs.`{id_column}`")) < F.col("mix_rate") - whole).cast("long")
     return (rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), copies))).where("mix_copy > 0")
             .select("mix_docs.*"))

@@ -264,7 +264,7 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
     """
     first = _labels(docs, id_column, text, least, BANDS, ROWS).select("first.id", "first.key").distinct()
     first = first.select(F.col("id").alias("stay_id"), F.col("key").alias("stay_key"))
-    rows = docs.withColumns({"stay_id": F.col(id_column).cast("long"), "stay_key": _key(F.col(text).cast("string"))})
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("stay_id"), _key(F.col(text).cast("string")).alias("stay_key"))
     one = rows.where("stay_id IS NOT NULL AND stay_key IS NOT NULL").join(first, ["stay_id", "stay_key"], "left_semi")
     one = one.unionByName(rows.where("stay_id IS NOT NULL AND stay_key IS NULL")).dropDuplicates(["stay_id", "stay_key"])
-    return one.unionByName(rows.where("stay_id IS NULL")).drop("stay_id", "stay_key")
+    return one.unionByName(rows.where("stay_id IS NULL")).select("row.*")

@@ -1,7 +1,7 @@
 """Shards of near equal bytes, words and rows, by vector bin packing of groups of equal texts.
 
-What is packed is bounded: each large group (cut into pieces where it is larger than a shard should take at once), and
-the other groups dealt by hash into a fixed number of lots. Items go, largest first, to the shard with room whose
+What is packed is bounded: each large group (in pieces where no shard can hold it), and the other groups dealt by hash into a
+fixed number of lots. Items go, largest first, to the shard with room whose
 residual capacity has the largest dot product with the item.
 """
 
@@ -15,7 +15,7 @@ from sieveline.llm.mixing import n_words
 from sieveline.sources.shared import written
 
 LOTS = 4096
-#: A group with this share of the bytes, words or rows is packed by itself; one with more than PIECE is cut into pieces.
+#: A group with this share of the bytes, words or rows is packed by itself. One that does not fit into a shard is cut into pieces of PIECE.
 LARGE, PIECE = 1 / 4096, 1 / 256
 
 
@@ -39,7 +39,7 @@ def assign(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text: st
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of `docs`.
 
     size is the text's UTF-8 bytes (NULL: none) plus 1; the law is `bytes`: the sums of sizes are near equal. Equal texts
-    share a shard, unless they are more than 1/256 of the table, when they go in pieces by the hash of their ids. Slots
+    share a shard, unless they are more than an equal share of the table's bytes, words or rows, when they go in pieces by the hash of their ids. Slots
     of a shard count from 0 without gaps, in the order of lots of rows (by hash of id and text), then ids; equal rows stand one after
     another. NULL texts are one group, with text_crc32 0; NULL ids are allowed. Other columns are not read.
     """
@@ -51,7 +51,7 @@ def assign(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text: st
     everything = rows.agg(F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("rows")).first()
     share = F.greatest(*[F.col(c) / max(everything[c] or 0, 1) for c in ("size", "words", "rows")])
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("rows"))
-    large = groups.where(share >= LARGE).select("group", F.when(share > PIECE, F.ceil(share / PIECE)).otherwise(1).alias("pieces"))
+    large = groups.where(share >= LARGE).select("group", F.when(share > 1 / shards, F.ceil(share / PIECE)).otherwise(1).alias("pieces"))
     # At most 3 / LARGE groups are large, so they may be broadcast.
     dealt = rows.join(F.broadcast(written(large)), "group", "left")
     piece = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces"))
@@ -82,7 +82,7 @@ def write_shards(docs: DataFrame, folder: str, shards: int = 8, id_column: str =
     """
     key = [F.col(id_column).alias("shard_id"), F.coalesce(F.crc32(F.col(text).cast("string").cast("binary")), F.lit(0)).cast("long").alias("shard_crc")]
     places = assign(docs, shards, id_column, text).groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")], *key)
+    kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("row"), *key)
     (kept.join(places, F.col("shard_id").eqNullSafe(places["doc_id"]) & (F.col("shard_crc") == F.col("text_crc32")))
-     .select(*[kept[c] for c in kept.columns if c not in ("shard_id", "shard_crc")], "shard", "slot")
+     .select("row.*", "shard", "slot")
      .write.partitionBy("shard").parquet(folder))
