@@ -310,3 +310,103 @@ def test_byte_ids_are_those_of_the_library():
 def test_new_queries_run(spark):
     for name in ("op11_hard_negatives", "op12_conversations", "op13_best_fit"):
         assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+# What was mended in earlier operators
+
+def near_copies(n, seed):
+    """Copies of one text with some words changed, at all similarities around 0.8."""
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(draw.randint(0, 9)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10 ** 6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_classes_of_a_crowded_group(spark, monkeypatch):
+    from sieveline.llm import near_duplicates as nd
+
+    texts = near_copies(220, 8) + near_copies(60, 9) + ["something else entirely " + str(i) * 9 for i in range(10)]
+    hashes = nd._WordHashes()
+    bags = [nd.shingles(t, hashes) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if nd.similarity(bags[a], bags[b]) >= 0.8]
+    compared = []
+    first = nd._across
+    monkeypatch.setattr(nd, "_across", lambda rows, least: compared.append("sketch" in rows.columns) or first(rows, least))
+    found = {r.doc_id: r.class_id for r in nd.duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert True in compared  # some buckets are crowded
+    together = sum(found[a] == found[b] for a, b in links)
+    assert len(links) > 1000 and together / len(links) >= 0.99
+    # Classes hold nothing that no chain of links joins.
+    root = list(range(len(texts)))
+
+    def end(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(end(a), end(b))] = min(end(a), end(b))
+    for i, c in found.items():
+        assert end(i) == end(c)
+
+
+def test_sketches_rule_out_only_what_is_below_the_bound():
+    from sieveline.llm import near_duplicates as nd
+
+    hashes = nd._WordHashes()
+    bags = [nd.shingles(t, hashes) for t in near_copies(120, 4)]
+    found = nd.signatures(bags, nd.SKETCH_BITS)
+    bits = np.unpackbits(nd.sketches(found, nd.SKETCH_BITS).view(np.uint8), axis=1)
+    assert bits.shape == (120, nd.SKETCH_BITS)
+    ruled_out = kept_below = 0
+    for a, b in itertools.combinations(range(120), 2):
+        alike, agree = nd.similarity(bags[a], bags[b]), int((bits[a] == bits[b]).sum())
+        assert abs(2 * agree / nd.SKETCH_BITS - 1 - alike) < 0.12
+        assert alike < 0.8 or agree >= nd.least_agreement(0.8, nd.SKETCH_BITS)
+        ruled_out += agree < nd.least_agreement(0.8, nd.SKETCH_BITS)
+        kept_below += alike < 0.72 and agree >= nd.least_agreement(0.8, nd.SKETCH_BITS)
+    assert ruled_out > 1000 and kept_below < 20
+
+
+def test_equal_texts_share_a_shard(spark):
+    from sieveline.llm import sharding
+
+    for n in (200, 3000):
+        rows = [(i, f"copy {i % 7}" if i % 4 == 0 else f"text number {i} " * (i % 9 + 1)) for i in range(n)]
+        df = spark.createDataFrame([*rows, *[(n + i, None) for i in range(n // 20)]], "doc_id long, text string")
+        where = defaultdict(set)
+        texts = dict(rows)
+        for r in sharding.assign(df).collect():
+            where[texts.get(r.doc_id)].add(r.shard)
+        assert all(len(shards) == 1 for shards in where.values())
+
+
+CLASHES = ("mix_rate", "mix_copy", "mix_source", "mix_docs", "stay_id", "stay_key", "row", "shard_id", "shard_crc", "text_crc32", "copies")
+
+
+def test_columns_of_any_names(spark, tmp_path):
+    from sieveline.llm import mixing, near_duplicates, sharding
+
+    rows = [(i, f"a text of its own number {i} " * 3 if i % 3 else "one text that is in many rows of this table", "s" + str(i % 2), *[f"{c}{i}" for c in CLASHES]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES))
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in df.collect()}
+    kept = near_duplicates.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {0, *(i for i in range(40) if i % 3)}
+    sharding.write_shards(df, str(tmp_path / "shards"))
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    assert set(written.columns) == {*df.columns, "shard", "slot"} and {tuple(r) for r in written.select(*df.columns).collect()} == {tuple(r) for r in df.collect()}
+
+
+def test_marks_alone_are_no_language(spark):
+    from sieveline.llm import language_id
+
+    profiles = language_id.learn_profiles(spark.createDataFrame([("en", "the cat sat é"), ("de", "der hund lag")], "lang string, text string"))
+    df = spark.createDataFrame([(1, "́̂ 12"), (2, "é"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict_languages(df, profiles).collect()} == {1: "und", 2: "en", 3: "und"}
