@@ -54,7 +54,8 @@ def repeats(docs: DataFrame, seed: int = 11, id_column: str = "doc_id", text: st
     """doc_id, size, source_size, target, copies for every row of `docs`.
 
     copies is floor(rate) and one more if the id's draw is below the rest of the rate. So it depends on the id and
-    its source's rate, and reruns agree; equal ids of one source draw alike. A NULL text has size 0, a NULL source is a
+    its source's rate, and reruns agree; equal ids of one source draw alike. Draws are independent, so a source's words differ
+    from its target by about the root of the sum of size^2 * f * (1 - f), f being the rest of the rate: little for many documents, much for few long ones. A NULL text has size 0, a NULL source is a
     source of its own, NULL ids draw as one id. Whole texts are counted; other columns are not read.
     """
     sizes = written(docs.select(F.col(id_column).alias("doc_id"), F.col(source).cast("string").alias("source"),

@@ -30,7 +30,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
 #: Buckets up to this size are compared by pairs; the members of larger ones by longer signatures.
 SMALL_BUCKET = 16
-WIDE_BANDS, WIDE_ROWS = 500, 20
+WIDE_BANDS, WIDE_ROWS = 160, 14
 #: Bits of a sketch, in whole numbers of 64. Two agree in a bit with a probability of (1 + similarity) / 2; pairs that agree in fewer than
 #: expected at the bound, by this many standard deviations, are not compared: 1 in 9,000 at the bound itself.
 SKETCH_BITS, SKETCH_DEVIATIONS = 2048, 3.7
@@ -235,10 +235,10 @@ def _classes(nodes: DataFrame, source: DataFrame, least: float) -> DataFrame:
         signed = written(_signed(texts.join(crowded, "node"), "node", WIDE_BANDS, WIDE_ROWS, SKETCH_BITS))
         wide = written(_shared(signed.select("node", "n", F.explode("bands").alias("bucket"))))
         # Members already in the first one's class need no comparison.
-        of_first = classes.select(F.col("node").alias("first"), F.col("component").alias("of_first"))
-        apart = wide.where(near).join(classes, "node", "left").join(of_first, "first", "left").where(
-            F.coalesce("component", "node") != F.coalesce("of_first", "first"))
-        more = written(apart.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        of_first = classes.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+        pairs = wide.where(near).select(F.col("first").alias("a"), F.col("node").alias("b"), "node").distinct()
+        apart = pairs.join(classes, "node", "left").join(of_first, "a", "left").where(F.coalesce("component", "node") != F.coalesce("of_a", "a"))
+        more = written(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"))
         classes, tried = written(joined(classes, _verified(more, texts, least))), tried.unionByName(more)
         across = _across(_open(wide, classes).join(signed.select("node", "sketch"), "node"), least)
     few = _across(_open(members.where(F.col("size") <= SMALL_BUCKET), classes), least)
@@ -273,8 +273,8 @@ def duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     Near duplicates have a weighted Jaccard similarity of `least` or more over runs of five lower-cased words. Equal
     texts are one class. Texts without a word are alike to none but equal ones. Rows without an id are in no class
     (class_id NULL); NULL and empty texts are classes of their own. A pair at 0.8 misses every bucket with a
-    probability of 1 in 9,000, at 0.85 of 1 in 3 million; of pairs at 0.8 in crowded buckets, 3 in 1,000 miss those of the
-    longer signatures, at 0.82 1 in 10,000, and 1 in 9,000 is ruled out by sketches, at 0.82 1 in 10 million. Whole texts are read; other columns are not.
+    probability of 1 in 9,000, at 0.85 of 1 in 3 million; of pairs at 0.8 in crowded buckets, 1 in 1,300 misses those of the
+    longer signatures, at 0.82 1 in 40,000, and 1 in 9,000 is ruled out by sketches, at 0.82 1 in 10 million. Whole texts are read; other columns are not.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _key(F.col(text).cast("string")).alias("key"))
     named = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))

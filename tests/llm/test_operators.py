@@ -37,7 +37,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_with_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     found, expected = QUERIES[name](spark, FOLDER).toPandas(), db.sql(ORACLES[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)

@@ -410,3 +410,19 @@ def test_marks_alone_are_no_language(spark):
     profiles = language_id.learn_profiles(spark.createDataFrame([("en", "the cat sat é"), ("de", "der hund lag")], "lang string, text string"))
     df = spark.createDataFrame([(1, "́̂ 12"), (2, "é"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in language_id.predict_languages(df, profiles).collect()} == {1: "und", 2: "en", 3: "und"}
+
+
+@tables
+def test_taken_words_come_near_their_target(spark):
+    """Copies are drawn by themselves, so a source's words differ from its target by a few standard deviations of the draw at most."""
+    from sieveline.llm import mixing
+
+    for folder in ("sf0.001", "sf0.01", "sf0.1"):
+        sums = defaultdict(lambda: [0.0, 0.0, 0.0])
+        for r in mixing.repeats(spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")).collect():
+            rate = min(r.target / r.source_size, 3.0) if r.source_size else 0.0
+            share = rate - int(rate)
+            taken, variance, _ = sums[r.source_size, r.target]
+            sums[r.source_size, r.target] = [taken + r.size * r.copies, variance + r.size ** 2 * share * (1 - share), r.target]
+        for taken, variance, target in sums.values():
+            assert abs(taken - target) <= 4 * variance ** 0.5 + 1e-6 * target
