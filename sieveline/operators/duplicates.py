@@ -36,8 +36,7 @@ class Copies:
 
     ``hashes`` are the suspect hashes. ``groups`` holds every distinct suspect row once, with its
     number of copies and, if rows have ids, the smallest and largest id. While the suspects are
-    ``few``, both are small tables: written to the shared folder, or cached where there is none,
-    until ``release``. Otherwise every row counts as suspect.
+    ``few``, both are small tables, written to the shared folder. Otherwise every row counts as suspect.
     """
 
     content: list[str]
@@ -100,7 +99,8 @@ def find_copies(df: DataFrame, options: Options = Options(), row_id: str | None
         df.select(row_hash(df, content).alias(HASH)).groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select(HASH)
     )
-    hashes = kept(hashes)
+    # One more than may be broadcast is enough to know that there are too many.
+    hashes = kept(hashes.limit(options.scale.broadcast_rows + 1))
     n_hashes = hashes.count()
     few = n_hashes <= options.scale.broadcast_rows
     if few:

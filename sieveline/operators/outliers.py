@@ -171,15 +171,15 @@ def stats_table(df: DataFrame, stats: dict[str, NumericStats], digits: int = 4)
 
 
 def outlier_examples(df: DataFrame, found: dict[str, ColumnOutliers], options: Options = Options(),
-                     row_id: str | None = None) -> DataFrame:
-    """Up to five outlier values per column: first by row id, or the smallest distinct ones.
+                     row_id: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Up to five outlier values per column: first by row id, or the smallest distinct ones; with the row ids, if asked for.
 
     The ranking limit is applied per task before the shuffle, so columns full of outliers cost no more.
     """
     column_kinds = kinds(df)
     names = list(found)
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, nth int, value double")
+        return df.sparkSession.createDataFrame([], "column string, nth int, value double" + ", row_id string" * with_ids)
     cells = []
     for i, name in enumerate(names):
         value = number(name, column_kinds[name])
@@ -194,6 +194,7 @@ def outlier_examples(df: DataFrame, found: dict[str, ColumnOutliers], options: O
         flagged = flagged.distinct()
     order = "row_id" if row_id else "value"
     return (
-        flagged.selectExpr("slot", "value", f"row_number() OVER (PARTITION BY slot ORDER BY {order}) AS nth")
-        .where(f"nth <= {EXAMPLE_VALUES}").selectExpr(f"{slot_name(names)} AS column", "nth", "value")
+        flagged.selectExpr("slot", "value", f"row_number() OVER (PARTITION BY slot ORDER BY {order}) AS nth", *(["row_id"] if row_id else []))
+        .where(f"nth <= {EXAMPLE_VALUES}").selectExpr(
+            f"{slot_name(names)} AS column", "nth", "value", *([f"CAST({'row_id' if row_id else 'NULL'} AS STRING) AS row_id"] if with_ids else []))
     )

@@ -23,32 +23,21 @@ BROADCAST_BYTES = 32 << 20
 def running_total(df: DataFrame, run: str, seq: str, cost: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``used_before``: the cost of all earlier rows of the same run, by ascending ``seq``.
 
-    Runs above ``hot_rows`` rows are cut into ranges of ``seq``: costs are summed per range, the
-    sums are accumulated (one row per range), and rows are accumulated within their range only.
-    Ranges that still hold too many rows are cut again. There are at most rows / hot_rows such
-    groups, so their list is broadcast. ``seq`` is a whole number, unique within a run.
+    Where a run has more than ``hot_rows`` rows, the table is dealt once by ranges of run and seq, which follow the data, and
+    stored. Costs are summed per run and range, one row each; their own running total is put before the rows of each
+    range, which are then accumulated within it. A NULL run is a run. ``seq`` is unique within a run.
     """
-    return _running_total(df, [run], seq, cost, hot_rows, "used_before")
-
-
-def _running_total(df: DataFrame, by: list[str], seq: str, cost: str, hot_rows: int, result: str) -> DataFrame:
-    group = ", ".join(ref(n) for n in by)
-    hot = (
-        df.groupBy(*[ref(n) for n in by])
-        .agg(F.expr("count(1) AS __n"), F.expr(f"min({ref(seq)}) AS __low"), F.expr(f"max({ref(seq)}) AS __high"))
-        .where(f"__n > {hot_rows} AND __high > __low")
-        .selectExpr(*[ref(n) for n in by], "__low", f"greatest(1D, (__high - __low + 1D) / ceil(2 * __n / {hot_rows}D)) AS __width")
-    )
-    if hot.isEmpty():
-        return df.selectExpr("*", f"{_earlier(cost, group, ref(seq))} AS {result}")
-    level = f"__range_{len(by)}"
-    ranged = df.join(F.broadcast(hot), by, "left").selectExpr(
-        *[ref(n) for n in df.columns], f"coalesce(CAST(floor(({ref(seq)} - __low) / __width) AS BIGINT), 0L) AS {level}")
-    sums = ranged.groupBy(*[ref(n) for n in by], level).agg(F.expr(f"sum({ref(cost)}) AS __sum"))
-    offsets = sums.selectExpr(*[ref(n) for n in by], level, f"{_earlier('__sum', group, level)} AS __offset")
-    within = _running_total(ranged, [*by, level], seq, cost, hot_rows, f"__within_{len(by)}")
-    return within.join(offsets, [*by, level]).selectExpr(
-        *[ref(n) for n in df.columns], f"__offset + __within_{len(by)} AS {result}")
+    shown = [ref(n) for n in df.columns]
+    sizes = df.groupBy(ref(run)).agg(F.expr("count(1) AS __n")).agg(F.expr("sum(__n) AS n"), F.expr("max(__n) AS most")).first()
+    if (sizes.most or 0) <= hot_rows:
+        return df.selectExpr(*shown, f"{_earlier(cost, ref(run), ref(seq))} AS used_before")
+    ranges = -(-sizes.n // hot_rows) + 1
+    ranged = written(df.repartitionByRange(ranges, ref(run), ref(seq)).withColumns({"__range": F.spark_partition_id(), "__row": F.lit(1)}))
+    sums = ranged.groupBy(ref(run), "__range").agg(F.expr(f"sum({ref(cost)}) AS __sum"))
+    before = sums.selectExpr(ref(run), "__range", "0 AS __row", f"{_earlier('__sum', ref(run), '__range')} AS {ref(cost)}")
+    every = ranged.unionByName(before, allowMissingColumns=True)
+    return (every.selectExpr(*shown, "__row", f"{_earlier(cost, f'{ref(run)}, __range', f'__row, {ref(seq)}')} AS used_before")
+            .where("__row = 1").drop("__row"))
 
 
 def _earlier(cost: str, by: str, order: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from sieveline.errors import PlanError
 from sieveline.operators import fixes
-from sieveline.operators.duplicates import Copies
+from sieveline.operators.duplicates import Copies, find_copies
 from sieveline.options import Options
 
 STEPS = (
@@ -78,9 +78,14 @@ class CleaningPlan:
             raise PlanError("the table does not fit the plan: " + "; ".join(wrong))
 
     def apply(self, df: DataFrame, copies: Copies | None = None) -> DataFrame:
-        """The cleaned table as one lazy plan. ``copies`` must stem from this same table."""
+        """The cleaned table. ``copies`` must stem from this same table.
+
+        Where copies are to go and none are given, the table is looked through for them first, by hashes of its rows. The plan
+        itself then shuffles no row but those that may have a copy, unless these are too many to be broadcast.
+        """
         self.check(df)
         if self.keep:
+            copies = copies or find_copies(df, self.fitted_options(), self.row_id)
             df = fixes.drop_duplicates(df, self.keep, copies, self.row_id)
         return self.apply_to_rows(df)
 

@@ -352,12 +352,20 @@ class Profile:
             "median double, q3 double")
 
     def findings(self) -> DataFrame:
-        """Every single finding. Values and spellings come as lazy tables, the rest is column-sized."""
+        """Every single finding. Values and spellings come as lazy tables, the rest is column-sized.
+
+        Outliers come with the values of up to five examples; these and duplicates with row ids, where the table has them.
+        """
         rows, spark = [], self.df.sparkSession
+        examples: dict[str, list] = {}
+        if self.outliers:
+            for r in outliers.outlier_examples(self.table, self.outliers, self.options, self.row_id, with_ids=True).orderBy("column", "nth").collect():
+                examples.setdefault(r["column"], []).append(r)
 
-        def add(check, column, kind, value=None, n=None, pct=None, lower=None, upper=None, **details):
+        def add(check, column, kind, value=None, n=None, pct=None, lower=None, upper=None, ids=None, **details):
             rows.append((check, column, kind, value, n, pct, lower, upper, self.results[check].severity,
-                         {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in details.items()}, None))
+                         {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in details.items()},
+                         [str(i) for i in ids] if ids else None))
 
         for check, result in self.results.items():
             details = result.details
@@ -370,7 +378,7 @@ class Profile:
                     add(check, None, "sparse_rows", None, details["rows_to_drop_count"])
             elif check == "duplicates" and result.issues_found:
                 add(check, None, "duplicate_rows", None, details["duplicate_count"], details["duplicate_pct"],
-                    keep=details["keep_strategy"])
+                    keep=details["keep_strategy"], ids=details.get("sample_duplicate_ids"))
             elif check == "type_inference":
                 for column, entry in details.get("type_issues", {}).items():
                     add(check, column, entry["issue_type"], entry["suggested_type"], entry["non_convertible_count"],
@@ -380,6 +388,8 @@ class Profile:
                 for column, entry in details.get("per_column", {}).items():
                     add(check, column, entry["method"], None, entry["n_outliers"], entry["outlier_pct"],
                         entry.get("lower_fence"), entry.get("upper_fence"),
+                        ids=[r.row_id for r in examples.get(column, []) if r.row_id is not None],
+                        outlier_examples=[r.value for r in examples.get(column, [])],
                         **{k: v for k, v in entry.items() if k in ("min_value", "max_value", "mean_value", "std_value",
                                                                    "q1", "q3", "iqr", "max_zscore")})
             elif check == "cardinality":

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.errors import PlanError
+from sieveline.errors import OptionsError, PlanError
+from sieveline.options import Options
 from sieveline.plans.plan import CleaningPlan
 from sieveline.plans.profile import Profile
 from sieveline.plans.run import CleaningRun
@@ -39,14 +42,21 @@ def _write_document(spark: SparkSession, document: str, path: str, mode: str) ->
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode(mode).text(path)
 
 
-def write_analysis(profile: Profile, path: str, source: str = "unknown", mode: str = "errorifexists") -> None:
-    """The check results as one JSON document: source, table size and the list of results with details."""
+def write_analysis(profile: Profile, path: str, source: str = "unknown", mode: str = "errorifexists", findings: str | None = None) -> None:
+    """The check results as one JSON document: source, table size and the list of results with details.
+
+    What has a row per value (spellings, suspicious values, examples) goes to the folder ``findings``, if one is given: every single
+    finding as JSON lines, a subfolder per check.
+    """
     document = {
         "source_file": source, "dataset": {"rows": profile.n_rows, "columns": len(profile.kinds)},
         "results": [{"analyzer": r.name, "display_name": r.display_name, "issues_found": r.issues_found,
                      "severity": r.severity, "affected_columns": r.affected_columns, "details": r.details,
                      "summary": r.summary, "recommendation": r.recommendation} for r in profile.results.values()],
     }
+    if findings:
+        document["findings"] = findings
+        profile.findings().write.partitionBy("check").mode(mode).json(findings)
     _write_document(profile.df.sparkSession, json.dumps(document, default=str), path, mode)
 
 
@@ -61,6 +71,25 @@ def read_plan(spark: SparkSession, path: str) -> CleaningPlan:
     return CleaningPlan.from_json(spark.read.text(path).first()[0])
 
 
+def write_options(options: Options, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
+    """The options as JSON on any file system of the cluster, apart from a plan."""
+    _write_document(spark, json.dumps(options.to_dict()), path, mode)
+
+
+def read_options(spark: SparkSession, path: str, overrides: dict[str, dict[str, Any]] | None = None) -> Options:
+    """Defaults, then the JSON document (of one line or many) at a path that Spark reads, then ``overrides``."""
+    try:
+        found = spark.read.text(path, wholetext=True).limit(2).collect()
+    except AnalysisException as error:
+        raise OptionsError(f"cannot read options at {path}: {error.getCondition() or error}") from error
+    if len(found) != 1:
+        raise OptionsError(f"{path} must hold one document of options")
+    try:
+        return Options().merge(json.loads(found[0][0]), overrides or {})
+    except json.JSONDecodeError as error:
+        raise OptionsError(f"the options at {path} are not valid JSON: {error}") from error
+
+
 def save_run(run: CleaningRun, folder: str, source: str = "unknown", form: str = "csv", mode: str = "errorifexists") -> dict[str, str]:
     """Write everything a run produced below one folder and return the path of each part."""
     spark, folder = run.cleaned.sparkSession, folder.rstrip("/")

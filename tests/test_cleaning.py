@@ -312,3 +312,17 @@ def test_mean_after_keep_none_does_not_depend_on_the_size_of_copies(spark):
         for limit in (0, 1_000_000):
             run = clean(df, options(duplicates={"keep": "none"}, missing_values={"numeric_imputation": "mean", "drop_row_threshold": 1.0}, scale={"broadcast_rows": limit}))
             assert run.cleaned.where("id = 50").first().x == 5.5
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_replay_shuffles_no_whole_row_without_a_copy(spark, few):
+    """Later data of unknown contents: rows are told apart by hashes first; the plan that is left has no shuffle."""
+    df = spark.range(500).selectExpr("id", "concat('text ', id) AS s", "id % 7 AS k")
+    df = df.unionByName(df.where("id % 50 = 0"))
+    plan = clean(df, options(scale={"broadcast_rows": 100 if few else 0})).plan
+    later = spark.range(1000).selectExpr("id", "concat('later ', id) AS s", "id % 7 AS k")
+    later = later.unionByName(later.where("id % 100 = 0"))
+    replayed = plan.apply(later)
+    assert plan.keep == "first" and replayed.count() == 1000
+    if few:
+        assert "hashpartitioning" not in replayed._jdf.queryExecution().executedPlan().toString()

@@ -103,3 +103,14 @@ def test_stored_cache(spark, tmp_path):
     assert replies.clear_replies(spark, folder) == 4 and stored() == {}
     replies.store_replies(entries(("aa1", "again", "2024-01-01 10:00:00")), folder)
     assert stored() == {"aa1": "again"}
+
+
+def test_running_total_follows_the_data(spark):
+    """Clustered positions, a run that holds most rows, a NULL run, and costs of 0; one shuffle after the stored ranges."""
+    draw = "if(id % 10 < 7, 'hot', if(id % 10 = 7, null, concat('r', id % 3))) AS run, if(id < 50, id * 1000000000, 50000000000 + id) AS seq, id % 13 AS cost, id AS other"
+    df = spark.sql(f"SELECT {draw} FROM range(2000)")
+    plain = rows(replies.running_total(df, "run", "seq", "cost", 10_000))
+    found = replies.running_total(df, "run", "seq", "cost", 100)
+    assert rows(found) == plain and len(plain) == 2000
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "__range" in text and text.count("rangepartitioning") == 0 and "Join" not in text

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from sieveline import Options, clean, profile
-from sieveline.errors import LoadError, PlanError, ValidationError
+from sieveline.errors import LoadError, OptionsError, PlanError, ValidationError
 from sieveline.sources.csv import read_csv
 from sieveline.sources.records import ends_inside, records
-from sieveline.sources.sinks import read_plan, save_run, write_analysis, write_cleaned, write_table
+from sieveline.sources.sinks import read_options, read_plan, save_run, write_analysis, write_cleaned, write_options, write_table
 
 
 def write(path, text, encoding="utf-8"):
@@ -167,3 +167,30 @@ def test_embedded_line_ends_in_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_analysis_with_every_finding(spark, shop, tmp_path):
+    found = profile(shop, row_id="id")
+    write_analysis(found, str(tmp_path / "analysis"), "shop", findings=str(tmp_path / "findings"))
+    document = json.loads(spark.read.text(str(tmp_path / "analysis")).first()[0])
+    saved = spark.read.json(document["findings"])
+    assert saved.count() == found.findings().count()
+    spellings = {r["value"] for r in saved.where("check = 'category_consistency' AND column = 'city'").collect()}
+    assert {"Oslo", "oslo ", "Bergen", "BERGEN"} <= spellings
+    outlier = saved.where("check = 'outliers' AND column = 'price'").selectExpr("from_json(details.outlier_examples, 'array<double>') AS examples", "sample_ids").first()
+    assert outlier.examples == [-999.0, 60000.0] and outlier.sample_ids == ["6", "10"]
+    duplicate = saved.where("check = 'duplicates'").first()
+    assert duplicate.sample_ids == ["7"] and duplicate.n == 1
+
+
+def test_options_on_the_cluster_s_file_system(spark, tmp_path):
+    options = Options.from_dict({"outliers": {"action": "cap"}, "suspicious_values": {"sentinel_values": [-7, 7]}})
+    write_options(options, spark, str(tmp_path / "options"))
+    assert read_options(spark, str(tmp_path / "options")) == options
+    (tmp_path / "lines.json").write_text('{\n  "outliers":\n  {"action": "drop"}\n}\n')
+    found = read_options(spark, str(tmp_path / "lines.json"), {"outliers": {"method": "zscore"}})
+    assert found.outliers.action == "drop" and found.outliers.method == "zscore"
+    (tmp_path / "bad.json").write_text("{")
+    for path in ("bad.json", "none.json"):
+        with pytest.raises(OptionsError):
+            read_options(spark, str(tmp_path / path))

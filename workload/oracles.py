@@ -70,7 +70,7 @@ SELECT n_rows, duplicate_count, duplicate_count / n_rows AS duplicate_pct, n_row
 FROM (SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum({_extra}) AS BIGINT) AS duplicate_count
       FROM (SELECT count(*) AS n FROM v GROUP BY {', '.join(LINEITEM)}))""")
 ORACLES["duplicate_samples"] = """
-SELECT doc_id AS row_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents)
+SELECT doc_id AS row_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text, lang, source, n_chars ORDER BY doc_id) AS nth FROM documents)
 WHERE nth > 1 ORDER BY doc_id LIMIT 10"""
 
 # --- types
@@ -94,25 +94,32 @@ ORACLES["outlier_iqr_fences"] = per_column(LINEITEM_NUMBERS, f"""
 SELECT '{{c}}' AS "column", {rounded('q1')} AS q1, {rounded('q3')} AS q3, {rounded('q1 - 1.5 * (q3 - q1)')} AS lower_fence,
        {rounded('q3 + 1.5 * (q3 - q1)')} AS upper_fence
 FROM (SELECT quantile_cont(CAST({{c}} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({{c}} AS DOUBLE), 0.75) AS q3 FROM lineitem)""")
-_EVENT_FENCES = ("SELECT q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS low, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS high "
-                 "FROM (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)")
-ORACLES["outlier_iqr_counts"] = f"""
-SELECT 'value' AS "column", count(value) AS n_values, count(*) FILTER (value < low OR value > high) AS n_outliers,
+EVENT_NUMBERS = ["event_id", "user_id", "value"]
+
+
+def event_fences(column: str) -> str:
+    return (f"(SELECT q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS low, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS high FROM (SELECT "
+            f"quantile_cont(CAST({column} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({column} AS DOUBLE), 0.75) AS q3 FROM events))")
+
+
+ORACLES["outlier_iqr_counts"] = "SELECT * FROM (" + per_column(EVENT_NUMBERS, f"""
+SELECT '{{c}}' AS "column", count({{c}}) AS n_values, count(*) FILTER ({{c}} < low OR {{c}} > high) AS n_outliers,
        {rounded('any_value(low)')} AS lower_fence, {rounded('any_value(high)')} AS upper_fence
-FROM events, ({_EVENT_FENCES})"""
-ORACLES["outlier_zscore"] = "SELECT * FROM (" + per_column(["value", "user_id"], f"""
+FROM events, {event_fences('{c}')}""") + ") WHERE n_outliers > 0"
+ORACLES["outlier_zscore"] = "SELECT * FROM (" + per_column(EVENT_NUMBERS, f"""
 SELECT '{{c}}' AS "column", count({{c}}) AS n_values, count(*) FILTER (abs({{c}} - m) / s > 3) AS n_outliers,
        {rounded('max(abs({c} - m) / s)')} AS max_zscore
 FROM events, (SELECT avg({{c}}) AS m, stddev_pop({{c}}) AS s FROM events)""") + ") WHERE n_outliers > 0"
-ORACLES["outlier_both"] = over("dirty_orders", f""", f AS (
-  SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high, m, s
-  FROM (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3, avg(price) AS m, stddev_pop(price) AS s FROM v))
-SELECT 'price' AS "column", count(price) AS n_values,
-       count(*) FILTER (price < low OR price > high OR abs(price - m) / s > 3) AS n_outliers,
-       {rounded('any_value(low)')} AS lower_fence, {rounded('any_value(high)')} AS upper_fence FROM v, f""")
-ORACLES["outlier_examples"] = f"""
-SELECT 'value' AS "column", CAST(row_number() OVER (ORDER BY event_id) AS INT) AS nth, value
-FROM events, ({_EVENT_FENCES}) WHERE value < low OR value > high ORDER BY event_id LIMIT 5"""
+ORACLES["outlier_both"] = over("dirty_orders", "SELECT * FROM (" + per_column(["id", "price", "qty"], f"""
+SELECT '{{c}}' AS "column", count({{c}}) AS n_values,
+       count(*) FILTER ({{c}} < low OR {{c}} > high OR abs({{c}} - m) / s > 3) AS n_outliers,
+       {rounded('any_value(low)')} AS lower_fence, {rounded('any_value(high)')} AS upper_fence FROM v, (
+  SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high, m, s FROM (
+    SELECT quantile_cont(CAST({{c}} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({{c}} AS DOUBLE), 0.75) AS q3, avg({{c}}) AS m, stddev_pop({{c}}) AS s FROM v))""")
+    + ") WHERE n_outliers > 0")
+ORACLES["outlier_examples"] = per_column(EVENT_NUMBERS, f"""
+SELECT * FROM (SELECT '{{c}}' AS "column", CAST(row_number() OVER (ORDER BY event_id) AS INT) AS nth, CAST({{c}} AS DOUBLE) AS value
+FROM events, {event_fences('{c}')} WHERE {{c}} < low OR {{c}} > high) WHERE nth <= 5""")
 
 # --- cardinality
 ORACLES["distinct_counts"] = per_column(LINEITEM, """
@@ -121,9 +128,8 @@ FROM (SELECT count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c})""")
 ORACLES["distinct_texts"] = per_column(["doc_id", "text", "lang", "source", "n_chars"], """
 SELECT '{c}' AS "column", count(*) AS n_distinct, max(n) AS top_count
 FROM (SELECT count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY {c})""")
-_KEYS = ["l_partkey", "l_linenumber", "l_returnflag"]
 ORACLES["value_counts"] = per_column(
-    _KEYS, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}")
+    LINEITEM, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}")
 ORACLES["constant_columns"] = over("dirty_customer", per_column(
     CUSTOMER, "SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS constant_value FROM v HAVING min({c}) = max({c})"))
 ORACLES["near_constant_columns"] = over("skewed_orders", """
@@ -136,7 +142,7 @@ FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM v WHERE {c} IS NO
 ORACLES["high_cardinality_columns"] = "SELECT \"column\", unique_count, unique_count / n AS unique_ratio FROM (" + per_column(
     ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count, count(*) AS n FROM orders") + ") WHERE unique_count / n >= 0.95"
-ORACLES["top_values"] = per_column(_KEYS, """
+ORACLES["top_values"] = per_column(LINEITEM, """
 SELECT * FROM (SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INT) AS nth,
        CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}) WHERE nth <= 3""")
 
@@ -146,11 +152,11 @@ SELECT '{c}' AS "column", count(DISTINCT {c}) AS raw_unique_count, count(DISTINC
        count(DISTINCT {c}) - count(DISTINCT lower(trim({c}))) AS inconsistency_count FROM v""")
 ORACLES["category_counts"] = over("dirty_customer", _CATEGORY)
 ORACLES["category_inconsistent_columns"] = over("dirty_customer", f"SELECT * FROM ({_CATEGORY}) WHERE inconsistency_count > 0")
-ORACLES["category_clusters"] = over("dirty_customer", """
-SELECT 'segment' AS "column", normalized, raw_value, variants, n FROM (
-  SELECT lower(trim(segment)) AS normalized, segment AS raw_value, count(*) AS n,
-         count(*) OVER (PARTITION BY lower(trim(segment))) AS variants
-  FROM v WHERE segment IS NOT NULL GROUP BY segment) WHERE variants > 1""")
+ORACLES["category_clusters"] = over("dirty_customer", per_column(["segment", "nation_code", "notes", "version"], """
+SELECT '{c}' AS "column", normalized, raw_value, variants, n FROM (
+  SELECT lower(trim({c})) AS normalized, {c} AS raw_value, count(*) AS n,
+         count(*) OVER (PARTITION BY lower(trim({c}))) AS variants
+  FROM v WHERE {c} IS NOT NULL GROUP BY {c}) WHERE variants > 1"""))
 
 # --- suspicious values
 ORACLES["negative_domain_values"] = over("dirty_customer", """
@@ -172,42 +178,57 @@ FROM v, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m, stddev_samp({c}) A
 ORACLES["suspicious_totals"] = over("dirty_customer", f"""
 SELECT CAST(sum(n) AS BIGINT) AS total_suspicious_cells, count(*) FILTER (n > 0) AS affected_columns FROM ({_SUSPICIOUS})""")
 ORACLES["suspicious_samples"] = over("dirty_customer", """
-SELECT 'age' AS "column", age AS value, max(total) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS sample_ids
-FROM (SELECT id, age, row_number() OVER (PARTITION BY age ORDER BY id) AS nth, count(*) OVER (PARTITION BY age) AS total FROM v WHERE age < 0)
-WHERE nth <= 10 GROUP BY age""")
+SELECT "column", finding_type, value, max(total) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (nth <= 10) AS sample_ids
+FROM (SELECT *, row_number() OVER (PARTITION BY "column", finding_type, value ORDER BY id) AS nth, count(*) OVER (PARTITION BY "column", finding_type, value) AS total FROM (
+""" + per_column(["id", "balance", "is_active", "age"], """
+SELECT id, '{c}' AS "column", CAST({c} AS DOUBLE) AS value, unnest(list_filter([CASE WHEN '{c}' = 'age' AND {c} < 0 THEN 'negative_in_positive_domain' END,
+       CASE WHEN {c} IN """ + _SENTINELS + """ AND abs({c} - m) / s >= 2.5 THEN 'common_placeholder_sentinel' END,
+       CASE WHEN m <> 0 AND abs({c}) / abs(m) > 1000 AND {c} NOT IN """ + _SENTINELS + """ THEN 'extreme_magnitude' END], lambda t: t IS NOT NULL)) AS finding_type
+FROM v, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m, stddev_samp({c}) AS s FROM v)""") + ")) GROUP BY \"column\", finding_type, value")
 
 # --- single cleaners
 ORACLES["drop_duplicates"] = over("dirty_lineitem", "SELECT DISTINCT * FROM v")
 ORACLES["drop_all_duplicates"] = over("dirty_lineitem", f"SELECT {', '.join(LINEITEM)} FROM v GROUP BY {', '.join(LINEITEM)} HAVING count(*) = 1")
-ORACLES["drop_duplicates_by_row_id"] = "SELECT max(doc_id) AS doc_id, text FROM documents GROUP BY text"
+ORACLES["drop_duplicates_by_row_id"] = "SELECT max(doc_id) AS doc_id, text, lang, source, n_chars FROM documents GROUP BY text, lang, source, n_chars"
 ORACLES["drop_constant_columns"] = over("dirty_customer", "SELECT * EXCLUDE (version) FROM v")
-ORACLES["cast_numeric_strings"] = over("dirty_customer", f"SELECT id, {to_number('nation_code')} AS nation_code FROM v")
-ORACLES["cast_date_strings"] = over("dirty_orders", f"SELECT id, {to_date('order_date')} AS order_date FROM v")
+ORACLES["cast_numeric_strings"] = over("dirty_customer", f"SELECT * REPLACE ({to_number('nation_code')} AS nation_code) FROM v")
+ORACLES["cast_date_strings"] = over("dirty_orders", f"SELECT * REPLACE ({to_date('order_date')} AS order_date) FROM v")
 ORACLES["cast_boolean_flags"] = "SELECT doc_id, quality = 1 AS quality, toxic = 1 AS toxic FROM labels"
 ORACLES["normalize_categories"] = over("dirty_customer", """
 SELECT id, balance, lower(trim(segment)) AS segment, lower(trim(nation_code)) AS nation_code, lower(trim(notes)) AS notes,
        lower(trim(version)) AS version, is_active, age FROM v""")
 ORACLES["drop_sparse_columns"] = over("dirty_customer", "SELECT * EXCLUDE (notes) FROM v")
 ORACLES["drop_sparse_rows"] = over("dirty_orders", f"SELECT * FROM v WHERE 6 - ({_ORDER_GAPS}) >= 4")
-ORACLES["impute_median"] = over("dirty_orders", """
-SELECT id, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM v)) AS price,
-       coalesce(CAST(qty AS DOUBLE), (SELECT quantile_cont(CAST(qty AS DOUBLE), 0.5) FROM v)) AS qty FROM v""")
-ORACLES["impute_mean"] = over("dirty_orders", "SELECT id, round(coalesce(CAST(qty AS DOUBLE), (SELECT avg(qty) FROM v)), 6) AS qty FROM v")
-ORACLES["impute_mode"] = over("dirty_orders", f"""
-SELECT id, coalesce(status, {mode_of('status', 'v')}) AS status, coalesce(priority, {mode_of('priority', 'v')}) AS priority,
-       coalesce(qty, {mode_of('qty', 'v')}) AS qty FROM v""")
-ORACLES["impute_constant"] = over("dirty_orders", "SELECT id, coalesce(status, 'UNKNOWN') AS status, coalesce(priority, 'UNKNOWN') AS priority FROM v")
-ORACLES["impute_zero"] = over("dirty_orders", "SELECT id, coalesce(price, 0) AS price, coalesce(qty, 0) AS qty FROM v")
-_FIVE = ["id", "price", "status", "priority", "qty"]
-_FIVE_GAPS = " + ".join(f"CAST({c} IS NULL AS INT)" for c in _FIVE)
-ORACLES["handle_missing"] = over("dirty_orders", f""", kept AS (SELECT {', '.join(_FIVE)} FROM v WHERE 5 - ({_FIVE_GAPS}) >= 3)
-SELECT id, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM kept)) AS price, coalesce(status, {mode_of('status', 'kept')}) AS status,
-       coalesce(priority, {mode_of('priority', 'kept')}) AS priority,
-       coalesce(CAST(qty AS DOUBLE), (SELECT quantile_cont(CAST(qty AS DOUBLE), 0.5) FROM kept)) AS qty FROM kept""")
-ORACLES["outlier_flag"] = f"SELECT event_id, value, coalesce(value < low OR value > high, false) AS value_is_outlier FROM events, ({_EVENT_FENCES})"
-ORACLES["outlier_cap"] = f"""
-SELECT event_id, CASE WHEN value < low THEN low WHEN value > high THEN high ELSE value END AS value FROM events, ({_EVENT_FENCES})"""
-ORACLES["outlier_drop"] = f"SELECT event_id, value FROM events, ({_EVENT_FENCES}) WHERE NOT coalesce(value < low OR value > high, false)"
+
+
+def _filled(numbers: str, texts: str = "mode", source: str = "v", digits: tuple[int, int] | None = None) -> str:
+    """price and qty filled by a statistic, status and priority by their mode or a constant."""
+    def number(column: str, place: int) -> str:
+        fill = {"median": f"(SELECT quantile_cont(CAST({column} AS DOUBLE), 0.5) FROM {source})", "mean": f"(SELECT avg({column}) FROM {source})",
+                "mode": mode_of(column, source), "zero": "0"}[numbers]
+        whole = column if numbers in ("mode", "zero") else f"CAST({column} AS DOUBLE)"
+        filled = f"coalesce({whole}, {fill})"
+        return f"{f'round({filled}, {digits[place]})' if digits else filled} AS {column}"
+
+    def content(column: str) -> str:
+        return f"coalesce({column}, {mode_of(column, source) if texts == 'mode' else chr(39) + texts + chr(39)}) AS {column}"
+
+    return f"SELECT id, order_date, {number('price', 0)}, {content('status')}, {content('priority')}, {number('qty', 1)} FROM {source}"
+
+
+ORACLES["impute_median"] = over("dirty_orders", _filled("median"))
+ORACLES["impute_mean"] = over("dirty_orders", _filled("mean", digits=(4, 6)))
+ORACLES["impute_mode"] = over("dirty_orders", _filled("mode"))
+ORACLES["impute_constant"] = over("dirty_orders", _filled("median", "UNKNOWN"))
+ORACLES["impute_zero"] = over("dirty_orders", _filled("zero"))
+ORACLES["handle_missing"] = over("dirty_orders", f", kept AS (SELECT * FROM v WHERE 6 - ({_ORDER_GAPS}) >= 4) " + _filled("median", source="kept"))
+_OUT = "coalesce({c} < {c}_low OR {c} > {c}_high, false)"
+_ALL_FENCES = ", ".join(f"(SELECT low AS {c}_low, high AS {c}_high FROM {event_fences(c)})" for c in EVENT_NUMBERS)
+_OUTLYING = ["value"]  # the columns that have outliers; the check of the counts shows which
+ORACLES["outlier_flag"] = f"SELECT events.*, {', '.join(_OUT.replace('{c}', c) + f' AS {c}_is_outlier' for c in _OUTLYING)} FROM events, {_ALL_FENCES}"
+ORACLES["outlier_cap"] = "SELECT * EXCLUDE (value_low, value_high) REPLACE (" + ", ".join(
+    f"CASE WHEN {c} < {c}_low THEN {c}_low WHEN {c} > {c}_high THEN {c}_high ELSE {c} END AS {c}" for c in _OUTLYING) + f") FROM (SELECT events.*, low AS value_low, high AS value_high FROM events, {event_fences('value')})"
+ORACLES["outlier_drop"] = f"SELECT events.* FROM events, {_ALL_FENCES} WHERE NOT (" + " OR ".join(_OUT.replace("{c}", c) for c in EVENT_NUMBERS) + ")"
 
 # --- whole runs on the dirty customers
 _KINDS = {"id": ("bigint", "integral"), "balance": ("double", "floating"), "segment": ("string", "string"),
@@ -249,15 +270,43 @@ _FACTS = f""", facts AS (
          count(*) FILTER (age < (SELECT low FROM {_fences('age')}) OR age > (SELECT high FROM {_fences('age')})) AS age_out,
          count(*) FILTER (balance < (SELECT low FROM {_fences('balance')}) OR balance > (SELECT high FROM {_fences('balance')})) AS balance_out
   FROM v)"""
-ORACLES["check_summary"] = over("dirty_customer", _FACTS + """
-SELECT 'missing_values' AS "check", true AS issues_found, 'critical' AS severity, 'balance,segment,notes' AS affected_columns FROM facts WHERE gaps > 0
-UNION ALL SELECT 'duplicates', dups > 0, CASE WHEN dups = 0 THEN 'ok' WHEN dups / n > 0.1 THEN 'critical' ELSE 'warning' END, '' FROM facts
-UNION ALL SELECT 'type_inference', true, 'warning', 'nation_code,is_active'
-UNION ALL SELECT 'outliers', age_out + balance_out > 0, CASE WHEN age_out + balance_out = 0 THEN 'ok' ELSE 'warning' END,
-                 concat_ws(',', CASE WHEN balance_out > 0 THEN 'balance' END, CASE WHEN age_out > 0 THEN 'age' END) FROM facts
-UNION ALL SELECT 'cardinality', true, 'critical', 'version,id'
-UNION ALL SELECT 'category_consistency', true, 'warning', 'segment'
-UNION ALL SELECT 'suspicious_values', count(*) FILTER (n > 0) > 0, 'warning', string_agg("column", ',' ORDER BY "column" DESC) FILTER (n > 0) FROM (""" + _SUSPICIOUS + ")")
+def _column_facts(place: int, name: str, kind: str) -> str:
+    """What the checks look at in one column of ``v``, as one row."""
+    text, flag = kind == "text", kind == "integer"
+    outliers = "CAST(0 AS BIGINT)" if text else f"(SELECT count(*) FROM v, {_fences(f'CAST({name} AS DOUBLE)')} WHERE {name} < low OR {name} > high)"
+    odd = "CAST(0 AS BIGINT)" if text else f"""(SELECT count(*) FILTER ('{name}' = 'age' AND {name} < 0) + count(*) FILTER ({name} IN {_SENTINELS} AND abs({name} - m) / s >= 2.5)
+            + count(*) FILTER (m <> 0 AND abs({name}) / abs(m) > 1000 AND {name} NOT IN {_SENTINELS})
+            FROM v, (SELECT quantile_cont(CAST({name} AS DOUBLE), 0.5) AS m, stddev_samp({name}) AS s FROM v))"""
+    return f"""SELECT {place} AS place, '{name}' AS name, '{kind}' AS kind, count(*) AS n, count({name}) AS present, count(DISTINCT {name}) AS n_distinct,
+       (SELECT max(k) FROM (SELECT count(*) AS k FROM v WHERE {name} IS NOT NULL GROUP BY {name})) AS top,
+       {f"greatest(count({to_number(name)}), count({to_date(name)})) / count({name}) >= 0.95" if text else f"min({name}) = 0 AND max({name}) = 1 AND count(DISTINCT {name}) = 2 AND count({name}) > 50" if flag else "false"} AS mistyped,
+       {f"count(DISTINCT {name}) - count(DISTINCT lower(trim({name})))" if text else "0"} AS spellings, {outliers} AS outliers, {odd} AS odd FROM v"""
+
+
+def _summary(columns: dict[str, str]) -> str:
+    """``s``: check_no, check, issues_found, severity and affected (a list) of each check on ``v``."""
+    gaps = " + ".join(f"CAST({c} IS NULL AS INT)" for c in columns)
+    named = "coalesce(list(name ORDER BY {0}place) FILTER ({1}), [])"
+    hits = {"type_inference": "mistyped", "category_consistency": "spellings > 0", "suspicious_values": "odd > 0"}
+    wide = "CASE WHEN n_distinct = 1 THEN 0 WHEN top / n >= 0.99 THEN 1 WHEN n_distinct / n >= 0.95 THEN 2 END"
+    return ", col AS (" + " UNION ALL ".join(_column_facts(i, c, k) for i, (c, k) in enumerate(columns.items())) + f"""),
+whole AS (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM v)) AS dups, count(*) FILTER (({gaps}) / {len(columns)} >= 0.5) AS sparse FROM v),
+s AS (SELECT check_no, "check", severity <> 'ok' AS issues_found, severity, affected FROM (
+SELECT 0 AS check_no, 'missing_values' AS "check", CASE WHEN sum(n - present) = 0 THEN 'ok' WHEN bool_or((n - present) / n >= 0.8) OR (SELECT sparse / n > 0.1 FROM whole) THEN 'critical'
+       WHEN sum(n - present) / sum(n) > 0.05 THEN 'warning' ELSE 'info' END AS severity, {named.format('', 'present < n')} AS affected FROM col
+UNION ALL SELECT 1, 'duplicates', CASE WHEN dups = 0 THEN 'ok' WHEN dups / n > 0.1 THEN 'critical' ELSE 'warning' END, [] FROM whole
+UNION ALL SELECT 3, 'outliers', CASE WHEN count(*) FILTER (outliers > 0) = 0 THEN 'ok' WHEN count(*) FILTER (outliers > 0) / count(*) > 0.5 THEN 'critical' ELSE 'warning' END,
+       {named.format('', 'outliers > 0')} FROM col WHERE kind <> 'text'
+UNION ALL SELECT 4, 'cardinality', CASE WHEN bool_or(n_distinct = 1) THEN 'critical' WHEN count({wide}) > 0 THEN 'warning' ELSE 'ok' END,
+       {named.format(f'{wide}, ', f'{wide} IS NOT NULL')} FROM col
+""" + "".join(f"UNION ALL SELECT {i}, '{check}', CASE WHEN bool_or({hit}) THEN 'warning' ELSE 'ok' END, {named.format('', hit)} FROM col\n"
+              for i, (check, hit) in zip((2, 5, 6), hits.items())) + "))"
+
+
+_CUSTOMER_KINDS = {"id": "integer", "balance": "float", "segment": "text", "nation_code": "text", "notes": "text", "version": "text", "is_active": "integer", "age": "float"}
+_SKEWED_KINDS = {"id": "integer", "channel": "text", "rate": "float", "status": "text"}
+ORACLES["check_summary"] = over("dirty_customer", _summary(_CUSTOMER_KINDS) + """
+SELECT "check", issues_found, severity, array_to_string(affected, ',') AS affected_columns FROM s""")
 
 _DEDUP = ", d AS (SELECT DISTINCT * FROM v)"
 _CAST = f""", c AS (SELECT id, balance, lower(trim(segment)) AS segment, {to_number('nation_code')} AS nation_code, is_active = 1 AS is_active, age FROM d)"""
@@ -283,17 +332,20 @@ SELECT 1 AS step_no, 'drop_duplicates' AS step, n AS rows_before, n - dups AS ro
 UNION ALL SELECT 2, 'constant_columns', n, n, 8, 7 FROM r UNION ALL SELECT 3, 'type_caster', n, n, 8, 8 FROM r
 UNION ALL SELECT 4, 'category_normalizer', n, n, 8, 8 FROM r UNION ALL SELECT 5, 'missing_values', n, dense, 8, 7 FROM r
 UNION ALL SELECT 6, 'outlier_handler', n, n, 8, 9 FROM r)""")
-ORACLES["run_stats"] = over("dirty_customer", _RUN + """
-SELECT n AS rows_original, n2 AS rows_final, n - n2 AS rows_removed, CAST(8 AS INT) AS cols_original, CAST(7 AS INT) AS cols_final,
-       CAST(1 AS INT) AS cols_removed, CAST(7 AS INT) AS issues_found, CAST(6 AS INT) AS cleaners_applied, CAST(0 AS INT) AS cleaners_skipped FROM r""")
-ORACLES["run_summary"] = over("dirty_customer", _RUN + """
-SELECT 'dirty_customer' AS source, false AS dry_run, n AS original_rows, CAST(8 AS INT) AS original_cols, n2 AS final_rows,
-       CAST(7 AS INT) AS final_cols, n - n2 AS rows_removed, CAST(1 AS INT) AS cols_removed, CAST(7 AS INT) AS issues_found,
-       CAST(6 AS INT) AS cleaners_applied, CAST(0 AS INT) AS cleaners_skipped, true AS has_critical_issues,
-       CAST(6 AS INT) AS n_cleaning, CAST(7 AS INT) AS n_analysis FROM r""")
-ORACLES["quality_gate"] = over("dirty_customer", _FACTS + """
-SELECT true AS has_critical_issues, CAST(7 AS INT) AS issues_found, CAST(2 AS INT) AS n_critical, CAST(5 AS INT) AS n_warning,
-       CAST(0 AS INT) AS n_info, CAST(0 AS INT) AS n_ok FROM facts WHERE dups > 0 AND dups / n <= 0.1 AND gaps > 0 AND age_out > 0""")
+#: Columns: constant ones and those with 80 % missing cells go, each with outliers gets a flag. Issues as the checks find them.
+_RUN_FACTS = _RUN + _summary(_CUSTOMER_KINDS) + """, g AS (SELECT CAST(count(*) AS INT) AS c0, CAST(count(*) - count(*) FILTER (n_distinct = 1 OR (n - present) / n >= 0.8) + count(*) FILTER (outliers > 0) AS INT) AS c1 FROM col),
+  i AS (SELECT CAST(count(*) FILTER (issues_found) AS INT) AS issues, bool_or(severity = 'critical') AS bad FROM s)"""
+ORACLES["run_stats"] = over("dirty_customer", _RUN_FACTS + """
+SELECT n AS rows_original, n2 AS rows_final, n - n2 AS rows_removed, c0 AS cols_original, c1 AS cols_final,
+       c0 - c1 AS cols_removed, issues AS issues_found, CAST(6 AS INT) AS cleaners_applied, CAST(0 AS INT) AS cleaners_skipped FROM r, g, i""")
+ORACLES["run_summary"] = over("dirty_customer", _RUN_FACTS + """
+SELECT 'dirty_customer' AS source, false AS dry_run, n AS original_rows, c0 AS original_cols, n2 AS final_rows,
+       c1 AS final_cols, n - n2 AS rows_removed, c0 - c1 AS cols_removed, issues AS issues_found,
+       CAST(6 AS INT) AS cleaners_applied, CAST(0 AS INT) AS cleaners_skipped, bad AS has_critical_issues,
+       CAST(6 AS INT) AS n_cleaning, CAST((SELECT count(*) FROM s) AS INT) AS n_analysis FROM r, g, i""")
+ORACLES["quality_gate"] = over("dirty_customer", _summary(_CUSTOMER_KINDS) + """
+SELECT bool_or(severity = 'critical') AS has_critical_issues, CAST(count(*) FILTER (issues_found) AS INT) AS issues_found, """ + ", ".join(
+    f"CAST(count(*) FILTER (severity = '{k}') AS INT) AS n_{k}" for k in ("critical", "warning", "info", "ok")) + " FROM s")
 ORACLES["clean_operations"] = over("dirty_customer", _DEDUP + _CAST + _KEPT + _FACTS + f""", o AS (
 SELECT 1 AS step_no, 'drop_rows' AS type, NULL AS "column", 'first' AS strategy, NULL AS fill_value, dups AS n_cells, NULL AS lower, NULL AS upper FROM facts
 UNION ALL SELECT 2, 'drop_column', 'version', NULL, NULL, NULL, NULL, NULL
@@ -330,13 +382,22 @@ UNION ALL SELECT 'suspicious_values', 'age', t, '-999.0', count(*), 'warning' FR
 UNION ALL SELECT 'suspicious_values', 'id', 'common_placeholder_sentinel', CAST(CAST(id AS DOUBLE) AS VARCHAR), count(*), 'warning'
   FROM v, (SELECT quantile_cont(id, 0.5) AS m, stddev_samp(id) AS s FROM v) WHERE id IN {_SENTINELS} AND abs(id - m) / s >= 2.5 GROUP BY id
 UNION ALL SELECT 'suspicious_values', 'balance', 'extreme_magnitude', 'never', 0, 'warning' WHERE false)""")
-ORACLES["issue_ranking"] = f"""
-SELECT dataset, CAST(rank AS INT) AS rank, "check", severity, affected_columns FROM (VALUES
-  ('dirty_customer', 1, 'missing_values', 'critical', 'balance,segment,notes'), ('dirty_customer', 2, 'cardinality', 'critical', 'version,id'),
-  ('dirty_customer', 3, 'duplicates', 'warning', ''),
-  ('skewed_orders', 1, 'outliers', 'warning', 'rate'), ('skewed_orders', 2, 'cardinality', 'warning', 'channel,rate,id'),
-  ('skewed_orders', 3, 'missing_values', 'ok', ''))
-  AS known(dataset, rank, "check", severity, affected_columns)"""
+ORACLES["finding_samples"] = over("dirty_customer", """
+, d AS (SELECT id, row_number() OVER (PARTITION BY balance, segment, nation_code, notes, version, is_active, age ORDER BY id) AS nth FROM v)
+SELECT 'duplicates' AS "check", CAST(NULL AS VARCHAR) AS "column", (SELECT count(*) FROM d WHERE nth > 1) AS n,
+       string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS sample_ids, CAST(NULL AS VARCHAR) AS examples
+FROM (SELECT id FROM d WHERE nth > 1 ORDER BY id LIMIT 10) HAVING count(*) > 0 UNION ALL """ + per_column(["balance", "age"], """
+SELECT * FROM (SELECT 'outliers', '{c}', max(n) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY nth), string_agg(CAST({c} AS VARCHAR), ',' ORDER BY nth) FROM (
+  SELECT id, {c}, row_number() OVER (ORDER BY id) AS nth, count(*) OVER () AS n FROM v, """ + _fences("{c}") + """ WHERE {c} < low OR {c} > high) WHERE nth <= 5)
+WHERE n > 0"""))
+
+
+def _ranked(view: str, kinds: dict[str, str]) -> str:
+    return f"""SELECT * FROM (SELECT '{view}' AS dataset, CAST(row_number() OVER (ORDER BY list_position(['critical', 'warning', 'info', 'ok'], severity), check_no) AS INT) AS rank,
+  "check", severity, array_to_string(affected[1:5], ',') AS affected_columns FROM ({over(view, _summary(kinds) + ' SELECT * FROM s')})) WHERE rank <= 3"""
+
+
+ORACLES["issue_ranking"] = _ranked("dirty_customer", _CUSTOMER_KINDS) + " UNION ALL " + _ranked("skewed_orders", _SKEWED_KINDS)
 
 
 # --- whole runs on the dirty orders
@@ -367,6 +428,8 @@ SELECT event_id, ts, user_id, event_type, coalesce(value, (SELECT quantile_cont(
        coalesce(value, (SELECT quantile_cont(value, 0.5) FROM n)) < {rounded('low')}
        OR coalesce(value, (SELECT quantile_cont(value, 0.5) FROM n)) > {rounded('high')} AS value_is_outlier FROM n, {_fences('value')}""")
 
+ORACLES["stream_replay_files"] = ORACLES["stream_replay"]
+
 # --- prompts and replies
 _TOKENS = "CAST(ceil(length(text) / 3.5) AS BIGINT)"
 ORACLES["estimate_tokens"] = f"SELECT doc_id, {_TOKENS} AS estimated_tokens FROM documents"
@@ -387,6 +450,10 @@ _CACHE = f"""WITH p AS ({duckdb_sql('prompts')}), c AS ({duckdb_sql('reply_cache
 ORACLES["reply_cache_hits"] = _CACHE + "SELECT conv_id, turn, prompt_key, response, cached_at FROM p JOIN live ON sha256(p.text) = prompt_key"
 ORACLES["reply_cache_misses"] = _CACHE + """
 SELECT conv_id, turn, sha256(text) AS prompt_key FROM p WHERE sha256(text) NOT IN (SELECT prompt_key FROM live)"""
+ORACLES["reply_cache_refresh"] = _CACHE + f"""
+SELECT conv_id, turn, sha256(p.text) AS prompt_key, coalesce(response, 'new reply 64 ' || substr(sha256(p.text), 1, 8)) AS response,
+       epoch_us(coalesce(cached_at, TIMESTAMP '{CACHE_NOW}' - INTERVAL 1 HOUR)) AS cached_at_us
+FROM p LEFT JOIN live ON sha256(p.text) = prompt_key"""
 _TRY = "CASE WHEN json_valid({0}) AND json_type({0}) = 'OBJECT' THEN {0} END"
 _CANDIDATES = ", ".join(_TRY.format(c) for c in (
     "trim(reply)", r"regexp_extract(reply, '(?s)```(?:json)?\s*(\{.*?\})\s*```', 1)", r"regexp_extract(reply, '(?s)(\{.*\})', 1)"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline import CleaningPlan, Options, clean, profile
+from sieveline.functions.columns import string_columns
 from sieveline.functions.scalars import estimate_tokens as token_estimate
 from sieveline.operators import (
     cardinality, categories, duplicates, fixes, missing, outliers, replies, suspicious, types,
@@ -16,7 +17,7 @@ from sieveline.plans.run import rank_issues
 from sieveline.sources.csv import read_csv
 from sieveline.sources.shared import shared_folder
 from sieveline.sources.sinks import read_plan, write_plan, write_table
-from sieveline.streaming.replay import read_clean_stream, write_clean_stream
+from sieveline.streaming.replay import clean_stream, read_clean_stream, write_clean_stream
 from workload.views import table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +75,7 @@ def duplicate_count_none(spark, sf_dir):
 
 @query
 def duplicate_samples(spark, sf_dir):
-    return duplicates.duplicate_samples(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return duplicates.duplicate_samples(table(spark, sf_dir, "documents"), "doc_id")
 
 
 # --- types --------------------------------------------------------------------------------------
@@ -119,28 +120,28 @@ def outlier_iqr_fences(spark, sf_dir):
 
 @query
 def outlier_iqr_counts(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("value")
+    df = table(spark, sf_dir, "events")
     return outliers.outlier_table(df, outliers.outliers(df)).select("column", "n_values", "n_outliers", "lower_fence", "upper_fence")
 
 
 @query
 def outlier_zscore(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("value", "user_id")
+    df = table(spark, sf_dir, "events")
     return outliers.outlier_table(df, outliers.outliers(df, _options(outliers={"method": "zscore"}))) \
         .select("column", "n_values", "n_outliers", "max_zscore")
 
 
 @query
 def outlier_both(spark, sf_dir):
-    df = view(spark, sf_dir, "dirty_orders").select("price")
+    df = view(spark, sf_dir, "dirty_orders")
     return outliers.outlier_table(df, outliers.outliers(df, _options(outliers={"method": "both"}))) \
         .select("column", "n_values", "n_outliers", "lower_fence", "upper_fence")
 
 
 @query
 def outlier_examples(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("event_id", "value")
-    return outliers.outlier_examples(df, outliers.outliers(df, columns=["value"]), row_id="event_id")
+    df = table(spark, sf_dir, "events")
+    return outliers.outlier_examples(df, outliers.outliers(df), row_id="event_id")
 
 
 # --- cardinality --------------------------------------------------------------------------------
@@ -161,7 +162,7 @@ def distinct_texts(spark, sf_dir):
 
 @query
 def value_counts(spark, sf_dir):
-    return cardinality.value_counts(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_linenumber", "l_returnflag"])
+    return cardinality.value_counts(table(spark, sf_dir, "lineitem"))
 
 
 @query
@@ -184,7 +185,7 @@ def high_cardinality_columns(spark, sf_dir):
 
 @query
 def top_values(spark, sf_dir):
-    return cardinality.top_values(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_linenumber", "l_returnflag"])
+    return cardinality.top_values(table(spark, sf_dir, "lineitem"))
 
 
 # --- categories ---------------------------------------------------------------------------------
@@ -203,7 +204,8 @@ def category_inconsistent_columns(spark, sf_dir):
 
 @query
 def category_clusters(spark, sf_dir):
-    return categories.category_clusters(view(spark, sf_dir, "dirty_customer"), ["segment"])
+    df = view(spark, sf_dir, "dirty_customer")
+    return categories.category_clusters(df, string_columns(df))
 
 
 # --- suspicious values --------------------------------------------------------------------------
@@ -235,9 +237,9 @@ def suspicious_totals(spark, sf_dir):
 
 @query
 def suspicious_samples(spark, sf_dir):
-    df = view(spark, sf_dir, "dirty_customer").withColumnRenamed("id", "row_id").select("row_id", "age")
-    found = suspicious.suspicious_values(df, columns=["age"], types=(suspicious.NEGATIVE,), row_id="row_id")
-    return found.selectExpr("column", "value", "n", "array_join(sample_ids, ',') AS sample_ids")
+    df = view(spark, sf_dir, "dirty_customer")
+    found = suspicious.suspicious_values(df, row_id="id")
+    return found.selectExpr("column", "finding_type", "value", "n", "array_join(sample_ids, ',') AS sample_ids")
 
 
 # --- single cleaners ----------------------------------------------------------------------------
@@ -254,7 +256,7 @@ def drop_all_duplicates(spark, sf_dir):
 
 @query
 def drop_duplicates_by_row_id(spark, sf_dir):
-    return fixes.drop_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "last", row_id="doc_id")
+    return fixes.drop_duplicates(table(spark, sf_dir, "documents"), "last", row_id="doc_id")
 
 
 @query
@@ -265,12 +267,12 @@ def drop_constant_columns(spark, sf_dir):
 @query
 def cast_numeric_strings(spark, sf_dir):
     return standalone.cast_mistyped_columns(
-        view(spark, sf_dir, "dirty_customer").select("id", "nation_code"), issues=(types.NUMERIC_STRING, types.MIXED_NUMERIC_STRING))
+        view(spark, sf_dir, "dirty_customer"), issues=(types.NUMERIC_STRING, types.MIXED_NUMERIC_STRING))
 
 
 @query
 def cast_date_strings(spark, sf_dir):
-    return standalone.cast_mistyped_columns(view(spark, sf_dir, "dirty_orders").select("id", "order_date"), issues=(types.DATE_STRING,))
+    return standalone.cast_mistyped_columns(view(spark, sf_dir, "dirty_orders"), issues=(types.DATE_STRING,))
 
 
 @query
@@ -293,43 +295,43 @@ def drop_sparse_rows(spark, sf_dir):
     return standalone.drop_sparse_rows(view(spark, sf_dir, "dirty_orders"))
 
 
-def _imputed(spark, sf_dir, columns: list[str], **rules) -> DataFrame:
-    return standalone.impute(view(spark, sf_dir, "dirty_orders").select("id", *columns), _options(missing_values=rules))
+def _imputed(spark, sf_dir, **rules) -> DataFrame:
+    return standalone.impute(view(spark, sf_dir, "dirty_orders"), _options(missing_values=rules))
 
 
 @query
 def impute_median(spark, sf_dir):
-    return _imputed(spark, sf_dir, ["price", "qty"])
+    return _imputed(spark, sf_dir)
 
 
 @query
 def impute_mean(spark, sf_dir):
-    return _imputed(spark, sf_dir, ["qty"], numeric_imputation="mean").selectExpr("id", "round(qty, 6) AS qty")
+    return _imputed(spark, sf_dir, numeric_imputation="mean").selectExpr(
+        "id", "order_date", "round(price, 4) AS price", "status", "priority", "round(qty, 6) AS qty")
 
 
 @query
 def impute_mode(spark, sf_dir):
-    return _imputed(spark, sf_dir, ["status", "priority", "qty"], numeric_imputation="mode")
+    return _imputed(spark, sf_dir, numeric_imputation="mode")
 
 
 @query
 def impute_constant(spark, sf_dir):
-    return _imputed(spark, sf_dir, ["status", "priority"], categorical_imputation="constant")
+    return _imputed(spark, sf_dir, categorical_imputation="constant")
 
 
 @query
 def impute_zero(spark, sf_dir):
-    return _imputed(spark, sf_dir, ["price", "qty"], numeric_imputation="zero")
+    return _imputed(spark, sf_dir, numeric_imputation="zero")
 
 
 @query
 def handle_missing(spark, sf_dir):
-    return standalone.handle_missing(view(spark, sf_dir, "dirty_orders").drop("order_date"))
+    return standalone.handle_missing(view(spark, sf_dir, "dirty_orders"))
 
 
 def _outliers_handled(spark, sf_dir, action: str) -> DataFrame:
-    return standalone.handle_outliers(table(spark, sf_dir, "events").select("event_id", "value"),
-                                      _options(outliers={"action": action}), ["value"])
+    return standalone.handle_outliers(table(spark, sf_dir, "events"), _options(outliers={"action": action}))
 
 
 @query
@@ -375,6 +377,14 @@ def findings(spark, sf_dir):
         "check", "column", "finding_type", "value", "n", "severity")
 
 
+@query
+def finding_samples(spark, sf_dir):
+    """The findings that carry examples and the ids of rows."""
+    found = profile(view(spark, sf_dir, "dirty_customer"), row_id="id").findings().where("check IN ('duplicates', 'outliers')")
+    return found.selectExpr("check", "column", "n", "array_join(sample_ids, ',') AS sample_ids",
+                            "array_join(from_json(details['outlier_examples'], 'array<double>'), ',') AS examples")
+
+
 @query
 def clean_customer(spark, sf_dir):
     return clean(view(spark, sf_dir, "dirty_customer")).cleaned
@@ -452,15 +462,30 @@ def csv_round_trip(spark, sf_dir):
     return read_csv(spark, folder)
 
 
-@query
-def stream_replay(spark, sf_dir):
-    """Fit on the events so far and clean the same events arriving as a stream, in files that each reach over all times."""
+def _streamed(spark, sf_dir) -> tuple[CleaningPlan, DataFrame, str]:
+    """A plan fitted on the events so far, the same events arriving as a stream of four batches that each reach over all times, and a folder."""
     batch = view(spark, sf_dir, "dirty_events")
     plan: CleaningPlan = clean(batch).plan
     folder = _work_folder(spark)
     batch.repartition(max(8, batch.rdd.getNumPartitions())).write.parquet(f"{folder}/events")
     files = len(spark.read.parquet(f"{folder}/events").inputFiles())
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{folder}/events")
+    return plan, spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{folder}/events"), folder
+
+
+@query
+def stream_replay(spark, sf_dir):
+    """The plan on a stream as a DataFrame, with a short delay: no row is too late, and copies are found by keys in the state."""
+    plan, stream, folder = _streamed(spark, sf_dir)
+    cleaned = clean_stream(plan, stream, "ts", "1 minute")
+    running = cleaned.writeStream.format("parquet").option("path", f"{folder}/clean").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(cleaned.schema).parquet(f"{folder}/clean")
+
+
+@query
+def stream_replay_files(spark, sf_dir):
+    """The same by batches in files, where kept rows are looked up instead of keys."""
+    plan, stream, folder = _streamed(spark, sf_dir)
     running = write_clean_stream(plan, stream, f"{folder}/clean", "ts", "hour").trigger(availableNow=True).start()
     running.awaitTermination()
     return read_clean_stream(spark, f"{folder}/clean")
@@ -501,6 +526,21 @@ def reply_cache_misses(spark, sf_dir):
     return replies.cache_misses(*_prompts(spark, sf_dir), CACHE_NOW).select("conv_id", "turn", "prompt_key")
 
 
+@query
+def reply_cache_refresh(spark, sf_dir):
+    """Store the cache, take old entries away, answer what is missed then, store the answers, and look all prompts up again."""
+    prompts, cache = _prompts(spark, sf_dir)
+    folder = f"{_work_folder(spark)}/cache"
+    replies.store_replies(cache, folder)
+    replies.expire_replies(spark, folder, CACHE_NOW, 24)
+    missed = replies.cache_misses(prompts, replies.read_cache(spark, folder), CACHE_NOW)
+    answers = missed.selectExpr("prompt_key", "concat('new reply ', length(prompt_key), ' ', substring(prompt_key, 1, 8)) AS response",
+                                f"TIMESTAMP '{CACHE_NOW}' - INTERVAL '1' HOUR AS cached_at")
+    replies.store_replies(answers, folder)
+    return replies.cache_hits(prompts, replies.read_cache(spark, folder), CACHE_NOW).selectExpr(
+        "conv_id", "turn", "prompt_key", "response", "unix_micros(cached_at) AS cached_at_us")
+
+
 @query
 def parse_replies(spark, sf_dir):
     return replies.parse_replies(view(spark, sf_dir, "replies"), "reply").selectExpr(
