@@ -274,7 +274,7 @@ def duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     texts are one class. Texts without a word are alike to none but equal ones. Rows without an id are in no class
     (class_id NULL); NULL and empty texts are classes of their own. A pair at 0.8 misses every bucket with a
     probability of 1 in 9,000, at 0.85 of 1 in 3 million; of pairs at 0.8 in crowded buckets, 1 in 1,300 misses those of the
-    longer signatures, at 0.82 1 in 40,000, and 1 in 9,000 is ruled out by sketches, at 0.82 1 in 10 million. Whole texts are read; other columns are not.
+    longer signatures, at 0.82 1 in 29,000, and 1 in 9,000 is ruled out by sketches, at 0.82 1 in 10 million. Whole texts are read; other columns are not.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _key(F.col(text).cast("string")).alias("key"))
     named = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))

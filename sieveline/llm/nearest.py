@@ -40,13 +40,14 @@ class Block:
         self.spread = max(float(places.std(axis=0).mean()), 1e-12)
 
     def search(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found, but the query's own id; ties by id."""
+        """Ids and distances of the k nearest found, but the query's own row (its id and vector); ties by id."""
         lines, count = len(self.order), len(self.ids)
         centre = query @ self.directions
         low = np.array([self.sorted[j].searchsorted(centre[j]) for j in range(lines)])
         high = low.copy()
         collisions = np.zeros(count, np.int64)
         done = self.ids == own_id
+        done[done] = (self.vectors[done] == query).all(axis=1)
         enough, wanted = int(np.ceil(ENOUGH * lines)), max(10 * k, int(VERIFIED * count))
         half, verified, distances = FIRST * self.spread, [], []
         while True:
@@ -74,15 +75,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     """query_id, rank (from 1), vec_id, score: for each query its k nearest rows of `vectors` by Euclidean distance.
 
     score is the distance in double precision on the original components; ties go to the smaller id. All candidates are
-    returned where there are fewer than k. A candidate with the query's id is its own row. Vectors that are NULL, zero,
+    returned where there are fewer than k. A candidate with the query's id and vector is its own row. Vectors that are NULL, zero,
     or hold a NULL or non-finite component, and rows without an id, take no part, neither do pairs of different lengths.
-    Rows repeated with the same id are candidates each; equal queries are answered once. Other columns are not read.
+    Rows repeated with the same id are candidates each; equal queries are answered once, those of one id with different vectors
+    each by itself. Other columns are not read.
     """
     def rows(df: DataFrame) -> DataFrame:
         v = F.col(vector).cast("array<double>")
         return df.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("size", F.size("v"))
 
-    data, asked = written(rows(vectors)), written(rows(queries).distinct())
+    data, asked = written(rows(vectors)), written(rows(queries).distinct().withColumn("ask", F.monotonically_increasing_id()))
     n, q = data.count(), asked.count()
     blocks, chunks = max(16, -(-n // BLOCK)), max(1, -(-q // CHUNK))
     data = data.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
@@ -97,13 +99,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
         if left.num_rows and right.num_rows:
             size = key[0].as_py()
             block = Block(left["id"].to_numpy(), matrix(left["v"], size))
-            found = [(i, *block.search(i, v, k)) for i, v in zip(right["id"].to_pylist(), matrix(right["v"], size))]
-        return pa.table({"query_id": pa.array(np.repeat([i for i, _, _ in found], [len(f) for _, f, _ in found]).astype(np.int64)),
+            found = [((ask, i), *block.search(i, v, k)) for ask, i, v in zip(right["ask"].to_pylist(), right["id"].to_pylist(), matrix(right["v"], size))]
+        times = [len(f) for _, f, _ in found]
+        return pa.table({"ask": pa.array(np.repeat([a for (a, _), _, _ in found], times).astype(np.int64)), "query_id": pa.array(np.repeat([i for (_, i), _, _ in found], times).astype(np.int64)),
                          "vec_id": pa.array(np.concatenate([np.empty(0, np.int64), *[f for _, f, _ in found]])),
                          "score": pa.array(np.concatenate([np.empty(0), *[s for _, _, s in found]]))})
 
     keys = "size", "block", "chunk"
     found = (data.groupBy(*keys).cogroup(asked.groupBy(*keys))
-             .applyInArrow(search, "query_id long, vec_id long, score double"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+             .applyInArrow(search, "ask long, query_id long, vec_id long, score double"))
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

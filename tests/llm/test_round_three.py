@@ -426,3 +426,49 @@ def test_taken_words_come_near_their_target(spark):
             sums[r.source_size, r.target] = [taken + r.size * r.copies, variance + r.size ** 2 * share * (1 - share), r.target]
         for taken, variance, target in sums.values():
             assert abs(taken - target) <= 4 * variance ** 0.5 + 1e-6 * target
+
+
+def test_queries_of_one_id_are_answered_each(spark):
+    from sieveline.llm import nearest
+
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(1, 30)] + [(100, [1.0, 0.0, 0.0, 0.0]), (100, [0.0, 5.0, 0.0, 0.0]), (100, [0.0, 5.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.nearest(df, df.where("vec_id = 100"), k=40).collect()
+    expected = Counter()
+    for query in {(i, tuple(v)) for i, v in rows if i == 100}:
+        others = sorted((float(np.sqrt(((np.array(v) - query[1]) ** 2).sum())), i) for i, v in rows if (i, tuple(v)) != query)
+        expected.update((100, n, i, round(s, 9)) for n, (s, i) in enumerate(others, 1))
+    assert Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in found) == expected
+
+
+@tables
+def test_token_files_skip_what_cannot_hold_an_id(spark):
+    """Stripes, row groups and Bloom filters: a reader of one id gets few of the rows."""
+    import glob
+
+    from pyarrow import orc
+
+    from sieveline.llm import token_files
+    from sieveline.sources.shared import shared_folder
+
+    df = spark.range(0, 180_000, 3).selectExpr("id AS doc_id", "concat('some words for number ', id, repeat(' and more', CAST(id % 4 AS INT))) AS text")
+    folder = shared_folder(spark)
+    token_files.write_tokens(df, folder, public_tokenizers.path("word_bpe_49k.json"), stripe_bytes=64 << 10, index_rows=1000)
+    files = [orc.ORCFile(f) for f in glob.glob(folder.removeprefix("file:") + "/*.orc")]
+    assert sum(f.nrows for f in files) == 60_000 and max(f.nstripes for f in files) > 1 and {f.row_index_stride for f in files} == {1000}
+    assert {str(f.compression) for f in files} == {"ZSTD"} and all(f.file_length > 0 for f in files)
+
+    def rows_read(condition):
+        found = token_files.read_tokens(spark, folder).where(condition)
+        count = found._jdf.queryExecution()
+        n = len(count.executedPlan().executeCollectPublic())
+        leaf = count.executedPlan().collectLeaves().head()
+        return n, leaf.metrics().apply("numOutputRows").value()
+
+    n, read = rows_read("doc_id = 90000")
+    assert n == 1 and read <= 2000
+    n, read = rows_read("doc_id = 90001")  # within the range of a row group, in none of the filters but by chance
+    assert n == 0 and read <= 1000
+    n, read = rows_read("doc_id < 0")
+    assert n == 0 and read == 0
