@@ -19,7 +19,7 @@ from sieveline.errors import ValidationError
 from sieveline.functions.columns import has_map, ref
 from sieveline.functions.fixed import SAMPLE_ROWS
 from sieveline.options import Options
-from sieveline.sources.shared import kept, written
+from sieveline.sources.shared import discard, kept, written
 
 HASH, COPIES, FIRST_ID, LAST_ID = "__row_hash", "__copies", "__first_id", "__last_id"
 
@@ -36,7 +36,7 @@ class Copies:
 
     ``hashes`` are the suspect hashes. ``groups`` holds every distinct suspect row once, with its
     number of copies and, if rows have ids, the smallest and largest id. While the suspects are
-    ``few``, both are small tables, written to the shared folder. Otherwise every row counts as suspect.
+    ``few``, both are small tables, written to the shared folder until ``release``. Otherwise every row counts as suspect.
     """
 
     content: list[str]
@@ -45,6 +45,7 @@ class Copies:
     few: bool
     hashes: DataFrame | None
     groups: DataFrame | None
+    stored: tuple[DataFrame, ...] = ()
 
     def count(self, keep: str = "first") -> int:
         """Rows beyond the kept one (first, last), or all rows of repeated groups (none)."""
@@ -70,9 +71,9 @@ class Copies:
         return self.groups.where(f"{COPIES} > 1").selectExpr(*[ref(n) for n in self.content], f"{extra} AS __surplus")
 
     def release(self) -> None:
-        if self.hashes is not None:
-            self.hashes.unpersist()
-            self.groups.unpersist()
+        """Delete what was stored to find these copies."""
+        discard(*self.stored)
+        self.stored = ()
 
 
 def no_copies(df: DataFrame, row_id: str | None = None) -> Copies:
@@ -108,7 +109,7 @@ def find_copies(df: DataFrame, options: Options = Options(), row_id: str | None
         groups = kept(grouped_rows(suspects, content, row_id))
     else:
         groups = written(grouped_rows(df, content, row_id)) if store else grouped_rows(df, content, row_id)
-    return Copies(content, row_id, n_hashes, few, hashes, groups)
+    return Copies(content, row_id, n_hashes, few, hashes, groups, (hashes, groups) if few or store else (hashes,))
 
 
 def count_duplicates(df: DataFrame, keep: str = "first", options: Options = Options()) -> int:

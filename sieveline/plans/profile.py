@@ -107,7 +107,7 @@ class Profile:
         self.results: dict[str, CheckResult] = {}
 
     def release(self) -> None:
-        """Free what is cached on the executors."""
+        """Delete what was stored for it. Tables of findings and runs must not be computed afterwards."""
         if self.copies is not None:
             self.copies.release()
 

@@ -108,7 +108,7 @@ class CleaningRun:
             "has_critical_issues boolean, document string")
 
     def release(self) -> None:
-        """Free what is cached on the executors; ``cleaned`` must not be computed afterwards."""
+        """Delete what was stored for the run; ``cleaned`` must not be computed afterwards."""
         self.profile.release()
 
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from helpers import rows
@@ -5,6 +7,7 @@ from sieveline import Options, profile, register_check, unregister_check
 from sieveline.errors import ValidationError
 from sieveline.operators import cardinality, categories, duplicates, missing, outliers, suspicious, types
 from sieveline.plans.profile import CheckResult
+from sieveline.sources.shared import written
 
 NAN = float("nan")
 
@@ -254,3 +257,15 @@ def test_own_check(shop):
         unregister_check("many_rows")
     with pytest.raises(ValidationError):
         register_check("outliers", lambda p: None)
+
+
+def test_release_deletes_what_was_stored(spark):
+    df = spark.range(100).selectExpr("id % 90 AS a", "'x' AS b")
+    copies = duplicates.find_copies(df)
+    folders = [f.rpartition("/")[0].removeprefix("file:") for t in copies.stored for f in t.inputFiles()]
+    assert copies.count() == 10 and folders and all(os.path.isdir(f) for f in folders)
+    copies.release()
+    assert not any(os.path.exists(f) for f in folders)
+    kept_table = written(df)  # a table of one's own stays
+    duplicates.find_copies(kept_table, Options.from_dict({"scale": {"broadcast_rows": 0}})).release()
+    assert kept_table.count() == 100
