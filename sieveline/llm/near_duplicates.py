@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sieveline.llm.common import partitions
 from sieveline.llm.components import components, joined
 from sieveline.sources.shared import written
 
@@ -233,7 +234,9 @@ def _classes(nodes: DataFrame, source: DataFrame, least: float) -> DataFrame:
     across = None
     if not crowded.isEmpty():
         signed = written(_signed(texts.join(crowded, "node"), "node", WIDE_BANDS, WIDE_ROWS, SKETCH_BITS))
-        wide = written(_shared(signed.select("node", "n", F.explode("bands").alias("bucket"))))
+        # Dealt anew before bands become rows: a small stored table is read by few tasks.
+        dealt = signed.select("node", "n", "bands").repartition(partitions(source.sparkSession), "node")
+        wide = written(_shared(written(dealt.select("node", "n", F.explode("bands").alias("bucket")))))
         # Members already in the first one's class need no comparison.
         of_first = classes.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
         pairs = wide.where(near).select(F.col("first").alias("a"), F.col("node").alias("b"), "node").distinct()
